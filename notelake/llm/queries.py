@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from notelake.llm.mixing import OP2_SQL, op2_mix_sources
+from notelake.llm.ngram_join import op5_ngram_jaccard_join
 from notelake.llm.quality_forest import op4_quality_forest
+from notelake.llm.warc import OP1_SQL, op1_warc_salvage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_salvage": op1_warc_salvage,
+    "op2_mix_sources": op2_mix_sources,
     "op4_quality_forest": op4_quality_forest,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_warc_salvage": OP1_SQL,
+    "op2_mix_sources": OP2_SQL,
+}
