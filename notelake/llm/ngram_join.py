@@ -205,8 +205,8 @@ def node_texts(docs: DataFrame, marks: DataFrame, nodes: DataFrame) -> DataFrame
     return picked.mapInArrow(run, "fp long, text string").dropDuplicates(["fp"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``."""
+def grouped_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, fp, root) of every row of ``docs``; root names the group, or is null where n = 0."""
     marks = materialize(signatures(docs), "join-marks")
     orders = frequency_orders(marks)
     tokens = materialize(shared_tokens(prefix_tokens(docs, orders)), "join-tokens")
@@ -234,12 +234,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         final = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
 
     rows = marks.where("n is not null").select("doc_id", "n", "fp").join(final.withColumnRenamed("node", "fp"), "fp", "left")
-    rows = rows.select("doc_id", "n", F.coalesce("root", "fp").alias("root"))
+    return rows.select("doc_id", "n", "fp", F.when(F.col("n") > 0, F.coalesce("root", "fp")).alias("root"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``."""
+    rows = grouped_rows(docs)
     linked_rows = rows.where("n > 0")
     least = linked_rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = linked_rows.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.union(rows.where("n = 0").select("doc_id", F.col("n"), F.col("doc_id")))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each group of linked rows (that of the least id); texts without words all stay."""
+    rows = materialize(grouped_rows(docs), "join-rows")
+    kept = rows.where("n > 0").groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("k")).select("k.*")
+    copies = rows.where("n > 0").groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    kept = kept.union(rows.where("n = 0").select("doc_id", "fp").distinct())
+    id_, print_ = "__kept_id", "__kept_fp"
+    kept = materialize(kept.select(F.col("doc_id").alias(id_), F.col("fp").alias(print_)), "join-kept")
+    picked = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(id_))).drop(id_)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = np.concatenate([s.fingerprints().view(np.int64) for s in of_column(b.column(b.schema.get_field_index("text")))] or [np.empty(0, np.int64)])
+            yield b.filter(pa.array(same == b.column(b.schema.get_field_index(print_)).to_numpy()))
+
+    picked = picked.mapInArrow(run, picked.schema)
+    if not copies.isEmpty():  # the same id and set several times: one of these rows stays
+        again = copies.select(F.col("doc_id").alias(id_), F.col("fp").alias("__fp"))
+        met = (F.col("doc_id").eqNullSafe(F.col(id_))) & (F.col(print_) == F.col("__fp"))
+        picked = materialize(picked, "join-picked")
+        picked = picked.join(again, met, "left_anti").unionByName(picked.join(again, met, "left_semi").dropDuplicates(["doc_id", print_]))
+    return picked.drop(print_)
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
