@@ -107,11 +107,12 @@ def mismatches(stored: DataFrame, model: str, version: str, embedding_version: i
     """(note_id, type, detail), one for each note and type, of metadata rows that don't fit."""
     changes = F.array(*[F.when(~F.col(f"settings.{k}").eqNullSafe(F.lit(v)), F.concat(F.lit(f"{k}: "), F.col(f"settings.{k}").cast("string"), F.lit(f" -> {str(v).lower()}"))) for k, v in settings.items()])
     changes = F.filter(changes, lambda x: x.isNotNull())
+    one = lambda test, kind, detail: F.when(test, F.struct(F.lit(kind).alias("type"), detail.cast("string").alias("detail")))
     kinds = F.array(
-        F.when(F.col("model_id") != model, F.struct(F.lit("model").alias("type"), F.col("model_id").alias("detail"))),
-        F.when(F.col("model_version") != version, F.struct(F.lit("model_version"), F.col("model_version"))),
-        F.when(F.col("embedding_version") != embedding_version, F.struct(F.lit("embedding_version"), F.col("embedding_version").cast("string"))),
-        F.when(F.size(changes) > 0, F.struct(F.lit("settings"), F.array_join(changes, ", "))),
+        one(F.col("model_id") != model, "model", F.col("model_id")),
+        one(F.col("model_version") != version, "model_version", F.col("model_version")),
+        one(F.col("embedding_version") != embedding_version, "embedding_version", F.col("embedding_version")),
+        one(F.size(changes) > 0, "settings", F.array_join(changes, ", ")),
     )
     found = stored.select("note_id", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("m")).select("note_id", "m.type", "m.detail")
     return found.groupBy("note_id", "type").agg(F.min("detail").alias("detail"))

@@ -25,7 +25,11 @@ def bm25(notes: DataFrame, query: str, limit: int = 1000) -> DataFrame:
     either = query.startswith("any:1 ")
     words = sorted(set(re.findall(r"\w+", query.removeprefix("any:1 ").lower())))
     counted = notes.select("note_id", tokens("body").alias("w"))
-    counted = counted.select("note_id", F.size("w").alias("len"), *[F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(words)])
+
+    def occurrences(t: str) -> Column:
+        return F.size(F.filter("w", lambda x: x == F.lit(t)))
+
+    counted = counted.select("note_id", F.size("w").alias("len"), *[occurrences(t).alias(f"tf{i}") for i, t in enumerate(words)])
     facts = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean_len"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(words))])
     joined = counted.crossJoin(F.broadcast(facts))  # one row of facts
     parts = []

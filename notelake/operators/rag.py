@@ -106,7 +106,8 @@ def command_notes(t: Column) -> Column:
 
 def without_commands(t: Column | str, names: tuple[str, ...] = ("search", "notes", "context", "not context")) -> Column:
     t = t if isinstance(t, Column) else F.col(t)
-    return F.trim(F.regexp_replace(t, rf"(?im)^(?:{'|'.join(names)}):[^\n]*\n?", ""))
+    rest = F.regexp_replace(t, rf"(?im)^(?:{'|'.join(names)}):[^\n]*\n?", "")
+    return F.regexp_replace(rest, r"^\s+|\s+$", "")
 
 
 def parse_chat(text: str, *, user: str = "User:", model: str = "Assistant:", system: list[str] = ()) -> list[tuple[str, str]]:
