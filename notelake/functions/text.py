@@ -53,7 +53,7 @@ def sentences(t: Column | str) -> Column:
     return F.regexp_extract_all(F.concat(_col(t), F.lit("\n")), F.lit(SENTENCE), F.lit(0))
 
 
-def truncate_tokens(t: Column | str, most: int, suffix: str = " [truncated]", suffix_tokens: int = 3) -> Column:
+def truncate_tokens(t: Column | str, most: int, suffix: str = " [truncated]", suffix_tokens: int = 4) -> Column:
     """Cuts a text whose estimate is over ``most`` and marks the cut."""
     t = _col(t)
     tokens = token_estimate(t)
