@@ -154,7 +154,7 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def _words_sql(column: str) -> str:
+def words_sql(column: str) -> str:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"regexp_extract_all(translate({column}, '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+')"
 
@@ -165,10 +165,10 @@ def shingle_sql(words: str) -> str:
 
 
 OP3_SQL = f"""
-WITH i AS MATERIALIZED (SELECT item_id, row_number() OVER () AS u, {_words_sql('text')} AS w FROM benchmark),
+WITH i AS MATERIALIZED (SELECT item_id, row_number() OVER () AS u, {words_sql('text')} AS w FROM benchmark),
 s AS MATERIALIZED (SELECT item_id, u, {shingle_sql('w')} AS sh FROM i),
 e AS MATERIALIZED (SELECT item_id, u, len(sh) AS n, unnest(sh) AS t FROM s),
-d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, {_words_sql('text')} AS w FROM documents),
+d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, {words_sql('text')} AS w FROM documents),
 x AS (SELECT doc_id, r, unnest({shingle_sql('w')}) AS t FROM d),
 m AS (SELECT doc_id, r, item_id, u, n, count(*) AS shared FROM x JOIN e USING (t) GROUP BY ALL)
 SELECT doc_id, CAST(item_id AS BIGINT) AS item_id, CAST(n AS BIGINT) AS item_shingles, CAST(shared AS BIGINT) AS shared_shingles

@@ -4,14 +4,15 @@ Two texts link when their sets of five-word shingles overlap in at least 75 % of
 If so, they share a token among the first ``n - ceil(0.75 n) + 1`` tokens of each *under any
 global order of all tokens*. Here there are three orders; each puts tokens that look rare
 first (a fixed-size sketch of what is frequent decides) and breaks ties by its own hash.
-Candidates come from the first order; a pair must also share prefix tokens under the other two
-before its exact overlap is counted.
+Candidates come from the first order, where a pair's first common token must also stand so
+early in both texts that the rest could still make up the overlap; a pair must share prefix
+tokens under the other two orders, too, before its exact overlap is counted.
 
 Texts with equal sets are one node from the start (they link by definition). Links within a
-large group of near copies are not all listed: a first round verifies, for each shared token, each
-node against one hub and against its neighbour by size; a second round verifies *every*
-remaining candidate pair whose nodes are in different components. No link between components
-is lost, and a group of m near copies costs about m checks instead of m^2.
+large group of near copies are not all listed: two rounds verify, for each shared token, each
+node against a hub and a few neighbours; the last round verifies *every* remaining candidate
+pair whose nodes are in different components. No link between components is lost, and a group
+of m near copies costs about m checks instead of m^2.
 
 Edge cases: null, empty and blank texts have the empty set and link with nothing; fewer than
 five words are one shingle; repeated rows (same id, same or other text) are rows of their own
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notelake.llm.components import components
+from notelake.llm.decontaminate import shingle_sql, words_sql
 from notelake.llm.shingles import Sets, of_column, overlap
 from notelake.llm.words import mix
 from notelake.storage import materialize, table
@@ -37,14 +39,13 @@ from notelake.storage import materialize, table
 #: Two sets link when ``100 * overlap >= PERCENT * union``.
 PERCENT = 75
 ORDERS = 3
-#: The frequency sketch has 2 ** SKETCH_BITS cells of one byte, whatever the corpus.
-SKETCH_BITS = 22
-#: Counts of tokens seen this often in a batch go to the sketch; they only shape the orders.
-SEEN_TWICE = 2
-#: Cells up to this count are all "rare".
-RARE = 8
+#: The frequency sketch has 2 ** SKETCH_BITS cells, whatever the corpus; it counts all tokens of
+#: all texts and shapes the orders only. A larger one tells rarer tokens apart.
+SKETCH_BITS, CHUNK_BITS = 22, 16
 #: A token whose cell counts more than this is dealt over several tasks.
 SALT_FROM = 4096
+#: Neighbours by size that a set is verified against for each of its early tokens in the first round.
+NEAR = 3
 #: Candidates of one hub that are verified in one go.
 STAR = 1000
 
@@ -53,6 +54,14 @@ def prefix_length(n: int | np.ndarray) -> int | np.ndarray:
     return n - -(-PERCENT * n // 100) + 1
 
 
+def reach(n: int, pos: np.ndarray) -> np.ndarray:
+    """The largest set that one of size ``n`` can link to if their first common token is at ``pos``.
+
+    Linked sets share at least ``PERCENT / (100 + PERCENT)`` of their summed sizes; with none
+    shared before, the token and what follows it must hold that many. It holds for both sets."""
+    return (100 * n - (100 + PERCENT) * pos) // PERCENT
+
+
 def linked(inter: int, a: int, b: int) -> bool:
     return 100 * inter >= PERCENT * (a + b - inter)
 
@@ -67,54 +76,64 @@ class Orders:
         return self.level[(tokens & np.uint64(len(self.level) - 1)).astype(np.int64)]
 
     def prefix(self, tokens: np.ndarray, order: int) -> np.ndarray:
-        """The first tokens of a set (their positions) under an order."""
+        """The first tokens of a set (their indexes), in order, under an order."""
         p = prefix_length(len(tokens))
-        if p >= len(tokens):
-            return np.arange(len(tokens))
         key = (self.classes(tokens).astype(np.uint64) << np.uint64(56)) | (mix(tokens, 31 + order) >> np.uint64(8))
-        return np.argpartition(key, p - 1)[:p]
+        first = np.argpartition(key, p - 1)[:p] if p < len(tokens) else np.arange(len(tokens))
+        return first[np.argsort(key[first])]
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, fp) for documents; and rows (token, seen) for tokens seen repeatedly."""
+    """Rows (doc_id, n, fp) for documents; and rows (chunk, cells) of each task's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, known = np.zeros(1 << SKETCH_BITS, np.uint32), set()
         for b in batches:
-            n, fp, fresh, known = [], [], [], set()
             for s in of_column(b.column(1)):
                 prints = s.fingerprints()
-                n.append(s.sizes())
-                fp.append(prints)
+                fresh = np.zeros(len(prints), bool)
                 for i, x in enumerate(prints.tolist()):
-                    if x not in known and s.at[i + 1] > s.at[i]:
+                    if x not in known:
                         known.add(x)
-                        fresh.append(s.row(i))
-            if not n:
-                continue
-            n, fp = np.concatenate(n), np.concatenate(fp).view(np.int64)
-            none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(fp), none, none], names=names)
-            if fresh:
-                token, seen = np.unique(np.concatenate(fresh), return_counts=True)
-                token, seen = token[seen >= SEEN_TWICE].view(np.int64), seen[seen >= SEEN_TWICE]
-                none = pa.nulls(len(token), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, pa.array(token), pa.array(seen.astype(np.int64))], names=names)
-
-    names = ["doc_id", "n", "fp", "token", "seen"]
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp long, token long, seen long")
+                        fresh[i] = True
+                tokens = s.values[np.repeat(fresh, s.sizes())]
+                np.add.at(cells, (tokens & np.uint64(len(cells) - 1)).astype(np.int64), np.uint32(1))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, len(s)), pa.array(s.sizes().astype(np.int64)), pa.array(prints.view(np.int64)), pa.nulls(len(s), pa.int32()), pa.nulls(len(s), pa.binary())], names=names)
+        chunks = np.minimum(cells, 255).astype(np.uint8).reshape(-1, 1 << CHUNK_BITS)
+        some = np.flatnonzero(chunks.any(axis=1))
+        none = pa.nulls(len(some), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(some.astype(np.int32)), pa.array([chunks[i].tobytes() for i in some], pa.binary())], names=names)
+
+    names = ["doc_id", "n", "fp", "chunk", "cells"]
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp long, chunk int, cells binary")
 
 
 def frequency_orders(marks: DataFrame) -> Orders:
-    """The sketch: at most 2 ** SKETCH_BITS counts come to the driver, however large the corpus."""
-    cells = marks.where("token is not null").groupBy(F.col("token").bitwiseAND(F.lit((1 << SKETCH_BITS) - 1)).alias("cell")).agg(F.sum("seen").alias("seen"))
-    rows = cells.where(F.col("seen") > RARE).select(F.col("cell").cast("int"), F.floor(F.log2("seen")).cast("byte").alias("level")).toPandas()
-    level = np.zeros(1 << SKETCH_BITS, np.uint8)
-    level[rows["cell"].to_numpy(np.int64)] = rows["level"].to_numpy(np.uint8)
-    return Orders(level)
+    """The summed sketch as classes: log2 of how far a cell's count is above its chunk's mean.
+
+    Sums are streamed, a chunk's arrays never being held together; one byte a cell comes to the
+    driver, however large the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for chunk, cells in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                total = held.setdefault(chunk, np.zeros(1 << CHUNK_BITS, np.int64))
+                total += np.frombuffer(cells.as_py(), np.uint8)
+        levels = [np.log2(1 + np.maximum(0, x - x.mean())).astype(np.uint8).tobytes() for x in held.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(levels, pa.binary())], names=["chunk", "level"])
+
+    rows = marks.where("chunk is not null").select("chunk", "cells").repartition(1 << (SKETCH_BITS - CHUNK_BITS), "chunk").mapInArrow(run, "chunk int, level binary").collect()
+    level = np.zeros((1 << (SKETCH_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.uint8)
+    for r in rows:
+        level[r["chunk"]] = np.frombuffer(r["level"], np.uint8)
+    return Orders(level.ravel())
 
 
 def prefix_tokens(docs: DataFrame, orders: Orders) -> DataFrame:
-    """(token, salt, fp, n): the first order's prefix of each different set of a task."""
+    """(token, salt, fp, sizes): the first order's prefix of each different set of a task.
+
+    ``sizes`` packs the set's size and its reach at this token (see ``reach``) into one number."""
     shared = docs.sparkSession.sparkContext.broadcast(orders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,40 +144,45 @@ def prefix_tokens(docs: DataFrame, orders: Orders) -> DataFrame:
 
     def emit(s: Sets, orders: Orders, known: set[int]) -> Iterator[pa.RecordBatch]:
         prints = s.fingerprints()
-        tokens, owner = [], []
+        tokens, owner, sizes = [], [], []
         for i, x in enumerate(prints.tolist()):
             if s.at[i + 1] > s.at[i] and x not in known:
                 known.add(x)
                 row = s.row(i)
                 tokens.append(row[orders.prefix(row, 0)])
                 owner.append(np.full(len(tokens[-1]), i))
+                sizes.append((len(row) << 32) + reach(len(row), np.arange(len(tokens[-1]), dtype=np.int64)))
         if tokens:
             token, at = np.concatenate(tokens), np.concatenate(owner)
             fp = prints[at]
             ways = np.maximum(1, (1 << orders.classes(token).astype(np.int64)) * 2 // SALT_FROM)
             salt = (mix(fp, 41) % ways.astype(np.uint64)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(token.view(np.int64)), pa.array(np.where(ways > 1, salt + 1, 0).astype(np.int32)), pa.array(fp.view(np.int64)), pa.array(s.sizes()[at].astype(np.int32))], names=["token", "salt", "fp", "n"]
+                [pa.array(token.view(np.int64)), pa.array(np.where(ways > 1, salt + 1, 0).astype(np.int32)), pa.array(fp.view(np.int64)), pa.array(np.concatenate(sizes))], names=["token", "salt", "fp", "sizes"]
             )
 
-    return docs.select("text").mapInArrow(run, "token long, salt int, fp long, n int")
-
-
-def _alike(a: str, b: str) -> str:
-    return f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})"
+    return docs.select("text").mapInArrow(run, "token long, salt int, fp long, sizes long")
 
 
 def shared_tokens(prefixes: DataFrame) -> DataFrame:
-    """Prefix tokens of at least two sets, with each set's hub and its neighbour by size."""
+    """Prefix tokens of at least two sets, with each set's hub and its neighbours by size.
+
+    Sets that the token could link to others of their size come first, so that hubs and
+    neighbours are likely to be real candidates."""
+    rows = prefixes.repartition("token", "salt")  # four columns are shuffled, the rest is derived after it
+    rows = rows.select("token", "salt", "fp", F.shiftright("sizes", 32).cast("int").alias("n"), F.col("sizes").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("reach"))
     by = Window.partitionBy("token", "salt")
-    ordered = by.orderBy("n", "fp")
-    rows = prefixes.withColumn("near", F.lag("fp").over(ordered)).withColumn("near_n", F.lag("n").over(ordered))
-    rows = rows.withColumn("hub", F.min(F.struct("fp", "n")).over(by)).withColumn("last", F.max("fp").over(by))
-    return rows.where("hub.fp <> last or salt > 0").select("token", "fp", "n", F.col("hub.fp").alias("hub"), F.col("hub.n").alias("hub_n"), "near", "near_n")
+    rows = rows.withColumn("late", F.col("reach") < F.col("n"))
+    me, order = F.struct("late", "fp", "n", "reach"), by.orderBy("late", "n", "fp")
+    for k in range(1, NEAR + 1):
+        rows = rows.withColumn(f"near{k}", F.lag(me, k).over(order))
+    rows = rows.withColumn("hub", F.min(me).over(by)).withColumn("least", F.min("fp").over(by)).withColumn("last", F.max("fp").over(by))
+    return rows.where("least <> last or salt > 0").select("token", "fp", "n", "reach", "hub", *[f"near{k}" for k in range(1, NEAR + 1)])
 
 
-def _pairs(rows: DataFrame, other: str, other_n: str) -> DataFrame:
-    return rows.where(f"{other} is not null and {other} <> fp and {_alike('n', other_n)}").select(F.least("fp", other).alias("u"), F.greatest("fp", other).alias("v"))
+def _pairs(rows: DataFrame, other: str) -> DataFrame:
+    fits = rows.where(f"{other} is not null and {other}.fp <> fp and n <= {other}.reach and {other}.n <= reach")
+    return fits.select(F.least("fp", f"{other}.fp").alias("u"), F.greatest("fp", f"{other}.fp").alias("v"))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, orders: Orders) -> DataFrame:
@@ -202,7 +226,17 @@ def node_texts(docs: DataFrame, marks: DataFrame, nodes: DataFrame) -> DataFrame
             same = np.concatenate([s.fingerprints().view(np.int64) for s in of_column(b.column(1))] or [np.empty(0, np.int64)])
             yield b.filter(pa.array(same == b.column(0).to_numpy()))
 
-    return picked.mapInArrow(run, "fp long, text string").dropDuplicates(["fp"])
+    made = picked.mapInArrow(run, "fp long, text string")
+    copies = marks.where("n > 0").groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    return made if copies.isEmpty() else made.dropDuplicates(["fp"])  # rows with the same id and set
+
+
+def _open(tokens: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of tokens that are held by several components, with their ``root``."""
+    placed = tokens.select("token", "fp", "n", "reach").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = materialize(placed, "join-placed")
+    torn = placed.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token")
+    return materialize(placed.join(torn, "token", "left_semi"), "join-open")
 
 
 def grouped_rows(docs: DataFrame) -> DataFrame:
@@ -212,21 +246,33 @@ def grouped_rows(docs: DataFrame) -> DataFrame:
     tokens = materialize(shared_tokens(prefix_tokens(docs, orders)), "join-tokens")
     texts = materialize(node_texts(docs, marks, tokens.select("fp").distinct()), "join-texts")
 
-    first = materialize(_pairs(tokens, "hub", "hub_n").union(_pairs(tokens, "near", "near_n")).distinct(), "join-pairs")
+    first = _pairs(tokens, "hub")
+    for k in range(1, NEAR + 1):
+        first = first.union(_pairs(tokens, f"near{k}"))
+    first = materialize(first.distinct(), "join-pairs")
     links = materialize(verify(first, texts, orders), "join-links")
     roots = components(links)
 
-    placed = tokens.select("token", "fp", "n").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = materialize(placed, "join-placed")
-    torn = placed.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token")
-    open_ = placed.join(torn, "token", "left_semi")
+    open_ = _open(tokens, roots)
+    # a second round over what is still apart: other neighbours, of other components
+    order, second = Window.partitionBy("token").orderBy(F.col("reach") < F.col("n"), F.xxhash64("fp"), "fp"), None
+    for k in range(1, 2 * NEAR + 1):
+        part = _pairs(open_.withColumn("near", F.lag(F.struct("fp", "n", "reach", "root"), k).over(order)).where("near.root <> root"), "near")
+        second = part if second is None else second.union(part)
+    second = materialize(second.distinct().join(first, ["u", "v"], "left_anti"), "join-pairs")
+    links = materialize(verify(second, texts, orders), "join-links")
+    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links))
+    first = first.union(second)
+
+    open_ = _open(tokens, roots)
     # components meet first, then their members: pairs inside a component are never formed
-    groups = open_.select("token", "root").distinct()
-    meet = groups.alias("x").join(groups.alias("y"), "token").where("x.root < y.root").select("token", F.col("x.root").alias("ra"), F.col("y.root").alias("rb"))
-    a = open_.select("token", F.col("root").alias("ra"), F.col("fp").alias("fa"), F.col("n").alias("na"))
-    b = open_.select("token", F.col("root").alias("rb"), F.col("fp").alias("fb"), F.col("n").alias("nb"))
-    rest = meet.join(a, ["token", "ra"]).join(b, ["token", "rb"]).where(_alike("na", "nb"))
-    rest = rest.select(F.least("fa", "fb").alias("u"), F.greatest("fa", "fb").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
+    groups = open_.groupBy("token", "root").agg(F.min("n").alias("low"), F.max("reach").alias("reach"))
+    x, y = (groups.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("root", "low", "reach")]) for i in "ab")
+    meet = x.join(y, "token").where("roota < rootb and lowa <= reachb and lowb <= reacha").drop("lowa", "reacha")
+    a, b = (open_.select("token", *[F.col(c).alias(f"{c}_{i}" if c != "root" else f"root{i}") for c in ("root", "fp", "n", "reach")]) for i in "ab")
+    rest = meet.join(a, ["token", "roota"]).where("n_a <= reachb and lowb <= reach_a").drop("lowb", "reachb")
+    rest = rest.join(b, ["token", "rootb"]).where("n_a <= reach_b and n_b <= reach_a")
+    rest = rest.select(F.least("fp_a", "fp_b").alias("u"), F.greatest("fp_a", "fp_b").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
     more = materialize(verify(materialize(rest, "join-rest"), texts, orders), "join-links")
     if more.isEmpty():
         final = roots
@@ -272,3 +318,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, {words_sql('text')} AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, r, coalesce({shingle_sql('w')}, []) AS sh FROM d),
+e AS MATERIALIZED (SELECT r, len(sh) AS n, unnest(sh) AS t FROM s),
+c AS (SELECT x.r AS a, y.r AS b, x.n AS na, y.n AS nb, count(*) AS k FROM e x JOIN e y ON x.t = y.t AND x.r < y.r GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM c WHERE 100 * k >= {PERCENT} * (na + nb - k)),
+ways AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(r, x) AS (SELECT r, r FROM s UNION SELECT reach.r, ways.b FROM reach JOIN ways ON reach.x = ways.a)
+SELECT ANY_VALUE(s.doc_id) AS doc_id, CAST(ANY_VALUE(len(s.sh)) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM reach JOIN s ON s.r = reach.r JOIN s o ON o.r = reach.x GROUP BY reach.r
+"""

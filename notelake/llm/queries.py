@@ -10,7 +10,7 @@ from notelake.llm.decontaminate import OP3_SQL, op3_benchmark_decontamination
 from notelake.llm.language_id import op7_language_id
 from notelake.llm.licenses import op10_license_scan
 from notelake.llm.mixing import OP2_SQL, op2_mix_sources
-from notelake.llm.ngram_join import op5_ngram_jaccard_join
+from notelake.llm.ngram_join import OP5_SQL, op5_ngram_jaccard_join
 from notelake.llm.ppm import op8_ppm_score
 from notelake.llm.quality_forest import op4_quality_forest
 from notelake.llm.secrets import op6_secret_scan
@@ -34,4 +34,5 @@ ORACLE: dict[str, str] = {
     "op1_warc_salvage": OP1_SQL,
     "op2_mix_sources": OP2_SQL,
     "op3_benchmark_decontamination": OP3_SQL,
+    "op5_ngram_jaccard_join": OP5_SQL,
 }
