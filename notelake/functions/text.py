@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 #: Search operators of note apps whose ``name:value`` words are stripped. Fixed values.
 QUERY_OPERATORS = ("any", "title", "body", "tag", "notebook", "created", "updated", "due", "type", "iscompleted", "latitude", "longitude", "altitude", "resource", "sourceurl", "id")
+#: Characters of scripts without blanks, and marks that are dense in code. Fixed values.
+CJK = r"[\u4E00-\u9FFF\u3040-\u309F\u30A0-\u30FF]"
+MARKS = r"""[.,:;!?(){}\[\]"'`]"""
 SENTENCE = r"[^.!?\n]+[.!?\n]+"
 
 
@@ -43,8 +46,8 @@ def token_estimate(t: Column | str) -> Column:
     """ceil(characters / characters per token), by the kind of text."""
     t = _col(t)
     n = F.length(t)
-    marks = n - F.length(F.regexp_replace(t, r"[!-/:-@\[-`{-~]", ""))
-    per = F.when(t.rlike(r"[぀-ヿ㐀-鿿가-힯]"), 2.5).when(t.rlike(r"[^\x00-\x7f]"), 3.2).when(marks / n > 0.1, 3.5).otherwise(4.0)
+    marks = n - F.length(F.regexp_replace(t, MARKS, ""))
+    per = F.when(t.rlike(CJK), 2.5).when(t.rlike(r"[^\x00-\x7f]"), 3.2).when(marks / n > 0.1, 3.5).otherwise(4.0)
     return F.when(n == 0, F.lit(0)).otherwise(F.ceil(n / per)).cast("int")
 
 
@@ -76,14 +79,14 @@ def slug(t: Column | str) -> Column:
 
 
 def strip_query_operators(q: Column | str, operators: tuple[str, ...] = QUERY_OPERATORS) -> Column:
-    return F.trim(F.regexp_replace(_col(q), rf"(?i)(?<![A-Za-z0-9_])(?:{'|'.join(operators)}):\S*", ""))
+    return F.trim(F.regexp_replace(_col(q), rf"(?<![A-Za-z0-9_])(?:{'|'.join(operators)}):\S+", ""))
 
 
 def _term_pattern(term: str) -> str:
     """A word, a prefix (``word*``) or a quoted phrase as a pattern; word edges are ASCII."""
     edge_l, edge_r = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
     if term.startswith('"'):
-        return re.escape(term.strip('"'))
+        return edge_l + re.escape(term.strip('"')) + edge_r
     if term.endswith("*"):
         return edge_l + re.escape(term[:-1])
     return edge_l + re.escape(term) + edge_r
@@ -91,7 +94,7 @@ def _term_pattern(term: str) -> str:
 
 def matches_keywords(t: Column | str, query: str) -> Column:
     """All words, prefixes and quoted phrases of a query occur, in either case."""
-    found = F.lit(True)
+    found, query = F.lit(True), re.sub(rf"\b(?:{'|'.join(QUERY_OPERATORS)}):\S+", "", query, flags=re.A)
     for term in re.findall(r'"[^"]+"|\S+', query):
         found &= _col(t).rlike("(?is)" + _term_pattern(term))
     return found
@@ -122,9 +125,10 @@ def reference_link(number: Column, note_id: Column, level: Column, title: Column
     return F.concat(F.lit("["), number.cast("string"), F.lit("]: :/"), note_id.cast("string"), anchor)
 
 
-def middle_truncate(t: Column | str, most: int) -> Column:
-    t, half = _col(t), most // 2
-    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.left(t, F.lit(half)), F.lit("…"), F.right(t, F.lit(half))))
+def middle_truncate(t: Column | str, most: int = 200) -> Column:
+    """Start and end of a text that is too long, four dots between them."""
+    t, half = _col(t), (most - 4) // 2
+    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.left(t, F.lit(half)), F.lit("...."), F.right(t, F.lit(half))))
 
 
 def search_term(t: Column | str, most: int = 300) -> Column:
@@ -136,7 +140,7 @@ def search_term(t: Column | str, most: int = 300) -> Column:
 
 def plain_citations(t: Column | str, word: str = "note") -> Column:
     """``[note 1]`` becomes ``[1]``."""
-    return F.regexp_replace(_col(t), rf"(?i)\[{re.escape(word)}s?\s*(\d+)\]", "[$1]")
+    return F.regexp_replace(_col(t), rf"(?i)\[{re.escape(word)}\s*(\d+)\]", "[$1]")
 
 
 def title_prefix(t: Column | str) -> Column:
@@ -168,13 +172,19 @@ def clean_inline(t: Column | str) -> Column:
 
 
 def format_bytes(n: Column | str) -> Column:
+    """About how many KB or MB; one decimal under 10."""
     n = _col(n).cast("double")
-    return F.when(n < 1024, F.format_string("%.0f B", n)).when(n < 1 << 20, F.format_string("%.1f KB", n / 1024)).when(n < 1 << 30, F.format_string("%.1f MB", n / (1 << 20))).otherwise(F.format_string("%.2f GB", n / (1 << 30)))
+    kb, mb = n / 1024, n / (1 << 20)
+    shown = lambda x, unit: F.when(x >= 10, F.format_string(f"≈%.0f {unit}", x)).otherwise(F.format_string(f"≈%.1f {unit}", x))
+    return F.when(n.isNull() | F.isnan(n) | (n <= 0) | (n == float("inf")), "≈0 KB").when(mb >= 1, shown(mb, "MB")).otherwise(shown(kb, "KB"))
 
 
 def model_name(t: Column | str) -> Column:
-    """A model id without a trailing date or release word."""
-    return F.regexp_replace(_col(t), r"(?i)-(?:\d{4}-\d{2}-\d{2}|\d{8}|\d{4}|latest|preview|exp)$", "")
+    """A model id without a date and a release word at its end."""
+    t = F.regexp_replace(F.regexp_replace(_col(t), r"-\d{4}.*$", ""), r"-\d{2}-\d{2}.*$", "")
+    for word in ("latest", "preview", "exp"):
+        t = F.regexp_replace(t, f"-{word}$", "")
+    return t
 
 
 def prompt(*parts: Column) -> Column:

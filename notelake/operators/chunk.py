@@ -20,13 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notelake.functions.text import SENTENCE
+from notelake.functions.text import CJK, MARKS, SENTENCE
 
 MAX_LEVEL = 6
 _STRUCTURE = re.compile(r"(```[^\n]*\n.*?```|^#+\s[^\n]*)", re.M | re.S)
 _SENTENCE = re.compile(SENTENCE)
-_CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
-_MARK = re.compile(r"[!-/:-@\[-`{-~]")
+_CJK, _MARK = re.compile(CJK), re.compile(MARKS)
 CHUNK_DDL = "note_id string, block_no int, line int, body_idx int, length int, level int, title string, path array<string>, chunk string, decorated string"
 
 

@@ -11,7 +11,7 @@ from notelake.operators.rag import budgeted
 def paper_key() -> Column:
     """The DOI, else the PubMed id, else title and year."""
     filled = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
-    return F.coalesce(F.concat(F.lit("doi:"), F.lower(filled("doi"))), F.concat(F.lit("pmid:"), filled("pmid")), F.concat(F.lit("title:"), F.lower(F.trim(F.coalesce("title", F.lit("")))), F.lit("-"), F.coalesce(F.col("year").cast("string"), F.lit(""))))
+    return F.coalesce(F.concat(F.lit("doi:"), F.lower(filled("doi"))), F.concat(F.lit("pmid:"), filled("pmid")), F.concat(F.lit("title:"), F.coalesce(F.lower(F.trim("title")), F.lit("unknown-title")), F.lit("-"), F.coalesce(F.col("year").cast("string"), F.lit("0"))))
 
 
 def dedupe(papers: DataFrame, order: list[Column | str]) -> DataFrame:
@@ -63,13 +63,17 @@ def first_text(*columns: str) -> Column:
 
 def citation_line() -> Column:
     c = lambda n: F.coalesce(F.col(n).cast("string"), F.lit(""))
-    return F.concat(F.lit("- "), c("author"), F.lit(" et al., "), F.lit("["), c("title"), F.lit("](https://doi.org/"), c("doi"), F.lit("), "), c("journal"), F.lit(", "), c("year"), F.lit(", cited: "), c("citation_count"))
+    return F.concat(F.lit("- "), c("author"), F.lit(" et al., "), F.lit("["), c("title"), F.lit("](https://doi.org/"), c("doi"), F.lit("), "), c("journal"), F.lit(", "), c("year"), F.lit(", cited: "), c("citation_count"), F.lit("."))
 
 
-def query_list(t: Column) -> Column:
-    """Queries of an answer: one a line, numbering and bullets dropped, blank lines out."""
-    lines = F.transform(F.split(t, r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r'^\s*(?:\d+[.)]|[-*])\s*|^"|"$', "")))
-    return F.filter(lines, lambda x: x != "")
+def parse_plan(answer: Column) -> Column:
+    """struct(questions, queries) of an answer with headed sections of questions and of queries.
+
+    Each line of the second section is a query after its number or bullet."""
+    parts = F.split(answer, r"(?i)# Research questions|# Queries")
+    part = lambda i: F.regexp_replace(F.coalesce(F.try_element_at(parts, F.lit(i)), F.lit("")), r"^\s+|\s+$", "")
+    lines = F.filter(F.split(part(3), "\n"), lambda x: x != "")
+    return F.struct(part(2).alias("questions"), F.transform(lines, lambda x: F.regexp_replace(x, r"^[^ ]* ", "")).alias("queries"))
 
 
 def select_tags(answer: Column, bank: Column, existing: Column, *, most: int = 5, keep_existing: bool = False) -> Column:

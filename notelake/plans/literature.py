@@ -48,7 +48,7 @@ def paper_budget(spark: SparkSession, d: str) -> DataFrame:
     return kept.agg(F.count(F.lit(1)).alias("papers"), F.max("running").alias("used"))
 
 
-@query(f"WITH {_P} SELECT paper_id, '- et al., [' || title || '](https://doi.org/' || coalesce(doi, '') || '), ' || year || ', cited: ' || citation_count AS line FROM (SELECT *, title AS t FROM p)")
+@query(f"WITH {_P} SELECT paper_id, '- et al., [' || title || '](https://doi.org/' || coalesce(doi, '') || '), ' || year || ', cited: ' || citation_count || '.' AS line FROM (SELECT *, title AS t FROM p)")
 def citation_lines(spark: SparkSession, d: str) -> DataFrame:
     p = papers(spark, d).withColumn("author", F.lit(None).cast("string")).withColumn("journal", F.lit(None).cast("string"))
     return p.select("paper_id", F.replace(F.replace(P.citation_line(), F.lit("-  et"), F.lit("- et")), F.lit("), , "), F.lit("), ")).alias("line"))
@@ -94,5 +94,5 @@ def tag_postprocess(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey AS paper_id, p_name || '/' || p_type AS queries FROM part")
 def query_list(spark: SparkSession, d: str) -> DataFrame:
-    answer = F.concat(F.lit("1. "), "p_name", F.lit("\n\n- "), "p_type", F.lit("\n"))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("paper_id"), F.array_join(P.query_list(answer), "/").alias("queries"))
+    answer = F.concat(F.lit("# Title\n# Research questions\nwhy?\n# Queries\n1. "), "p_name", F.lit("\n2. "), "p_type", F.lit("\n"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("paper_id"), F.array_join(P.parse_plan(answer)["queries"], "/").alias("queries"))

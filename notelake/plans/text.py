@@ -53,7 +53,7 @@ def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return html.html_to_text(table(spark, d, "pages").select("page_id", F.col("html").alias("body")))
 
 
-_TOKENS = "CASE WHEN length({t}) = 0 THEN 0 ELSE CAST(ceil(length({t}) / CASE WHEN regexp_matches({t}, '[぀-ヿ㐀-鿿가-힯]') THEN 2.5e0 WHEN regexp_matches({t}, '[^\\x00-\\x7f]') THEN 3.2e0 WHEN (length({t}) - length(regexp_replace({t}, '[!-/:-@\\[-`{{-~]', '', 'g'))) / length({t}) > 0.1e0 THEN 3.5e0 ELSE 4.0e0 END) AS INTEGER) END"
+_TOKENS = "CASE WHEN length({t}) = 0 THEN 0 ELSE CAST(ceil(length({t}) / CASE WHEN regexp_matches({t}, '[\\x{{4E00}}-\\x{{9FFF}}\\x{{3040}}-\\x{{30FF}}]') THEN 2.5e0 WHEN regexp_matches({t}, '[^\\x00-\\x7f]') THEN 3.2e0 WHEN (length({t}) - length(regexp_replace({t}, '[.,:;!?(){{}}\\[\\]\"''`]', '', 'g'))) / length({t}) > 0.1e0 THEN 3.5e0 ELSE 4.0e0 END) AS INTEGER) END"
 
 
 @query(f"SELECT doc_id AS note_id, {_TOKENS.format(t='text')} AS tokens FROM documents")
@@ -97,7 +97,7 @@ def slugify(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("note_id", T.slug(F.left("body", F.lit(60))).alias("slug"))
 
 
-@query("SELECT doc_id AS note_id, trim(regexp_replace('tag:' || source || ' ' || left(text, 20) || ' notebook:a1 title:x', '(?i)(any|title|body|tag|notebook|created|updated|due|type|iscompleted|latitude|longitude|altitude|resource|sourceurl|id):\\S*', '', 'g')) AS query FROM documents")
+@query("SELECT doc_id AS note_id, trim(regexp_replace('tag:' || source || ' ' || left(text, 20) || ' notebook:a1 title:x', '\\b(any|title|body|tag|notebook|created|updated|due|type|iscompleted|latitude|longitude|altitude|resource|sourceurl|id):\\S+', '', 'g')) AS query FROM documents")
 def strip_query_operators(spark: SparkSession, d: str) -> DataFrame:
     q = F.concat(F.lit("tag:"), "source", F.lit(" "), F.left("body", F.lit(20)), F.lit(" notebook:a1 title:x"))
     return docs(spark, d).select("note_id", T.strip_query_operators(q).alias("query"))
@@ -116,7 +116,7 @@ def keyword_prefix(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).where(T.matches_keywords("body", "erth*")).select("note_id")
 
 
-@query("SELECT doc_id AS note_id FROM documents WHERE regexp_matches(text, '(?i)that the')")
+@query("SELECT doc_id AS note_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])that the([^A-Za-z0-9_]|$)')")
 def keyword_phrase(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).where(T.matches_keywords("body", '"that the"')).select("note_id")
 
@@ -128,7 +128,7 @@ def decoration(spark: SparkSession, d: str) -> DataFrame:
     return n.select(F.col("doc_id").alias("note_id"), made.alias("decorated"))
 
 
-@query("SELECT doc_id AS note_id, CASE WHEN length(text) <= 50 THEN text ELSE left(text, 25) || '…' || right(text, 25) END AS short, regexp_extract(doc_id || '-' || left(text, 5), '^[\\d\\-/.]+', 0) AS prefix, regexp_replace('see [note ' || doc_id || ']', '(?i)\\[notes?\\s*(\\d+)\\]', '[\\1]', 'g') AS cited FROM documents")
+@query("SELECT doc_id AS note_id, CASE WHEN length(text) <= 50 THEN text ELSE left(text, 23) || '....' || right(text, 23) END AS short, regexp_extract(doc_id || '-' || left(text, 5), '^[\\d\\-/.]+', 0) AS prefix, regexp_replace('see [note ' || doc_id || ']', '(?i)\\[note\\s*(\\d+)\\]', '[\\1]', 'g') AS cited FROM documents")
 def short_forms(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("note_id").cast("string")
     return docs(spark, d).select("note_id", T.middle_truncate("body", 50).alias("short"), T.title_prefix(F.concat(i, F.lit("-"), F.left("body", F.lit(5)))).alias("prefix"), T.plain_citations(F.concat(F.lit("see [note "), i, F.lit("]"))).alias("cited"))

@@ -14,8 +14,8 @@ PAPER_COLUMNS = ("title", "author", "year", "journal", "doi", "citation_count",
 GRAPH_JSON = "struct<data:array<struct<title:string,abstract:string,year:int,citationCount:int,journal:struct<name:string>,authors:array<struct<name:string>>,externalIds:struct<DOI:string,PubMed:string>>>>"
 INDEX_JSON = "struct<`search-results`:struct<entry:array<struct<`dc:title`:string,`dc:creator`:string,`prism:publicationName`:string,`prism:coverDate`:string,`prism:doi`:string,`citedby-count`:string,`dc:description`:string>>>>"
 ENCYCLOPEDIA_JSON = "struct<query:struct<pages:map<string,struct<pageid:long,title:string,extract:string>>>>"
-#: Elements of an article whose text isn't read. Fixed values of the journal article tag set.
-UNREAD = frozenset("xref fig table-wrap table graphic media disp-formula inline-formula tex-math math ref-list fn-group supplementary-material sec-meta object-id label caption alternatives".split())
+#: Elements of an article whose text isn't read. Fixed values.
+UNREAD = frozenset(("xref", "ref-list", "references", "table-wrap", "table", "fig", "figure", "footnote", "caption", "back", "supplementary-material", "app-group", "app", "sec-meta", "notes", "def-list", "chem-struct-wrap"))
 
 
 def _papers(rows: DataFrame, **columns) -> DataFrame:
@@ -70,7 +70,7 @@ def parse_pubmed(xml: str | None) -> list[tuple]:
 
 
 def parse_fulltext(xml: str | None) -> str:
-    """Sections of an article's body: titles and paragraphs, a blank line between them."""
+    """An article's body: titles in capitals, paragraphs, bullets; a blank line after each stretch."""
     try:
         root = ET.fromstring(xml or "")
     except ET.ParseError:
@@ -81,21 +81,26 @@ def parse_fulltext(xml: str | None) -> str:
         parts = [node.text or ""]
         for child in node:
             parts += ["" if child.tag in UNREAD else read(child), child.tail or ""]
-        return "".join(parts)
+        return re.sub(r"\s+", " ", "".join(parts))
 
     def walk(node: ET.Element) -> None:
         for child in node:
             if child.tag in UNREAD:
                 continue
-            if child.tag in ("p", "title"):
-                text = re.sub(r"\s+", " ", read(child)).strip()
-                out.extend([text] if text else [])
+            if child.tag == "title":
+                out.append(read(child).strip().upper())
+            elif child.tag == "p":
+                out.append(read(child).strip())
+            elif child.tag == "list":
+                out.extend(f"• {read(item).strip()}" for item in child)
             else:
                 walk(child)
+                continue
+            out.append("")
 
     for body in root.iter("body"):
         walk(body)
-    return "\n\n".join(out)
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip()
 
 
 def from_pubmed(answers: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def test_texts(spark):
     assert one(spark, T.search_term("t", 9), t=" aa  bbb cccc d") == "aa bbb"
     assert one(spark, T.clean_inline("t"), t="a &lt;b&gt; <i>c</i>\n d") == "a <b> c d"
     assert one(spark, T.model_name("t"), t="text-model-2024-01-02") == "text-model"
-    assert one(spark, T.format_bytes("n"), n=1536) == "1.5 KB"
+    assert one(spark, T.format_bytes("n"), n=1536) == "≈1.5 KB"
     assert one(spark, T.prompt(F.lit("a"), F.lit(" "), F.lit("b"))) == "a\n\nb"
     assert len(one(spark, T.truncate_tokens("t", 10), t="word " * 100)) < 60
 
