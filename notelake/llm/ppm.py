@@ -33,7 +33,7 @@ from notelake.llm.language_id import split
 from notelake.llm.words import Slice, slices
 from notelake.storage import materialize, table
 
-ORDER, MAX_GRAMS, HOT_WORDS = 4, 8_000_000, 1_000_000
+ORDER, MAX_GRAMS, HOT_WORDS = 4, 4_000_000, 200_000
 #: Distinct keys that a training task holds before it hands them on.
 HELD = 4_000_000
 BITS, BOUNDARY, SYMBOLS = 9, 256, 257
@@ -108,6 +108,13 @@ class Level:
     lower: np.ndarray
 
 
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin in a sorted array."""
+    first = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=first[1:])
+    return np.flatnonzero(first)
+
+
 def _find(where: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(where):
         return np.zeros(len(what), np.int64), np.zeros(len(what), bool)
@@ -125,15 +132,18 @@ class Model:
         """From the counts of all grams of ``order + 1`` symbols; lower orders are their sums."""
         levels: list[Level] = []
         for k in range(order + 1):
-            short, at = np.unique(code & np.uint64((1 << BITS * (k + 1)) - 1), return_inverse=True)
-            total = np.bincount(at, weights=n, minlength=len(short)).astype(np.int64)
-            context, start = np.unique(short >> np.uint64(BITS), return_index=True)
-            add = lambda x, start=start: np.add.reduceat(x, start) if len(start) else np.zeros(0, np.int64)
-            lower = np.zeros(len(context), np.int64)
+            short = code & np.uint64((1 << BITS * (k + 1)) - 1)
+            place = np.argsort(short)
+            short, total = short[place], n[place]
+            start = _starts(short)
+            short, total = short[start], np.add.reduceat(total, start) if len(start) else total
+            context = short >> np.uint64(BITS)
+            start = _starts(context)
+            lower = np.zeros(len(start), np.int64)
             if k and len(short):
                 found, _ = _find(levels[-1].code, short & np.uint64((1 << BITS * k) - 1))
-                lower = add(levels[-1].n[found])
-            levels.append(Level(short, total, context, add(total), np.diff(np.append(start, len(short))), lower))
+                lower = np.add.reduceat(levels[-1].n[found], start)
+            levels.append(Level(short, total, context[start], np.add.reduceat(total, start) if len(start) else lower, np.diff(np.append(start, len(short))).astype(np.int32), lower))
         return cls(order, levels)
 
     def log10(self, code: np.ndarray) -> np.ndarray:
@@ -178,6 +188,12 @@ class Language:
         return self.__dict__ | {"rest": None}
 
 
+def _columns(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The two long columns of a bounded table, gathered as Arrow without a copy to pandas."""
+    got = df.toArrow()
+    return tuple(np.asarray(got.column(k).combine_chunks()) for k in (0, 1))
+
+
 def train(docs: DataFrame) -> Language:
     made = counts(docs)
     words, grams = made.where(F.col("kind") == WORD), made.where(F.col("kind") == GRAM)
@@ -189,16 +205,18 @@ def train(docs: DataFrame) -> Language:
         if hot > HOT_WORDS:
             break
         least = r["size"]
-    frequent = words.where(F.col("n") >= F.lit(2.0) ** least).select("key", "n").toPandas().sort_values("key")
+    key, n = _columns(words.where(F.col("n") >= F.lit(2.0) ** least).select("key", "n"))
+    place = np.argsort(key)
+    hot_words, gains = key[place], np.log10(n[place] + 1.0)
     order, codes = ORDER, grams.select("key", "n")
     while order > 1 and codes.count() > MAX_GRAMS:
         order -= 1
         codes = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << BITS * (order + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-    gram = codes.toPandas()
-    model = Model.build(gram["key"].to_numpy(np.int64).view(np.uint64), gram["n"].to_numpy(np.int64), order)
+    key, n = _columns(codes)
+    model = Model.build(key.view(np.uint64), n, order)
     total = sum(r["n"] for r in facts) + texts
     rest = words.where(F.col("n") < F.lit(2.0) ** least).select("key", "n")
-    return Language(model, frequent["key"].to_numpy(np.int64), np.log10(frequent["n"].to_numpy(np.int64) + 1.0), total, sum(r["words"] for r in facts) + (texts > 0), texts, rest)
+    return Language(model, hot_words, gains, total, sum(r["words"] for r in facts) + (texts > 0), texts, rest)
 
 
 _SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>"
