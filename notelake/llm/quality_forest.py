@@ -1,7 +1,7 @@
 """Quality rules: an isolation forest over rule statistics.
 
 Every document gets its rule statistics in one pass over its whole text. A forest of random
-splits is grown on a bounded, hash-chosen sample of labelled documents; the feature of a split
+splits is grown on a bounded, hash-chosen sample of labelled documents, few of them bad; the feature of a split
 is drawn with a weight that says how well that feature tells the sample's labels apart. A
 document's anomaly is ``2 ** (-mean path length / c(sample))``. The cut is calibrated over *all* labelled
 rows (a histogram of anomalies, aggregated by Spark), never on a sample.
@@ -28,8 +28,10 @@ from notelake.storage import materialize, table
 #: Labelled rows that the forest is grown on, at most.
 FIT_ROWS = 8192
 TREES, SAMPLE, SEED = 128, 256, 20240131
+#: Share of a tree's sample that are rows labelled bad: few, or they would hide each other.
+ODD = 0.02
 #: Share of labelled good rows (that pass the base rule) the calibrated cut must keep.
-KEEP_GOOD = 0.998
+KEEP_GOOD = 0.995
 BINS = 2000
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_digits", "n_marks", "n_lines"]
@@ -144,15 +146,21 @@ class Forest:
     cut: float = 2.0
 
     @classmethod
-    def grow(cls, x: np.ndarray, weights: np.ndarray | None = None, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> Forest:
+    def grow(cls, x: np.ndarray, weights: np.ndarray | None = None, bad: np.ndarray | None = None, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> Forest:
         weights = np.ones(x.shape[1]) if weights is None else weights
         rng = np.random.default_rng(seed)
-        sample = min(sample, len(x))
+        bad = np.zeros(len(x), bool) if bad is None else bad
+        plain, odd = np.flatnonzero(~bad), np.flatnonzero(bad)
+        if not len(plain):
+            plain, odd = odd, plain
+        some = min(len(odd), int(np.ceil(ODD * sample)))
+        sample = min(sample, len(plain) + some)
         limit = int(np.ceil(np.log2(max(sample, 2)))) + 2
         built = []
         for _ in range(trees if sample else 0):
             feature, value, left, length = [-1], [0.0], [0], [0.0]
-            todo = [(0, x[rng.choice(len(x), sample, replace=False)], 0)]
+            drawn = np.concatenate([rng.choice(plain, sample - some, replace=False), rng.choice(odd, some, replace=False)])
+            todo = [(0, x[drawn], 0)]
             while todo:
                 node, rows, depth = todo.pop()
                 lo, hi = rows.min(0), rows.max(0)
@@ -214,7 +222,8 @@ def fit(stats: DataFrame, labels: DataFrame) -> Forest:
     rows = stats.where("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words").join(flags, "doc_id")
     sample = rows.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", *STATS).limit(FIT_ROWS).select("quality", *STATS).toPandas()
     x = features({c: sample[c].to_numpy() for c in STATS})
-    forest = Forest.grow(x, split_weights(x, sample["quality"].to_numpy() == 1))
+    good = sample["quality"].to_numpy() == 1
+    forest = Forest.grow(x, split_weights(x, good), ~good)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
