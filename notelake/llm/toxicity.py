@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notelake.llm.language_id import split
@@ -36,8 +36,9 @@ FIT_ROWS = 20_000
 TERMS, LEAST_ROWS, LEAST_WEIGHT = 20_000, 4, 4.0
 #: Lengths of word beginnings that can be terms.
 BEGINNINGS = (4, 5, 6, 7)
-#: Clean documents that must hold a phrase for it to be an exception.
-EXCEPTION_ROWS = 3
+#: Log ratio from which a term is looked at with its exceptions; clean documents that must hold
+#: a phrase (and no toxic one) for it to be an exception; exceptions of a term at most.
+LOOK_WEIGHT, EXCEPTION_ROWS, EXCEPTIONS = 1.0, 3, 3
 THRESHOLD = 0.7
 
 #: Characters that are read as others. Common look-alikes and digit substitutions.
@@ -81,6 +82,11 @@ class Lexicon:
             self._machine.make_automaton()
         return self._machine
 
+    def present(self, text: str) -> set[str]:
+        """All terms of a folded text, exceptions left out."""
+        found = ((term, end - len(term) + 1) for end, (term, _) in self.machine().iter(text)) if self.weights else ()
+        return {t for t, at in found if not self.exceptions or (t, _next_word(text, at)) not in self.exceptions}
+
     def matches(self, text: str) -> dict[int, tuple[str, float]]:
         """Start of a folded word to its weightiest term, exceptions left out."""
         best: dict[int, tuple[str, float]] = {}
@@ -141,23 +147,39 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
     total = sample.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     weight = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    found = total.withColumn("weight", weight).where((F.col("toxic") >= LEAST_ROWS) & (F.col("weight") >= LEAST_WEIGHT))
-    kept = found.orderBy(F.desc("toxic"), F.desc("weight"), "term").limit(TERMS).collect()
-    lexicon = Lexicon({r["term"]: r["weight"] for r in kept})
-    if not lexicon.weights:
-        return lexicon
+    found = total.withColumn("weight", weight).where((F.col("toxic") >= LEAST_ROWS) & (F.col("weight") >= LOOK_WEIGHT))
+    looked = Lexicon({r["term"]: r["weight"] for r in found.orderBy(F.desc("weight"), F.desc("toxic"), "term").limit(TERMS).collect()})
+    if not looked.weights:
+        return Lexicon()
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple[str, str, int]] = []
             for text, flag in zip(b.column(0), b.column(1), strict=True):
                 f = folded(text.as_py())
-                out += [(t, w, int(flag.as_py() == 1)) for t, w in {(t, _next_word(f, a)) for a, (t, _) in lexicon.matches(f).items()} if w]
+                pairs = {(t, _next_word(f, end - len(t) + 1)) for end, (t, _) in looked.machine().iter(f)}
+                out += [(t, w, int(flag.as_py() == 1)) for t, w in pairs if w]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.int32())], names=["term", "following", "toxic"])
 
     seen = sample.mapInArrow(phrases, "term string, following string, toxic int").groupBy("term", "following").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic"))
-    innocent = seen.where(f"clean >= {EXCEPTION_ROWS} and toxic = 0").orderBy(F.desc("clean"), "term", "following").limit(TERMS).collect()
-    lexicon.exceptions = frozenset((r["term"], r["following"]) for r in innocent)
+    place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("clean"), "following"))
+    innocent = seen.where(f"clean >= {EXCEPTION_ROWS} and toxic = 0").withColumn("place", place).where(F.col("place") <= EXCEPTIONS)
+    looked.exceptions = frozenset((r["term"], r["following"]) for r in innocent.collect())
+
+    def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            by = (Counter(), Counter())
+            for text, flag in zip(b.column(0), b.column(1), strict=True):
+                by[flag.as_py() == 1].update(looked.present(folded(text.as_py())))
+            names = list(by[0].keys() | by[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[t] for t in names], pa.int64()) for c in by)], names=["term", "clean", "toxic"])
+
+    total = sample.mapInArrow(recount, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    kept = total.withColumn("weight", weight).where((F.col("toxic") >= LEAST_ROWS) & (F.col("weight") >= LEAST_WEIGHT)).collect()
+    lexicon = Lexicon({r["term"]: r["weight"] for r in kept})
+    if not lexicon.weights:
+        return lexicon
+    lexicon.exceptions = frozenset(x for x in looked.exceptions if x[0] in lexicon.weights)
 
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

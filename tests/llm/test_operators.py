@@ -318,7 +318,7 @@ def test_toxicity(spark, odd, empty, vocabulary):
         if i % 5 == 0:
             for _ in range(3):
                 w[rng.randrange(len(w))] = rng.choice(bad)
-        if i % 5 == 1 and i % 2:
+        if i % 20 == 1:
             w[3:5] = ["slurword", "museum"]  # an innocent phrase
         made.append((i, " ".join(w)))
         labels.append((i, 1, int(i % 5 == 0)))
