@@ -42,6 +42,8 @@ ORDERS = 3
 #: The frequency sketch has 2 ** SKETCH_BITS cells, whatever the corpus; it counts all tokens of
 #: all texts and shapes the orders only. A larger one tells rarer tokens apart.
 SKETCH_BITS, CHUNK_BITS = 22, 16
+#: Bits of the bitmap of nodes (8 MB), in chunks of 2 ** CHUNK.
+BITMAP_BITS, CHUNK = 26, 20
 #: A token whose cell counts more than this is dealt over several tasks.
 SALT_FROM = 4096
 #: Neighbours by size that a set is verified against for each of its early tokens in the first round.
@@ -177,7 +179,8 @@ def shared_tokens(prefixes: DataFrame) -> DataFrame:
     for k in range(1, NEAR + 1):
         rows = rows.withColumn(f"near{k}", F.lag(me, k).over(order))
     rows = rows.withColumn("hub", F.min(me).over(by)).withColumn("least", F.min("fp").over(by)).withColumn("last", F.max("fp").over(by))
-    return rows.where("least <> last or salt > 0").select("token", "fp", "n", "reach", "hub", *[f"near{k}" for k in range(1, NEAR + 1)])
+    rows = rows.withColumn("low", F.min("n").over(by)).withColumn("high", F.max("reach").over(by))
+    return rows.where("salt > 0 or least <> last and low <= reach and n <= high").select("token", "fp", "n", "reach", "hub", *[f"near{k}" for k in range(1, NEAR + 1)])
 
 
 def _pairs(rows: DataFrame, other: str) -> DataFrame:
@@ -216,19 +219,43 @@ def verify(pairs: DataFrame, texts: DataFrame, orders: Orders) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
-def node_texts(docs: DataFrame, marks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(fp, text): one text for each node, taken from the row with its least id."""
-    ids = marks.where("n > 0").join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("id"))
-    picked = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id"))).select("fp", "text")
+def _bitmap(nodes: DataFrame) -> np.ndarray:
+    """One bit for each remainder of a node's hash: 2 ** (BITMAP_BITS - 3) bytes for any corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:  # an id may be repeated with another text: only the node's own set counts
-            same = np.concatenate([s.fingerprints().view(np.int64) for s in of_column(b.column(1))] or [np.empty(0, np.int64)])
-            yield b.filter(pa.array(same == b.column(0).to_numpy()))
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = b.column(0).to_numpy() & (2**BITMAP_BITS - 1)
+            for chunk in np.unique(at >> CHUNK).tolist():
+                bits = held.setdefault(chunk, np.zeros(1 << CHUNK, bool))
+                bits[at[at >> CHUNK == chunk] & (2**CHUNK - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in held.values()], pa.binary())], names=["chunk", "bits"])
+
+    chunk = F.shiftright(F.col("fp").bitwiseAND(F.lit(2**BITMAP_BITS - 1)), CHUNK)
+    rows = nodes.select("fp").repartition(1 << (BITMAP_BITS - CHUNK), chunk).mapInArrow(run, "chunk int, bits binary").collect()
+    out = np.zeros((1 << (BITMAP_BITS - CHUNK), 1 << (CHUNK - 3)), np.uint8)
+    for r in rows:
+        out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def node_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(fp, text): one text for each node (and for a few other sets, which nothing asks for).
+
+    A bitmap of fixed size tells which texts to send on, so that only those are shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, known = shared.value, set()
+        for b in batches:
+            for s in of_column(b.column(0)):
+                prints = s.fingerprints().view(np.int64)
+                at = prints & (2**BITMAP_BITS - 1)
+                wanted = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                wanted = [i for i in wanted.tolist() if s.at[i + 1] > s.at[i] and not (prints[i].item() in known or known.add(prints[i].item()))]
+                yield pa.RecordBatch.from_arrays([pa.array(prints[wanted]), b.column(0).take(pa.array([s.first + i for i in wanted], pa.int64())).cast(pa.string())], names=["fp", "text"])
 
-    made = picked.mapInArrow(run, "fp long, text string")
-    copies = marks.where("n > 0").groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    return made if copies.isEmpty() else made.dropDuplicates(["fp"])  # rows with the same id and set
+    return docs.select("text").mapInArrow(run, "fp long, text string").dropDuplicates(["fp"])
 
 
 def _open(tokens: DataFrame, roots: DataFrame) -> DataFrame:
@@ -244,7 +271,7 @@ def grouped_rows(docs: DataFrame) -> DataFrame:
     marks = materialize(signatures(docs), "join-marks")
     orders = frequency_orders(marks)
     tokens = materialize(shared_tokens(prefix_tokens(docs, orders)), "join-tokens")
-    texts = materialize(node_texts(docs, marks, tokens.select("fp").distinct()), "join-texts")
+    texts = materialize(node_texts(docs, tokens.select("fp").distinct()), "join-texts")
 
     first = _pairs(tokens, "hub")
     for k in range(1, NEAR + 1):
