@@ -6,10 +6,14 @@ boundary symbol. It is pretrained: all counts come from all training texts, summ
 Since a pretrained probability depends on the last bytes and the next symbol only, each distinct
 byte gram of a slice of documents is scored once, vectorised, and summed per document.
 
-Sizes. The trie's depth is ``ORDER``; only if it would pass ``MAX_GRAMS`` entries (a bound on
-what the driver gathers and a broadcast holds) is the deepest order dropped, which ends at order 1
-with at most 257^2 entries. Word counts may be of any number: the ``HOT_WORDS`` most frequent words
-at most are broadcast; the rest is joined by key, each document's rare words being shuffled once.
+Sizes. The trie's depth is ``ORDER`` at any size. An order of at most ``MAX_GRAMS`` entries (a bound
+on what the driver gathers and a broadcast holds) is broadcast whole. Beyond that only contexts from
+a count on are, with all their symbols; since a context's suffix is at least as frequent, the lower
+orders of such a context are there, too. Document grams after any other context are shuffled once,
+dealt with all training grams by the context's last two symbols, which hold all of orders 2 and up;
+orders 0 and 1 have at most 257^2 entries. Word counts may be of any number: the ``HOT_WORDS`` most
+frequent words at most are broadcast; the rest is joined by key, each document's rare words being
+shuffled once.
 
 Edge cases: null and empty texts have the end token only; with nothing to train on, words have
 count 0 (N = V = 0) and all symbols are equally likely; a null id counts as not held out; repeated
@@ -108,6 +112,11 @@ class Level:
     lower: np.ndarray
 
 
+def _mask(order: int) -> np.uint64:
+    """The bits of a code's last ``order + 1`` symbols."""
+    return np.uint64((1 << BITS * (order + 1)) - 1)
+
+
 def _starts(values: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin in a sorted array."""
     first = np.ones(len(values), bool)
@@ -130,9 +139,14 @@ class Model:
     @classmethod
     def build(cls, code: np.ndarray, n: np.ndarray, order: int) -> Model:
         """From the counts of all grams of ``order + 1`` symbols; lower orders are their sums."""
+        return cls.of([(code & _mask(k), n) for k in range(order + 1)])
+
+    @classmethod
+    def of(cls, grams: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+        """From (codes, counts) of each order, which may repeat a code; a context has all its symbols
+        or none, and where it is there its suffixes are."""
         levels: list[Level] = []
-        for k in range(order + 1):
-            short = code & np.uint64((1 << BITS * (k + 1)) - 1)
+        for k, (short, n) in enumerate(grams):
             place = np.argsort(short)
             short, total = short[place], n[place]
             start = _starts(short)
@@ -141,10 +155,10 @@ class Model:
             start = _starts(context)
             lower = np.zeros(len(start), np.int64)
             if k and len(short):
-                found, _ = _find(levels[-1].code, short & np.uint64((1 << BITS * k) - 1))
+                found, _ = _find(levels[-1].code, short & _mask(k - 1))
                 lower = np.add.reduceat(levels[-1].n[found], start)
             levels.append(Level(short, total, context[start], np.add.reduceat(total, start) if len(start) else lower, np.diff(np.append(start, len(short))).astype(np.int32), lower))
-        return cls(order, levels)
+        return cls(len(grams) - 1, levels)
 
     def log10(self, code: np.ndarray) -> np.ndarray:
         """log10 probability of the last symbol of each gram after the symbols before it."""
@@ -152,7 +166,7 @@ class Model:
         excluded, seen = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
         for k in range(self.order, -1, -1):
             level = self.levels[k]
-            short = code[left] & np.uint64((1 << BITS * (k + 1)) - 1)
+            short = code[left] & _mask(k)
             at, known = _find(level.context, short >> np.uint64(BITS))
             entry, hit = _find(level.code, short)
             if not len(level.context):
@@ -174,7 +188,9 @@ class Model:
 
 @dataclass
 class Language:
-    """All that scoring needs on the executors; ``rest`` stays a table."""
+    """All that scoring needs on the executors; ``rest`` and ``grams`` stay tables.
+
+    ``grams`` has all training grams where ``model`` holds frequent contexts only."""
 
     model: Model
     words: np.ndarray
@@ -183,9 +199,11 @@ class Language:
     vocabulary: int
     texts: int
     rest: DataFrame | None = None
+    grams: DataFrame | None = None
+    partial: bool = False
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"rest": None}
+        return self.__dict__ | {"rest": None, "grams": None}
 
 
 def _columns(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -194,6 +212,60 @@ def _columns(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.asarray(got.column(k).combine_chunks()) for k in (0, 1))
 
 
+def _grams(codes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    key, n = _columns(codes)
+    return key.view(np.uint64), n
+
+
+def frequent_contexts(grams: DataFrame) -> Model:
+    """Orders 0 and 1 whole; of the others the contexts from a count on, the least power of two
+    with which no order has more than ``MAX_GRAMS`` entries."""
+    context, least, orders = F.shiftright("key", BITS).alias("context"), 0, {}
+    for k in range(ORDER + 1):
+        orders[k] = grams.groupBy(F.col("key").bitwiseAND(F.lit(int(_mask(k)))).alias("key")).agg(F.sum("n").alias("n"))
+        if k < 2:
+            continue
+        orders[k] = materialize(orders[k], "lm-order")
+        sums = orders[k].groupBy(context).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("entries"))
+        sizes = sums.groupBy(F.floor(F.log2("total")).cast("int").alias("size")).agg(F.sum("entries").alias("entries")).collect()
+        held = 0
+        for r in sorted(sizes, key=lambda r: -r["size"]):
+            held += r["entries"]
+            if held > MAX_GRAMS:
+                least = max(least, r["size"] + 1)
+                break
+    for k in range(2, ORDER + 1):
+        some = orders[k].groupBy(context).agg(F.sum("n").alias("total")).where(F.col("total") >= F.lit(2.0) ** least).select("context")
+        orders[k] = orders[k].withColumn("context", F.shiftright("key", BITS)).join(some, "context", "left_semi").select("key", "n")
+    return Model.of([_grams(orders[k]) for k in range(ORDER + 1)])
+
+
+def rare_scores(made: DataFrame, language: Language) -> DataFrame:
+    """(uid, gained): summed scores of document grams after contexts that aren't broadcast."""
+    low = made.sparkSession.sparkContext.broadcast([(x.code, x.n) for x in language.model.levels[:2]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trained, model = [], None
+        for b in batches:
+            uid, key, n = (b.column(k) for k in range(3))
+            key, n, asked = np.asarray(key).view(np.uint64), np.asarray(n), ~np.asarray(uid.is_null().to_numpy(zero_copy_only=False))
+            trained.append((key[~asked], n[~asked]))
+            if not asked.any():
+                continue
+            if model is None:  # training grams come first
+                code, count = (np.concatenate(x) for x in zip(*trained, strict=True))
+                model = Model.of([*low.value, *((code & _mask(k), count) for k in range(2, ORDER + 1))])
+            place, grams = pd.factorize(key[asked])
+            rows, ids = pd.factorize(np.asarray(uid.drop_null()))
+            gained = np.bincount(rows, weights=model.log10(grams)[place] * n[asked], minlength=len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(gained)], names=["uid", "gained"])
+
+    asked = made.select("uid", F.explode(F.arrays_zip("grams", "gram_times")).alias("x")).select("uid", F.col("x.grams").alias("key"), F.col("x.gram_times").cast("long").alias("n"))
+    both = language.grams.select(F.lit(None).cast("long").alias("uid"), "key", "n").unionByName(asked)
+    dealt = both.repartition(F.shiftright("key", BITS).bitwiseAND(F.lit(int(_mask(1))))).sortWithinPartitions(F.col("uid").asc_nulls_first())
+    return dealt.mapInArrow(run, "uid long, gained double").groupBy("uid").agg(F.sum("gained").alias("gained"))
+
+
 def train(docs: DataFrame) -> Language:
     made = counts(docs)
     words, grams = made.where(F.col("kind") == WORD), made.where(F.col("kind") == GRAM)
@@ -208,18 +280,23 @@ def train(docs: DataFrame) -> Language:
     key, n = _columns(words.where(F.col("n") >= F.lit(2.0) ** least).select("key", "n"))
     place = np.argsort(key)
     hot_words, gains = key[place], np.log10(n[place] + 1.0)
-    order, codes = ORDER, grams.select("key", "n")
-    while order > 1 and codes.count() > MAX_GRAMS:
-        order -= 1
-        codes = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << BITS * (order + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-    key, n = _columns(codes)
-    model = Model.build(key.view(np.uint64), n, order)
+    grams = grams.select("key", "n")
+    partial = grams.count() > MAX_GRAMS
+    model = frequent_contexts(grams) if partial else Model.build(*_grams(grams), ORDER)
     total = sum(r["n"] for r in facts) + texts
     rest = words.where(F.col("n") < F.lit(2.0) ** least).select("key", "n")
-    return Language(model, hot_words, gains, total, sum(r["words"] for r in facts) + (texts > 0), texts, rest)
+    return Language(model, hot_words, gains, total, sum(r["words"] for r in facts) + (texts > 0), texts, rest, grams if partial else None, partial)
+
+
+_SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>, grams array<long>, gram_times array<int>"
 
 
-_SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>"
+def _lists(pairs: np.ndarray, keys: np.ndarray, rows: int) -> tuple[pa.ListArray, pa.ListArray]:
+    """The different keys of each row and how often they occur; a pair is row * len(keys) + key."""
+    pair, times = np.unique(pairs, return_counts=True)
+    size = max(1, len(keys))
+    offsets = pa.array(np.searchsorted(pair // size, np.arange(rows + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(keys[pair % size])), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))
 
 
 def score(docs: DataFrame, language: Language) -> DataFrame:
@@ -238,7 +315,13 @@ def score(docs: DataFrame, language: Language) -> DataFrame:
     def rows(b: pa.RecordBatch, s: Slice, known: Language, uid: int) -> pa.RecordBatch:
         code, starts = gram_codes(s, known.model.order)
         inverse, grams = pd.factorize(code)
-        gained = np.add.reduceat(known.model.log10(grams)[inverse], starts[:-1])
+        gains, sent, apart = np.zeros(len(grams)), np.zeros(len(grams), bool), _lists(np.empty(0, np.int64), grams.view(np.int64), s.rows)
+        if known.partial:
+            sent = ~_find(known.model.levels[-1].context, grams >> np.uint64(BITS))[1]
+            at = np.flatnonzero(sent[inverse])
+            apart = _lists(np.repeat(np.arange(s.rows), np.diff(starts))[at] * np.int64(len(grams)) + inverse[at], grams.view(np.int64), s.rows)
+        gains[~sent] = known.model.log10(grams[~sent])
+        gained = np.add.reduceat(gains[inverse], starts[:-1])
         row, n = s.word_rows(), s.counts()
         inverse, words = pd.factorize(s.hashes().view(np.int64))
         place, hot = _find(known.words, words)
@@ -246,14 +329,12 @@ def score(docs: DataFrame, language: Language) -> DataFrame:
         hot = hot[inverse]
         base = np.bincount(row, weights=gain, minlength=s.rows) + np.log10(known.texts + 1.0)
         rare = np.flatnonzero(~hot)
-        pair, first, times = np.unique(row[rare] * np.int64(len(words)) + inverse[rare], return_index=True, return_counts=True)
-        offsets = np.searchsorted(pair // max(1, len(words)), np.arange(s.rows + 1)).astype(np.int32)
-        keys = words[inverse[rare[first]]]
+        apart = [*_lists(row[rare] * np.int64(len(words)) + inverse[rare], words, s.rows), *apart]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.arange(uid, uid + s.rows)), b.column(0).slice(s.first, s.rows), b.column(1).slice(s.first, s.rows), pa.array(n.astype(np.int64) + 1),
                 pa.array((np.bincount(row[hot], minlength=s.rows) + (known.texts > 0)).astype(np.int64)), pa.array(base), pa.array(gained),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(times.astype(np.int32))),
+                *apart,
             ],
             names=[x.split()[0] for x in _SCORED.split(", ")],
         )
@@ -261,10 +342,13 @@ def score(docs: DataFrame, language: Language) -> DataFrame:
     made = materialize(docs.select(F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(run, _SCORED), "lm-scores")
     pairs = made.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     found = pairs.join(language.rest, "key").groupBy("uid").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("known"))
-    out = made.drop("rare", "times").join(found, "uid", "left")
+    out = made.drop("rare", "times", "grams", "gram_times").join(found, "uid", "left")
+    gained = F.col("score")
+    if language.partial:
+        out, gained = out.join(rare_scores(made, language), "uid", "left"), F.col("score") + F.coalesce("gained", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(language.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(smooth))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(smooth))).alias("base_score"), gained.alias("score"),
     )
 
 

@@ -268,6 +268,16 @@ def test_base_scores_and_rare_words(spark, odd, empty, monkeypatch):
     assert untrained.n_known == 0 and untrained.score == pytest.approx(-math.log10(257))
 
 
+def test_ppm_keeps_its_depth_beyond_max_grams(spark, odd, monkeypatch):
+    docs, out = ppm.split(odd, 7, 2), {}
+    for most in (4_000_000, 300, 1):
+        monkeypatch.setattr(ppm, "MAX_GRAMS", most)
+        language = ppm.train(docs.where("not held_out"))
+        assert language.partial == (most < 4_000_000) and all(len(x.code) <= most for x in language.model.levels[2:])
+        out[most] = sorted(((r.doc_id, r.held_out, round(r.base_score, 6), round(r.score, 6)) for r in ppm.score(docs, language).collect()), key=repr)
+    assert out[4_000_000] == out[300] == out[1]
+
+
 def test_ppm_equals_a_plain_version_and_sums_to_one(monkeypatch):
     import pyarrow as pa
 
