@@ -7,11 +7,14 @@ to the writer and the files are plain concatenated members. Longer members are f
 zero byte, which gzip readers skip.
 
 *Reader.* Archives come whole (they are bounded by ``RECORDS_PER_ARCHIVE``) from the
-``binaryFile`` source and are parsed in Python, a member at a time. A member must inflate with a
-right checksum, a record must have a version line, a length, its closing blank lines and, where
-the header states one, the right block digest. After a failed check the reader searches for
-the next member or version line that passes all checks, goes on from there and logs the bytes
-between as a quarantined gap. Nothing valid after damage is lost.
+``binaryFile`` source and are parsed in Python, a member at a time. A record must have a version
+line, a length, its closing blank lines and, where the header states one, the right block digest.
+After a failed check the reader searches for the next member or version line that passes all
+checks, goes on from there and logs the bytes between as a quarantined gap. The same is done
+inside a member's inflated bytes, and inside what inflates before the damage of a member that is
+cut off or has a wrong checksum; but where such a member inflates to exactly one record, its failed
+check counts as the record's, which is quarantined. Else nothing valid before or after damage is
+lost, but for what a member inflates to beyond ``LARGEST_MEMBER``.
 
 Edge cases: null payloads are empty; null URLs have no header line; null ids give an empty id;
 control characters in header values are percent-coded; repeated rows are records of their own;
@@ -25,6 +28,7 @@ import base64
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,9 +41,11 @@ from notelake.storage import fresh_path, materialize, table
 #: Equal payloads from this size on are stored once.
 REVISIT_BYTES = 1000
 RECORDS_PER_ARCHIVE = 20_000
-#: Inflated size from which a member counts as damaged (Arrow cells end at 2 GiB).
+#: Inflated size from which the rest of a member counts as damaged (Arrow cells end at 2 GiB).
 LARGEST_MEMBER = (1 << 31) - (1 << 20)
 LEVEL, CHUNK, OUT_BYTES = 1, 1 << 16, 1 << 24
+#: Bytes that are fed at once to see how far a damaged member inflates.
+STEP = 64
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_DDL = "archive string, start long, stop long, kind string, reason string, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload binary"
@@ -165,28 +171,84 @@ def inflate(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(out), pos - len(z.unused_data)
 
 
-def records_at(data: bytes, at: int) -> tuple[list[Record], int]:
-    """All records of the gzip member, or the plain record, at ``at``."""
+def recover(data: bytes, at: int) -> tuple[bytes, list[tuple[int, int]]]:
+    """What a damaged member inflates to before its damage; and (bytes made, place) of each step."""
+    z, out, pos, held, steps = zlib.decompressobj(31), [], at, 0, []
+    step, before = STEP, z.copy()
+    while pos < len(data) and held <= LARGEST_MEMBER and not z.eof:
+        try:
+            made = z.decompress(data[pos : pos + step])
+        except zlib.error:
+            if step == 1:
+                break
+            z, step = before, 1  # up to the byte that fails
+            continue
+        pos += step
+        if made:
+            out.append(made)
+            held += len(made)
+            steps.append((held, pos - step))
+        if step > 1:
+            before = z.copy()
+    return b"".join(out), steps
+
+
+def inner_records(inner: bytes) -> Iterator[tuple[int, int, Record | str]]:
+    """As ``salvage_bytes``, of inflated bytes."""
+    at, gap, why = 0, None, ""
+    while at < len(inner):
+        try:
+            record, end = parse_record(inner, at)
+        except Damaged as e:
+            if gap is None:
+                gap, why = at, str(e)
+            following = _VERSION.search(inner, at + 1)
+            at = following.start() if following else len(inner)
+            continue
+        if gap is not None:
+            yield gap, at, why
+            gap = None
+        yield at, end, record
+        at = end
+    if gap is not None:
+        yield gap, len(inner), why
+
+
+def records_at(data: bytes, at: int) -> tuple[list[Record | str], int, str | None]:
+    """Records and inner gaps of the gzip member, or the plain record, at ``at``; where to go on;
+    and what ails the member if its rest is lost. ``Damaged`` if nothing in it passes."""
     if data[at : at + 2] != b"\x1f\x8b":
         record, end = parse_record(data, at)
-        return [record], end
-    inner, end = inflate(data, at)
-    found, pos = [], 0
-    while pos < len(inner):
-        record, pos = parse_record(inner, pos)
-        found.append(record)
-    return found, end
+        return [record], end, None
+    lost, steps = None, []
+    try:
+        inner, end = inflate(data, at)
+    except Damaged as e:
+        lost = str(e)
+        inner, steps = recover(data, at)
+    found = list(inner_records(inner))
+    stops = [b for _, b, x in found if isinstance(x, Record)]
+    if not stops and (found or lost):
+        raise Damaged(lost or found[0][2])
+    if lost and len(found) == 1 and stops[0] == len(inner):  # the failed check is this record's own
+        raise Damaged(lost)
+    if lost:  # after the last record that passed; what can't be read after it is one gap
+        found = [x for x in found if x[1] <= stops[-1]]
+        end = max(at + 1, steps[bisect_left(steps, (stops[-1],))][1])
+    return [x if isinstance(x, Record) else f"bytes {a} to {b} of the member: {x}" for a, b, x in found], end, lost
 
 
 def salvage_bytes(data: bytes) -> Iterator[tuple[int, int, Record | str]]:
-    """(start, stop, record) for each valid record, (start, stop, reason) for each gap."""
+    """(start, stop, record) for each valid record, (start, stop, reason) for each gap.
+
+    Both are places in ``data``; a gap inside a member has the member's and says where it is."""
     at, gap, why = 0, None, ""
     while at < len(data):
         if gap is None and data[at] == 0:  # padding between members
             at += 1
             continue
         try:
-            found, end = records_at(data, at)
+            found, end, lost = records_at(data, at)
         except Damaged as e:
             if gap is None:
                 gap, why = at, str(e)
@@ -199,6 +261,10 @@ def salvage_bytes(data: bytes) -> Iterator[tuple[int, int, Record | str]]:
         for r in found:
             yield at, end, r
         at = end
+        if lost:
+            gap, why = end, lost
+            following = _START.search(data, end)
+            at = following.start() if following else len(data)
     if gap is not None:
         yield gap, len(data), why
 

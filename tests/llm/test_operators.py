@@ -58,6 +58,20 @@ def test_salvage_finds_the_next_valid_record():
     assert list(warc.salvage_bytes(b"")) == []
 
 
+def test_salvage_inside_members():
+    rng = random.Random(3)
+    made = [warc.record_bytes("response", f"urn:{i}", "u", rng.randbytes(3000), "d", None) for i in range(5)]
+    ids = lambda data: [r.record_id if isinstance(r, warc.Record) else "gap" for _, _, r in warc.salvage_bytes(data)]
+    bad = made[1][:-100] + b"x" * 10 + made[1][-90:]
+    assert ids(warc.member(made[0] + bad + made[2] + b"x")) == ["urn:0", "gap", "urn:2", "gap"]
+    whole, after = warc.member(b"".join(made[:4])), warc.member(made[4])
+    wrong = bytearray(whole)
+    wrong[-6] ^= 1  # the checksum
+    assert ids(bytes(wrong) + after) == ["urn:0", "urn:1", "urn:2", "urn:3", "gap", "urn:4"]
+    assert ids(whole[: len(whole) // 2 + 500]) == ["urn:0", "urn:1", "gap"]
+    assert ids(whole[: len(whole) // 2 + 500] + after) == ["urn:0", "urn:1", "gap", "urn:4"]
+
+
 # 2: mixing
 
 
