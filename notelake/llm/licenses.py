@@ -4,7 +4,8 @@ Texts are lower-cased (A-Z) and cut into words of letters and digits; words are
 blank, so punctuation and line breaks don't matter. A notice of m characters may differ in
 ``m // 10`` edits. It is cut into one piece more than that, so that one piece must be there
 unchanged (pigeonhole); all pieces are found by one Aho-Corasick pass, and the windows around
-them are verified by bounded-error matching, which also gives the edits.
+them are verified by bounded-error matching, which also gives the edits. The best match of a
+window is taken first, then the best ones before and after it, until none is left.
 
 Matching is on whole texts. Edge cases: null and empty texts have no words, no labels and score
 0; notices that run into each other are reported each; repeated rows and null ids are scanned
@@ -100,8 +101,12 @@ class Searcher:
         """(notice, start, end, edits) in a normal text whose words are joined by one blank."""
         out = []
         for i, spans in self.windows(text).items():
-            for lo, hi in spans:
-                out += [(i, m.start(), m.end(), sum(m.fuzzy_counts)) for m in self.patterns[i].finditer(text, lo, hi, overlapped=False)]
+            while spans:
+                lo, hi = spans.pop()
+                m = self.patterns[i].search(text, lo, hi)
+                if m:  # the best of the window, which may have others on both sides
+                    out.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
+                    spans += [(a, b) for a, b in ((lo, m.start()), (m.end(), hi)) if b - a >= len(self.notices[i][0]) - self.edits[i]]
         return sorted(set(out))
 
 

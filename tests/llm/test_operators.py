@@ -374,3 +374,12 @@ def test_license_scan(spark, odd, empty):
     m = licenses.notices(texts[4])[0]
     assert texts[4][m.start : m.end].startswith("Licensd") and m.edits == 2
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(empty).count() == 0
+
+
+def test_worse_license_matches_before_the_best_are_reported():
+    good, bad = "mozilla public license", "mozila public license"
+    spans = lambda t: [(m.start, m.end, m.edits > 0) for m in licenses.notices(t) if m.label == "mpl"]
+    assert spans(f"{bad} {good}") == [(0, 21, True), (22, 44, False)]
+    assert spans(f"{bad} {good} {bad}") == [(0, 21, True), (22, 44, False), (45, 66, True)]
+    for n in (3, 40):
+        assert len(spans(" ".join([bad] * n + [good] + [bad] * n))) == 2 * n + 1
