@@ -7,7 +7,9 @@ the literals bound to that name before (constants are propagated, in text order,
 several names). A literal's score is the sensitivity of the most sensitive name that it reaches,
 times how much it looks like a secret; placeholders and references to an environment score 0.
 
-Matching is linear in the text. Spans are code points, end exclusive.
+Lexing has no bounds of length, and names share the values that they carry on, so that the time
+is linear in the text. A value that a concatenation holds in several ways counts each time in
+the concatenation's own score. Spans are code points, end exclusive.
 
 Edge cases: null and empty texts have no spans; very long texts are scanned whole; repeated
 rows and null ids are scanned one by one; empty tables give empty results. Further columns are
@@ -31,21 +33,20 @@ from notelake.storage import table
 KINDS = ("assign", "access", "hex", "lexed")
 #: Literals score from 0 to 1; from this on they are reported.
 REPORT = 0.5
-#: Literals that one name carries on to names assigned from it (the latest), so that a loop of
-#: ``s = s + "x"`` stays linear; every literal is scored under the names it meets before that.
-CARRIED = 64
 MASK = "[secret]"
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
-_PART = r"""(?:"(?:[^"\\\n]|\\.){0,4096}"|'(?:[^'\\\n]|\\.){0,4096}'|`[^`\n]{0,4096}`|[^\s"'`,;(){}<>\[\]+=:&|]+)"""
-_PAIR = re.compile(
-    rf"""(?<![A-Za-z0-9_])(?P<name>[A-Za-z_][A-Za-z0-9_.-]{{0,127}})(?:["']\])?["']?[\x20\t]{{0,16}}(?::=|=>|=(?!=)|:(?![/:]))[\x20\t]{{0,16}}(?P<value>{_PART}(?:[\x20\t]{{0,16}}\+[\x20\t]{{0,16}}{_PART}){{0,16}})"""
-)
-_ELEMENT = re.compile(r"<([A-Za-z_][\w.-]{0,127})>[\x20\t]{0,16}([^<>\n]{1,4096}?)[\x20\t]{0,16}</\1>", re.A)
-_CALL = re.compile(r"""\w{1,64}\([\x20\t]{0,16}["']([A-Za-z_][\w.-]{0,127})["'],[\x20\t]{0,16}["']([^"'\n]{1,4096})["']""", re.A)
+_PART = r"""(?:"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\n]*+`|[^\s"'`,;(){}<>\[\]+=:&|]++)"""
+_SIGN = re.compile("[:=]")
+_OPERATOR = re.compile(r"(?::=|=>|=(?!=)|:(?![/:]))[\x20\t]*+")
+_VALUE = re.compile(rf"{_PART}(?:[\x20\t]*+\+[\x20\t]*+{_PART})*+")
+_NAME_START = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z_]")
+_NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.-]*+)>[\x20\t]*+([^<>\n]++)</\1>", re.A)
+_CALL = re.compile(r"""(?<=\w)\([\x20\t]*+["']([A-Za-z_][\w.-]*+)["'],[\x20\t]*+["']([^"'\n]++)["']""", re.A)
 _PIECE = re.compile(_PART)
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 _SUBWORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -70,13 +71,57 @@ def literal_score(value: str) -> float:
     """0 to 1: long, varied strings of several kinds of characters look like secrets."""
     if len(value) < 6 or value.lower() in _DULL or _HOLDS.search(value) or any(c.isspace() for c in value):
         return 0.0
-    n = len(value)
-    bits = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    plain = kinds == 1 and value.isalpha()
+    return _variety(len(value), Counter(value))
+
+
+def _variety(n: int, chars: Counter[str]) -> float:
+    bits = -sum(k / n * math.log2(k / n) for k in chars.values())
+    kinds = sum(any(f(c) for c in chars) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    plain = kinds == 1 and all(c.isalpha() for c in chars)
     return max(0.0, min(1.0, bits / 3.5) * min(1.0, 0.55 + n / 40) * (0.6 if plain else 1.0))
 
 
+class _Joined:
+    """What scoring needs of a concatenation: its characters, ends and placeholders."""
+
+    KEPT = 16  # more than the longest placeholder mark and the longest dull word
+
+    def __init__(self, value: str = ""):
+        self.n, self.chars, self.head, self.tail = len(value), Counter(value), value[: self.KEPT], value[-self.KEPT :]
+        self.held, self.opened, self.closed = bool(_HOLDS.search(value)), "<" in value, ">" in value
+
+    def add(self, x: _Joined) -> None:
+        self.held = self.held or x.held or (self.opened and x.closed) or bool(_HOLDS.search(self.tail + x.head))
+        self.n += x.n
+        self.chars.update(x.chars)
+        self.head, self.tail = (self.head + x.head)[: self.KEPT], (self.tail + x.tail)[-self.KEPT :]
+        self.opened, self.closed = self.opened or x.opened, self.closed or x.closed
+
+    def score(self) -> float:
+        if self.n <= self.KEPT:
+            return literal_score(self.head)
+        return 0.0 if self.held or any(c.isspace() for c in self.chars) else _variety(self.n, self.chars)
+
+
+class _Value:
+    """A literal, or a concatenation of values that other values may share."""
+
+    def __init__(self, text: str = "", start: int = 0, end: int = 0, parts: tuple[_Value, ...] = ()):
+        self.text, self.start, self.end, self.parts = text, start, end, parts
+        self.reach, self.told, self.shared = 0.0, False, False
+        self.joined: _Joined | None = None
+
+    def join(self, last: _Value | None) -> None:
+        """Sums up the parts; takes over those of ``last`` where no name stands for it any more."""
+        first, *rest = self.parts
+        if first is last and not first.shared and first.parts:
+            self.joined, first.joined = first.joined, None
+        else:
+            self.joined, rest = _Joined(), self.parts
+        for x in rest:
+            self.joined.add(x.joined or _Joined(x.text))
+
+
 def base_spans(text: str) -> list[tuple[str, int, int, int, int]]:
     """(kind, start, end, value start, value end) of the fixed patterns."""
     found = [("assign", m.start(), m.end(), m.start(2), m.end(2)) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
@@ -89,10 +134,28 @@ def pairs(text: str) -> list[tuple[int, str, list[tuple[str, int, int]]]]:
     """(position, name, parts) of all assignments; a part is (text, start, end), quotes kept."""
     found = []
     if "=" in text or ":" in text:
-        for m in _PAIR.finditer(text):
-            found.append((m.start(), m["name"], [(p[0], p.start(), p.end()) for p in _PIECE.finditer(text, m.start("value"), m.end("value"))]))
+        done = 0
+        for sign in _SIGN.finditer(text):
+            at = stop = sign.start()
+            operator = _OPERATOR.match(text, at) if at >= done else None
+            if not operator:
+                continue
+            while stop > done and text[stop - 1] in " \t":
+                stop -= 1
+            if stop > done and text[stop - 1] in "\"'":
+                stop -= 1
+            if stop > done + 1 and text[stop - 1] == "]" and text[stop - 2] in "\"'":
+                stop -= 2
+            start = stop
+            while start > done and text[start - 1] in _NAME_CHARS:
+                start -= 1
+            name = _NAME_START.search(text, start, stop)
+            value = _VALUE.match(text, operator.end()) if name else None
+            if value:
+                done = value.end()
+                found.append((name.start(), text[name.start() : stop], [(p[0], p.start(), p.end()) for p in _PIECE.finditer(text, value.start(), done)]))
     if "</" in text:
-        found += [(m.start(), m[1], [(f'"{m[2]}"', m.start(2) - 1, m.end(2) + 1)]) for m in _ELEMENT.finditer(text)]
+        found += [(m.start(), m[1], [(f'"{m[2].rstrip(" \t")}"', m.start(2) - 1, m.start(2) + len(m[2].rstrip(" \t")) + 1)]) for m in _ELEMENT.finditer(text)]
     if '",' in text or "'," in text:
         found += [(m.start(), m[1], [(f'"{m[2]}"', m.start(2) - 1, m.end(2) + 1)]) for m in _CALL.finditer(text)]
     return sorted(found, key=lambda x: x[0])
@@ -100,28 +163,45 @@ def pairs(text: str) -> list[tuple[int, str, list[tuple[str, int, int]]]]:
 
 def lexed_spans(text: str) -> list[tuple[str, int, int, int, int]]:
     """Literals that reach a sensitive name, by propagation of constants."""
-    bound: dict[str, list[tuple[str, int, int]]] = {}
-    best: dict[tuple[int, int], float] = {}
+    bound: dict[str, _Value] = {}
+    best: set[tuple[int, int]] = set()
     for _, name, parts in pairs(text):
-        literals: list[tuple[str, int, int]] = []
+        values: list[_Value] = []
         for raw, start, end in parts:
             if raw[0] in "\"'`" and len(raw) >= 2:
-                literals.append((raw[1:-1], start + 1, end - 1))
+                values.append(_Value(raw[1:-1], start + 1, end - 1))
             elif _NAME.match(raw) and raw in bound:
-                literals += bound[raw]
+                values.append(bound[raw])
+                bound[raw].shared |= raw != name
             else:
                 bare = raw.rstrip(".!?")
-                literals.append((bare, start, start + len(bare)))
-        literals = list(dict.fromkeys(literals))[-CARRIED:]
-        bound[name] = literals
+                values.append(_Value(bare, start, start + len(bare)))
+        values = list(dict.fromkeys(values))
+        whole = values[0]
+        if len(values) > 1:
+            whole = _Value(parts=tuple(values))
+            whole.join(bound.get(name))
+        bound[name] = whole
         sensitive = name_score(name)
-        if sensitive:
-            whole = literal_score("".join(x[0] for x in literals))
-            for value, start, end in literals:
-                score = sensitive * max(literal_score(value), whole if len(literals) > 1 else 0.0)
-                if score >= REPORT and end > start:
-                    best[start, end] = max(score, best.get((start, end), 0.0))
-    return [("lexed", a, b, a, b) for a, b in best]
+        if not sensitive:
+            continue
+        ways = [whole]
+        while ways:  # each value is met once for each higher sensitivity
+            x = ways.pop()
+            if x.reach < sensitive:
+                x.reach = sensitive
+                ways += x.parts
+                if not x.parts and sensitive * literal_score(x.text) >= REPORT and x.end > x.start:
+                    best.add((x.start, x.end))
+        ways = [whole] if whole.parts and sensitive * whole.joined.score() >= REPORT else []
+        while ways:
+            x = ways.pop()
+            if not x.told:
+                x.told = True
+                ways += x.parts
+                if not x.parts and x.end > x.start:
+                    best.add((x.start, x.end))
+    return [("lexed", a, b, a, b) for a, b in sorted(best)]
 
 
 def spans(text: str | None) -> list[tuple[str, int, int, int, int]]:

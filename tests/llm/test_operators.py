@@ -233,6 +233,16 @@ def test_secret_spans():
     assert secrets.redacted("x" * 200_000) == "x" * 200_000
 
 
+def test_secrets_have_no_length_bounds():
+    long = "aB3dE6gH9+" * 1000
+    lexed = lambda t: [t[a:b] for k, a, b, _, _ in secrets.spans(t) if k == "lexed"]
+    assert lexed(f"private_key = '{long}'") == [long] and lexed(f"{'x.' * 100}signing_key = '{long}'") == [long]
+    assert lexed(f"<privateKey>{long}</privateKey>") == [long] and lexed(f"put('privateKey', '{long}')") == [long]
+    parts = [f"aB3dE6gH{i}" for i in range(100, 300)]
+    assert lexed("private_key = " + " + ".join(f"'{p}'" for p in parts)) == parts
+    assert lexed("\n".join(["s = 'kL5mN8pQ2r'", *(f"s = s + '{p}'" for p in parts), "private_key = s"])) == ["kL5mN8pQ2r", *parts]
+
+
 def test_secret_scan(spark, odd, empty):
     assert secrets.scan(odd).count() == odd.count() and secrets.scan(empty).count() == 0
     r = secrets.redact(odd)
