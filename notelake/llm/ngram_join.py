@@ -4,24 +4,34 @@ Two texts link when their sets of five-word shingles overlap in at least 75 % of
 If so, they share a token among the first ``n - ceil(0.75 n) + 1`` tokens of each *under any
 global order of all tokens*. Here there are three orders; each puts tokens that look rare
 first (a fixed-size sketch of what is frequent decides) and breaks ties by its own hash.
-Candidates come from the first order, where a pair's first common token must also stand so
-early in both texts that the rest could still make up the overlap; a pair must share prefix
-tokens under the other two orders, too, before its exact overlap is counted.
 
-Texts with equal sets are one node from the start (they link by definition). Links within a
-large group of near copies are not all listed: two rounds verify, for each shared token, each
-node against a hub and a few neighbours; the last round verifies *every* remaining candidate
-pair whose nodes are in different components. No link between components is lost, and a group
-of m near copies costs about m checks instead of m^2.
+1. Texts with equal sets are one node (they link by definition).
+2. Prefix tokens of the first order meet by token. A pair's first common token must also stand so
+   early in both texts that the rest could still make up the overlap, and their parity bitmaps
+   (``signature``) must differ in no more bits than linked sets can. Pairs that pass are edges of a
+   candidate graph. For each token a node is first tried against a hub and a few neighbours, then
+   against others; at last *every* pair of different parts of the graph that shares a token is
+   tried. So no two parts of the graph can link, and pairs inside a part are not listed.
+3. In each part every pair is tested: prefixes must meet under all three orders, then the exact
+   overlap counts. The texts of a part come together once; a large part is cut into blocks of
+   bounded size, and blocks meet two by two, so no task holds more than two of them. Only counts
+   of links and one edge a node leave a task, never pairs.
+
+So no link between different texts is lost, and each row has its number of links. What is
+quadratic is the comparing of sets inside a part, as for any exact count of its links.
 
 Edge cases: null, empty and blank texts have the empty set and link with nothing; fewer than
-five words are one shingle; repeated rows (same id, same or other text) are rows of their own
-in the result; a null ``doc_id`` links like others but is never a component's least id unless
-all are null. An empty table gives an empty result. Further columns are ignored.
+five words are one shingle; very long texts are taken whole (one is held at a time beside its
+block); repeated rows (same id, same or other text) are rows of their own in the result and
+count as links of each other; ids are whole numbers (others are cast); a null ``doc_id`` links
+like others but is never a component's least id unless all are null; ties of size or frequency
+are broken by hash, which shapes the search only. An empty table gives an empty result. Further
+columns are ignored by ``near_duplicates`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,12 +39,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from notelake.llm.components import components
 from notelake.llm.decontaminate import shingle_sql, words_sql
 from notelake.llm.shingles import Sets, of_column, overlap
 from notelake.llm.words import mix
-from notelake.storage import materialize, table
+from notelake.storage import Scratch, materialize, table
 
 #: Two sets link when ``100 * overlap >= PERCENT * union``.
 PERCENT = 75
@@ -42,21 +53,29 @@ ORDERS = 3
 #: The frequency sketch has 2 ** SKETCH_BITS cells, whatever the corpus; it counts all tokens of
 #: all texts and shapes the orders only. A larger one tells rarer tokens apart.
 SKETCH_BITS, CHUNK_BITS = 22, 16
-#: Bits of the bitmap of nodes (8 MB), in chunks of 2 ** CHUNK.
+#: A task's count c is kept as round(CODE * log2(1 + c)) in one byte.
+CODE = 12
+#: Bits of a bitmap of nodes (8 MB), in chunks of 2 ** CHUNK.
 BITMAP_BITS, CHUNK = 26, 20
 #: A token whose cell counts more than this is dealt over several tasks.
 SALT_FROM = 4096
-#: Neighbours by size that a set is verified against for each of its early tokens in the first round.
+#: Prefix tokens are met in buckets of about so many; so many are packed at once.
+BUCKET, FLUSH = 1 << 19, 1 << 20
+#: Neighbours by size that a set is tried against for each of its early tokens in the first round.
 NEAR = 3
-#: Candidates of one hub that are verified in one go.
-STAR = 1000
+#: Least bits of a signature.
+SIGNATURE = 512
+#: Shingles and sets of a block of a large part of the candidate graph, about.
+BLOCK_SHINGLES, BLOCK_SETS = 1 << 19, 2048
+#: Columns of a dense product; a token that more than 1 / SPARSE of all pairs share is dense.
+WIDTH, SPARSE = 2048, 50
 
 
 def prefix_length(n: int | np.ndarray) -> int | np.ndarray:
     return n - -(-PERCENT * n // 100) + 1
 
 
-def reach(n: int, pos: np.ndarray) -> np.ndarray:
+def reach(n: int | np.ndarray, pos: np.ndarray) -> np.ndarray:
     """The largest set that one of size ``n`` can link to if their first common token is at ``pos``.
 
     Linked sets share at least ``PERCENT / (100 + PERCENT)`` of their summed sizes; with none
@@ -64,15 +83,33 @@ def reach(n: int, pos: np.ndarray) -> np.ndarray:
     return (100 * n - (100 + PERCENT) * pos) // PERCENT
 
 
-def linked(inter: int, a: int, b: int) -> bool:
+def linked(inter: int | np.ndarray, a: int | np.ndarray, b: int | np.ndarray) -> bool | np.ndarray:
     return 100 * inter >= PERCENT * (a + b - inter)
 
 
+def signature(tokens: np.ndarray) -> bytes:
+    """Bits that say whether an odd number of tokens falls on each; about one a token."""
+    bits = max(SIGNATURE, 1 << (max(1, len(tokens)) - 1).bit_length())
+    odd = np.bincount((mix(tokens, 61) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """Two sets with these signatures differ in at least so many tokens."""
+    (x, p), (y, q) = sorted(((int.from_bytes(s, "little"), 8 * len(s)) for s in (a, b)), key=lambda s: s[1])
+    while q > p:
+        q //= 2
+        y = (y & ((1 << q) - 1)) ^ (y >> q)
+    return (x ^ y).bit_count()
+
+
 @dataclass
 class Orders:
     """Global token orders: (frequency class, hash with the order's own seed)."""
 
     level: np.ndarray
+    #: seed of the fingerprints that name the sets
+    seed: int = 0
 
     def classes(self, tokens: np.ndarray) -> np.ndarray:
         return self.level[(tokens & np.uint64(len(self.level) - 1)).astype(np.int64)]
@@ -85,32 +122,38 @@ class Orders:
         return first[np.argsort(key[first])]
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, fp) for documents; and rows (chunk, cells) of each task's sketch."""
+def _fresh(prints: np.ndarray, sizes: np.ndarray, known: set[int]) -> list[int]:
+    """Rows with a set that isn't empty and that this task meets for the first time."""
+    return [i for i, x in enumerate(prints.tolist()) if sizes[i] and not (x in known or known.add(x))]
+
+
+def marked(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """Rows (doc_id, n, fp, check, sig) for documents; and rows (chunk, cells) of each task's sketch.
+
+    ``sig`` stands in one row of each set and task only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, known = np.zeros(1 << SKETCH_BITS, np.uint32), set()
         for b in batches:
             for s in of_column(b.column(1)):
-                prints = s.fingerprints()
-                fresh = np.zeros(len(prints), bool)
-                for i, x in enumerate(prints.tolist()):
-                    if x not in known:
-                        known.add(x)
-                        fresh[i] = True
-                tokens = s.values[np.repeat(fresh, s.sizes())]
-                np.add.at(cells, (tokens & np.uint64(len(cells) - 1)).astype(np.int64), np.uint32(1))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, len(s)), pa.array(s.sizes().astype(np.int64)), pa.array(prints.view(np.int64)), pa.nulls(len(s), pa.int32()), pa.nulls(len(s), pa.binary())], names=names)
-        chunks = np.minimum(cells, 255).astype(np.uint8).reshape(-1, 1 << CHUNK_BITS)
-        some = np.flatnonzero(chunks.any(axis=1))
-        none = pa.nulls(len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(some.astype(np.int32)), pa.array([chunks[i].tobytes() for i in some], pa.binary())], names=names)
-
-    names = ["doc_id", "n", "fp", "chunk", "cells"]
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp long, chunk int, cells binary")
-
-
-def frequency_orders(marks: DataFrame) -> Orders:
+                prints, sizes = s.fingerprints(seed), s.sizes()
+                sigs: list[bytes | None] = [None] * len(s)
+                for i in _fresh(prints, sizes, known):
+                    row = s.row(i)
+                    sigs[i] = signature(row)
+                    np.add.at(cells, (row & np.uint64(len(cells) - 1)).astype(np.int64), np.uint32(1))
+                columns = [pa.array(sizes.astype(np.int64)), pa.array(prints.view(np.int64)), pa.array(s.fingerprints(seed + 1).view(np.int64)), pa.array(sigs, pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, len(s)), *columns, pa.nulls(len(s), pa.int32()), pa.nulls(len(s), pa.binary())], names=names)
+        codes = np.minimum(np.rint(CODE * np.log2(1.0 + cells)), 255).astype(np.uint8).reshape(-1, 1 << CHUNK_BITS)
+        some = np.flatnonzero(codes.any(axis=1))
+        none = [pa.nulls(len(some), kind) for kind in (pa.int64(),) * 4 + (pa.binary(),)]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(some.astype(np.int32)), pa.array([pa.compress(codes[i].tobytes(), "zstd", asbytes=True) for i in some], pa.binary())], names=names)
+
+    names = ["doc_id", "n", "fp", "check", "sig", "chunk", "cells"]
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, fp long, check long, sig binary, chunk int, cells binary")
+
+
+def frequency_orders(marks: DataFrame, seed: int = 0) -> Orders:
     """The summed sketch as classes: log2 of how far a cell's count is above its chunk's mean.
 
     Sums are streamed, a chunk's arrays never being held together; one byte a cell comes to the
@@ -118,10 +161,11 @@ def frequency_orders(marks: DataFrame) -> Orders:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
+        count = 2.0 ** (np.arange(256) / CODE) - 1
         for b in batches:
             for chunk, cells in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                total = held.setdefault(chunk, np.zeros(1 << CHUNK_BITS, np.int64))
-                total += np.frombuffer(cells.as_py(), np.uint8)
+                total = held.setdefault(chunk, np.zeros(1 << CHUNK_BITS))
+                total += count[np.frombuffer(pa.decompress(cells.as_py(), 1 << CHUNK_BITS, "zstd", asbytes=True), np.uint8)]
         levels = [np.log2(1 + np.maximum(0, x - x.mean())).astype(np.uint8).tobytes() for x in held.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(levels, pa.binary())], names=["chunk", "level"])
 
@@ -129,93 +173,154 @@ def frequency_orders(marks: DataFrame) -> Orders:
     level = np.zeros((1 << (SKETCH_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.uint8)
     for r in rows:
         level[r["chunk"]] = np.frombuffer(r["level"], np.uint8)
-    return Orders(level.ravel())
-
+    return Orders(level.ravel(), seed)
 
-def prefix_tokens(docs: DataFrame, orders: Orders) -> DataFrame:
-    """(token, salt, fp, sizes): the first order's prefix of each different set of a task.
 
-    ``sizes`` packs the set's size and its reach at this token (see ``reach``) into one number."""
+@dataclass
+class Prefixes:
+    """Prefix tokens of sets: ``key`` (48 bits of the token, 16 of its salt) and ``place`` (position
+    in 256ths of the prefix, rounded down) belong to set ``owner``, which has ``fp`` and ``n``.
+
+    Tokens cut to 48 bits can only meet too often, and a place too early only lets more pass."""
+
+    key: np.ndarray
+    place: np.ndarray
+    owner: np.ndarray
+    fp: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def of(cls, s: Sets, orders: Orders, known: set[int]) -> Prefixes | None:
+        prints = s.fingerprints(orders.seed)
+        fresh = _fresh(prints, s.sizes(), known)
+        if not fresh:
+            return None
+        rows = [s.row(i) for i in fresh]
+        parts = [row[orders.prefix(row, 0)] for row in rows]
+        sizes = np.array([len(x) for x in parts])
+        token, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes)
+        place = np.concatenate([np.arange(p) * 256 // p for p in sizes.tolist()]).astype(np.uint8)
+        fp = prints[fresh]
+        ways = np.clip((2 << orders.classes(token).astype(np.int64)) // SALT_FROM, 1, 65535)
+        salt = np.where(ways > 1, mix(fp[owner], 41) % ways.astype(np.uint64) + np.uint64(1), np.uint64(0))
+        return cls((token & np.uint64(2**48 - 1)) | (salt << np.uint64(48)), place, owner, fp, np.array([len(x) for x in rows], np.uint32))
+
+    def pack(self, buckets: int) -> Iterator[tuple[int, bytes]]:
+        """(bucket, bytes): a bucket's sets, then their tokens, column by column."""
+        bucket = mix(self.key, 43) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.flatnonzero(np.diff(bucket[order])) + 1
+        for at in np.split(order, ends):
+            sets, count = np.unique(self.owner[at], return_counts=True)
+            key = self.key[at]
+            columns = [self.fp[sets], self.n[sets], count.astype(np.uint32), (key & np.uint64(2**32 - 1)).astype(np.uint32), ((key >> np.uint64(32)) & np.uint64(2**16 - 1)).astype(np.uint16), (key >> np.uint64(48)).astype(np.uint16), self.place[at]]
+            yield int(bucket[at[0]]), struct.pack("<II", len(sets), len(at)) + b"".join(c.tobytes() for c in columns)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Prefixes:
+        (sets, rows), at, columns = struct.unpack_from("<II", data), 8, []
+        for kind, k in ((np.uint64, sets), (np.uint32, sets), (np.uint32, sets), (np.uint32, rows), (np.uint16, rows), (np.uint16, rows), (np.uint8, rows)):
+            columns.append(np.frombuffer(data, kind, k, at))
+            at += columns[-1].nbytes
+        fp, n, count, low, high, salt, place = columns
+        key = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)) | (salt.astype(np.uint64) << np.uint64(48))
+        return cls(key, place, np.repeat(np.arange(sets), count), fp, n)
+
+    @classmethod
+    def together(cls, parts: list[Prefixes]) -> Prefixes:
+        shift = np.cumsum([0] + [len(p.fp) for p in parts])
+        return cls(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("key", "place")), np.concatenate([p.owner + k for p, k in zip(parts, shift, strict=False)]), *(np.concatenate([getattr(p, c) for p in parts]) for c in ("fp", "n")))
+
+    def shared(self) -> pa.RecordBatch:
+        """Rows of tokens that several sets hold, each with its hub and its neighbours by size.
+
+        Sets that the token could link to others of their size come first, so that hubs and
+        neighbours are likely to be real candidates."""
+        fp, n = self.fp[self.owner], self.n[self.owner].astype(np.int64)
+        far = reach(n, -(-self.place.astype(np.int64) * prefix_length(n) // 256))
+        order = np.lexsort((fp, n, far < n, self.key))
+        key, fp, n, far = self.key[order], fp[order], n[order], far[order]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
+        key, fp, n, far = key[fresh], fp[fresh], n[fresh], far[fresh]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        first = np.repeat(starts, sizes)
+        salt = (key >> np.uint64(48)).astype(np.int32)
+        low, high = (np.repeat(f.reduceat(x, starts), sizes) for f, x in ((np.minimum, n), (np.maximum, far)))
+        at = np.flatnonzero((salt > 0) | ((np.repeat(sizes, sizes) > 1) & (low <= far) & (n <= high)))
+        partners = []
+        for k in range(NEAR + 1):
+            other = at - k if k else first[at]
+            fits = (other > first[at] if k else other < at) & (n[at] <= far[other]) & (n[other] <= far[at])
+            partners.append(pa.array(fp[other].view(np.int64), mask=~fits))
+        return pa.RecordBatch.from_arrays([pa.array((key[at] & np.uint64(2**48 - 1)).view(np.int64)), pa.array(salt[at]), pa.array(fp[at].view(np.int64)), pa.array(n[at]), pa.array(far[at]), *partners], names=TOKEN_NAMES)
+
+
+TOKEN_NAMES = ["token", "salt", "fp", "n", "reach", *[f"near{k}" for k in range(NEAR + 1)]]
+TOKEN_DDL = "token long, salt int, fp long, n long, reach long, " + ", ".join(f"{c} long" for c in TOKEN_NAMES[5:])
+
+
+def packed_prefixes(docs: DataFrame, orders: Orders, buckets: int) -> DataFrame:
+    """(bucket, data): the first order's prefix of each different set of a task."""
     shared = docs.sparkSession.sparkContext.broadcast(orders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders, known = shared.value, set()
+        orders, known, held, size = shared.value, set(), [], 0
         for b in batches:
             for s in of_column(b.column(0)):
-                yield from emit(s, orders, known)
-
-    def emit(s: Sets, orders: Orders, known: set[int]) -> Iterator[pa.RecordBatch]:
-        prints = s.fingerprints()
-        tokens, owner, sizes = [], [], []
-        for i, x in enumerate(prints.tolist()):
-            if s.at[i + 1] > s.at[i] and x not in known:
-                known.add(x)
-                row = s.row(i)
-                tokens.append(row[orders.prefix(row, 0)])
-                owner.append(np.full(len(tokens[-1]), i))
-                sizes.append((len(row) << 32) + reach(len(row), np.arange(len(tokens[-1]), dtype=np.int64)))
-        if tokens:
-            token, at = np.concatenate(tokens), np.concatenate(owner)
-            fp = prints[at]
-            ways = np.maximum(1, (1 << orders.classes(token).astype(np.int64)) * 2 // SALT_FROM)
-            salt = (mix(fp, 41) % ways.astype(np.uint64)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(token.view(np.int64)), pa.array(np.where(ways > 1, salt + 1, 0).astype(np.int32)), pa.array(fp.view(np.int64)), pa.array(np.concatenate(sizes))], names=["token", "salt", "fp", "sizes"]
-            )
-
-    return docs.select("text").mapInArrow(run, "token long, salt int, fp long, sizes long")
-
-
-def shared_tokens(prefixes: DataFrame) -> DataFrame:
-    """Prefix tokens of at least two sets, with each set's hub and its neighbours by size.
-
-    Sets that the token could link to others of their size come first, so that hubs and
-    neighbours are likely to be real candidates."""
-    rows = prefixes.repartition("token", "salt")  # four columns are shuffled, the rest is derived after it
-    rows = rows.select("token", "salt", "fp", F.shiftright("sizes", 32).cast("int").alias("n"), F.col("sizes").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("reach"))
-    by = Window.partitionBy("token", "salt")
-    rows = rows.withColumn("late", F.col("reach") < F.col("n"))
-    me, order = F.struct("late", "fp", "n", "reach"), by.orderBy("late", "n", "fp")
-    for k in range(1, NEAR + 1):
-        rows = rows.withColumn(f"near{k}", F.lag(me, k).over(order))
-    rows = rows.withColumn("hub", F.min(me).over(by)).withColumn("least", F.min("fp").over(by)).withColumn("last", F.max("fp").over(by))
-    rows = rows.withColumn("low", F.min("n").over(by)).withColumn("high", F.max("reach").over(by))
-    return rows.where("salt > 0 or least <> last and low <= reach and n <= high").select("token", "fp", "n", "reach", "hub", *[f"near{k}" for k in range(1, NEAR + 1)])
+                part = Prefixes.of(s, orders, known)
+                if part:
+                    held.append(part)
+                    size += len(part.key)
+                if size >= FLUSH:
+                    yield packed(held)
+                    held, size = [], 0
+        if held:
+            yield packed(held)
 
+    def packed(held: list[Prefixes]) -> pa.RecordBatch:
+        rows = list(Prefixes.together(held).pack(buckets))
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "data"])
 
-def _pairs(rows: DataFrame, other: str) -> DataFrame:
-    fits = rows.where(f"{other} is not null and {other}.fp <> fp and n <= {other}.reach and {other}.n <= reach")
-    return fits.select(F.least("fp", f"{other}.fp").alias("u"), F.greatest("fp", f"{other}.fp").alias("v"))
+    return docs.select("text").mapInArrow(run, "bucket int, data binary")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, orders: Orders) -> DataFrame:
-    """The pairs (u, v) that link: prefixes meet under the other orders, then exact overlap.
+def shared_tokens(packs: DataFrame) -> DataFrame:
+    """Prefix tokens of at least two sets, see ``Prefixes.shared``; one bucket is held at a time."""
 
-    Pairs are gathered by the node ``u``; its text travels once for each ``STAR`` partners.
-    """
-    shared = pairs.sparkSession.sparkContext.broadcast(orders)
-    pairs = pairs.distinct()
-    ways = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("ways"))
-    dealt = pairs.join(ways, "u").withColumn("salt", F.pmod(F.xxhash64("v"), "ways").cast("int"))
-    partners = dealt.join(texts.withColumnRenamed("fp", "v"), "v").select("u", "salt", "v", "text")
-    hubs = ways.join(texts.withColumnRenamed("fp", "u"), "u").select("u", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("salt"), F.lit(None).cast("long").alias("v"), "text")
-    rows = hubs.unionByName(partners).repartition("u", "salt").sortWithinPartitions("u", "salt", F.col("v").asc_nulls_first())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            for bucket, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if held and bucket != now:
+                    yield Prefixes.together(held).shared()
+                    held = []
+                now = bucket
+                held.append(Prefixes.unpack(data.as_py()))
+        if held:
+            yield Prefixes.together(held).shared()
+
+    return packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, TOKEN_DDL)
+
+
+def _pairs(rows: DataFrame, partners: list[str]) -> DataFrame:
+    """Different pairs (u, v) of each row's ``fp`` and its partners."""
+    rows = rows.select("fp", F.explode(F.filter(F.array(*partners), lambda x: x.isNotNull())).alias("other")).where("fp <> other")
+    return rows.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v")).distinct()
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose signatures don't rule out a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders, hub, mine, own = shared.value, None, None, []
         for b in batches:
-            u, v = b.column(0).to_pylist(), b.column(2).to_pylist()
-            found: list[tuple[int, int]] = []
-            for s in of_column(b.column(3)):
-                for i in range(len(s)):
-                    k, row = s.first + i, s.row(i)
-                    if v[k] is None:
-                        hub, mine = u[k], row.copy()
-                        own = [np.sort(mine[orders.prefix(mine, o)]) for o in range(1, ORDERS)]
-                    elif hub == u[k] and all(overlap(np.sort(row[orders.prefix(row, o + 1)]), own[o]) for o in range(ORDERS - 1)) and linked(overlap(row, mine), len(row), len(mine)):
-                        found.append((u[k], v[k]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+            n, a, c = b.column(2).to_pylist(), b.column(3), b.column(4)
+            near = [i for i in range(len(b)) if (100 + PERCENT) * apart(a[i].as_py(), c[i].as_py()) <= (100 - PERCENT) * n[i]]
+            yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(near, pa.int64())) for k in (0, 1)], names=["u", "v"])
 
+    side = lambda c: nodes.select(F.col("fp").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"sig{c}"))
+    rows = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", (F.col("nu") + F.col("nv")).alias("n"), "sigu", "sigv")
     return rows.mapInArrow(run, "u long, v long")
 
 
@@ -239,8 +344,13 @@ def _bitmap(nodes: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def node_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(fp, text): one text for each node (and for a few other sets, which nothing asks for).
+def _in_bitmap(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    at = prints & (2**BITMAP_BITS - 1)
+    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def node_texts(docs: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
+    """(fp, text): one text for each node of each task (and for a few other sets).
 
     A bitmap of fixed size tells which texts to send on, so that only those are shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes))
@@ -249,98 +359,255 @@ def node_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         bits, known = shared.value, set()
         for b in batches:
             for s in of_column(b.column(0)):
-                prints = s.fingerprints().view(np.int64)
-                at = prints & (2**BITMAP_BITS - 1)
-                wanted = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-                wanted = [i for i in wanted.tolist() if s.at[i + 1] > s.at[i] and not (prints[i].item() in known or known.add(prints[i].item()))]
+                prints = s.fingerprints(seed).view(np.int64)
+                wanted = _fresh(prints, np.where(_in_bitmap(bits, prints), s.sizes(), 0), known)
                 yield pa.RecordBatch.from_arrays([pa.array(prints[wanted]), b.column(0).take(pa.array([s.first + i for i in wanted], pa.int64())).cast(pa.string())], names=["fp", "text"])
 
-    return docs.select("text").mapInArrow(run, "fp long, text string").dropDuplicates(["fp"])
+    return docs.select("text").mapInArrow(run, "fp long, text string")
+
+
+def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``a`` with all sets of ``b``."""
+    out = np.zeros((len(a), len(b)), np.int32)
+    x, y = np.concatenate(a), np.concatenate(b)
+    tokens = np.intersect1d(x, y)
+    if not len(tokens):
+        return out
+    i, j = (np.repeat(np.arange(len(s)), [len(r) for r in s]) for s in (a, b))
+    sides = []
+    for values, row in ((x, i), (y, j)):
+        at = np.minimum(np.searchsorted(tokens, values), len(tokens) - 1)
+        known = np.flatnonzero(tokens[at] == values)
+        known = known[np.argsort(at[known], kind="stable")]
+        sides.append((at[known], row[known]))
+    (x, i), (y, j) = sides
+    held = [np.bincount(s, minlength=len(tokens)) for s in (x, y)]
+    dense = held[0] * held[1] * SPARSE > len(a) * len(b)
+    number = np.cumsum(dense) - 1
+    for lo in range(0, int(dense.sum()), WIDTH):
+        parts = []
+        for values, row, rows in ((x, i, len(a)), (y, j, len(b))):
+            here = dense[values] & (number[values] >= lo) & (number[values] < lo + WIDTH)
+            part = np.zeros((rows, WIDTH), np.float32)
+            part[row[here], number[values[here]] - lo] = 1
+            parts.append(part)
+        out += (parts[0] @ parts[1].T).astype(np.int32)
+    rare = ~dense[x]
+    x, i = x[rare], i[rare]
+    begin, many = np.searchsorted(y, x), held[1][x]
+    done, flat = np.cumsum(many), out.ravel()
+    for part in np.split(np.arange(len(x)), np.searchsorted(done, np.arange(1 << 22, done[-1] if len(done) else 0, 1 << 22))):
+        k = many[part]
+        at = np.repeat(begin[part] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        np.add.at(flat, np.repeat(i[part] * len(b), k) + j[at], 1)
+    return out
+
+
+@dataclass
+class Block:
+    """Sets of a block with the sorted prefixes of each under all orders."""
+
+    fp: list[int]
+    copies: np.ndarray
+    sets: list[np.ndarray]
+    prefixes: list[list[np.ndarray]]
+
+    def sizes(self) -> np.ndarray:
+        return np.array([len(s) for s in self.sets], np.int64)
+
+
+def block_links(a: Block, b: Block) -> np.ndarray:
+    """Which sets of ``a`` link with which of ``b``: prefixes meet under all orders, then the overlap."""
+    n, m = a.sizes(), b.sizes()
+    near = 100 * np.minimum(n[:, None], m[None, :]) >= PERCENT * np.maximum(n[:, None], m[None, :])
+    if near.size > 1024:
+        for x, y in zip(a.prefixes, b.prefixes, strict=True):
+            near &= common(x, y) > 0
+        if near.sum() * 64 > near.size:
+            return near & linked(common(a.sets, b.sets), n[:, None], m[None, :])
+    else:
+        for i, j in np.argwhere(near).tolist():
+            near[i, j] = all(overlap(x[i], y[j]) for x, y in zip(a.prefixes, b.prefixes, strict=True))
+    for i, j in np.argwhere(near).tolist():
+        near[i, j] = linked(overlap(a.sets[i], b.sets[j]), len(a.sets[i]), len(b.sets[j]))
+    return near
+
+
+def _leaders(link: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The least node that each row and each column of a table of links reaches in it."""
+    rows, columns = np.arange(link.shape[0]), np.arange(link.shape[1]) + (0 if same else link.shape[0])
+    while True:
+        c = np.minimum(columns, np.where(link, rows[:, None], 1 << 40).min(axis=0, initial=1 << 40))
+        r = np.minimum(rows, np.where(link, c[None, :], 1 << 40).min(axis=1, initial=1 << 40))
+        if same:
+            r = c = np.minimum(r, c)
+        if (r == rows).all() and (c == columns).all():
+            return rows, columns
+        rows, columns = r, c
+
+
+def part_links(docs: DataFrame, places: DataFrame, orders: Orders) -> DataFrame:
+    """(fp, links, leader): in each meeting of two blocks of a part, how many rows a set links to
+    and the least set that it reaches. ``places`` are rows (fp, root, ways, copies)."""
+    shared = docs.sparkSession.sparkContext.broadcast(orders)
+    block = F.pmod(F.xxhash64("fp"), F.col("ways")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("ways") - 1))
+    rows = node_texts(docs, places, orders.seed).dropDuplicates(["fp"]).join(places, "fp").withColumn("block", block)
+    rows = rows.select("root", "fp", "copies", "block", "text", other.alias("other"))
+    rows = rows.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "copies", "block", "text")
+    rows = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders, now, sides, done = shared.value, None, {}, []
+        for b in batches:
+            root, i, j, fp, copies, side = (b.column(k).to_pylist() for k in range(6))
+            for s in of_column(b.column(6)):
+                for k in range(len(s)):
+                    at = s.first + k
+                    if (root[at], i[at], j[at]) != now:
+                        done += links(now, sides)
+                        now, sides = (root[at], i[at], j[at]), {}
+                        if len(done) > 100_000:
+                            yield batch(done)
+                            done = []
+                    x, row = sides.setdefault(side[at], Block([], [], [], [[] for _ in range(ORDERS)])), s.row(k).copy()
+                    x.fp.append(fp[at])
+                    x.copies.append(copies[at])
+                    x.sets.append(row)
+                    for o in range(ORDERS):
+                        x.prefixes[o].append(np.sort(row[orders.prefix(row, o)]))
+        yield batch(done + links(now, sides))
+
+    def links(now: tuple[int, int, int] | None, sides: dict[int, Block]) -> list[tuple[int, int, int]]:
+        if now is None or now[1] not in sides or now[2] not in sides:
+            return []
+        a, b, same = sides[now[1]], sides[now[2]], now[1] == now[2]
+        link = block_links(a, b)
+        if same:
+            np.fill_diagonal(link, False)
+        rows, columns = _leaders(link, same)
+        names = a.fp if same else a.fp + b.fp
+        found = list(zip(a.fp, (link @ np.array(b.copies)).tolist(), (names[k] for k in rows), strict=True))
+        if not same:
+            found += zip(b.fp, (np.array(a.copies) @ link).tolist(), (names[k] for k in columns), strict=True)
+        return [x for x in found if x[1]]
+
+    def batch(done: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], pa.int64()) for k in range(3)], names=["fp", "links", "leader"])
+
+    return rows.mapInArrow(run, "fp long, links long, leader long")
 
 
 def _open(tokens: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of tokens that are held by several components, with their ``root``."""
-    placed = tokens.select("token", "fp", "n", "reach").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = materialize(placed, "join-placed")
-    torn = placed.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token")
-    return materialize(placed.join(torn, "token", "left_semi"), "join-open")
-
-
-def grouped_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, fp, root) of every row of ``docs``; root names the group, or is null where n = 0."""
-    marks = materialize(signatures(docs), "join-marks")
-    orders = frequency_orders(marks)
-    tokens = materialize(shared_tokens(prefix_tokens(docs, orders)), "join-tokens")
-    texts = materialize(node_texts(docs, tokens.select("fp").distinct()), "join-texts")
-
-    first = _pairs(tokens, "hub")
-    for k in range(1, NEAR + 1):
-        first = first.union(_pairs(tokens, f"near{k}"))
-    first = materialize(first.distinct(), "join-pairs")
-    links = materialize(verify(first, texts, orders), "join-links")
-    roots = components(links)
-
-    open_ = _open(tokens, roots)
-    # a second round over what is still apart: other neighbours, of other components
-    order, second = Window.partitionBy("token").orderBy(F.col("reach") < F.col("n"), F.xxhash64("fp"), "fp"), None
+    """Rows of tokens that several parts of the candidate graph hold, with their ``root``."""
+    placed = tokens.select("token", "salt", "fp", "n", "reach").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    by = Window.partitionBy("token", "salt")
+    return placed.withColumn("a", F.min("root").over(by)).withColumn("b", F.max("root").over(by)).where("a <> b or salt > 0").drop("a", "b")
+
+
+def _both(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(edges)
+
+
+def candidate_parts(tokens: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root): parts of a graph that no link leaves."""
+    near = [c for c in TOKEN_NAMES if c.startswith("near")]
+    roots = components(scratch.write(plausible(_pairs(tokens, near), nodes), "join-edges"), scratch, "join-parts")
+
+    # a second round over what is still apart: other neighbours, of other parts
+    order = Window.partitionBy("token", "salt").orderBy(F.col("reach") < F.col("n"), F.xxhash64("fp"), "fp")
+    rows = _open(tokens, roots)
     for k in range(1, 2 * NEAR + 1):
-        part = _pairs(open_.withColumn("near", F.lag(F.struct("fp", "n", "reach", "root"), k).over(order)).where("near.root <> root"), "near")
-        second = part if second is None else second.union(part)
-    second = materialize(second.distinct().join(first, ["u", "v"], "left_anti"), "join-pairs")
-    links = materialize(verify(second, texts, orders), "join-links")
-    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links))
-    first = first.union(second)
-
-    open_ = _open(tokens, roots)
-    # components meet first, then their members: pairs inside a component are never formed
+        other = F.lag(F.struct("fp", "n", "reach", "root"), k).over(order)
+        fits = (other["root"] != F.col("root")) & (F.col("n") <= other["reach"]) & (other["n"] <= F.col("reach"))
+        rows = rows.withColumn(f"near{k}", F.when(fits, other["fp"]))
+    near = [f"near{k}" for k in range(1, 2 * NEAR + 1)]
+    rows = scratch.write(rows, "join-open")
+    roots = components(_both(roots, scratch.write(plausible(_pairs(rows, near), nodes), "join-edges")), scratch, "join-parts")
+
+    # parts meet first, then their members: pairs inside a part are never formed
+    open_ = scratch.write(_open(rows, roots), "join-open")
     groups = open_.groupBy("token", "root").agg(F.min("n").alias("low"), F.max("reach").alias("reach"))
     x, y = (groups.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("root", "low", "reach")]) for i in "ab")
     meet = x.join(y, "token").where("roota < rootb and lowa <= reachb and lowb <= reacha").drop("lowa", "reacha")
     a, b = (open_.select("token", *[F.col(c).alias(f"{c}_{i}" if c != "root" else f"root{i}") for c in ("root", "fp", "n", "reach")]) for i in "ab")
     rest = meet.join(a, ["token", "roota"]).where("n_a <= reachb and lowb <= reach_a").drop("lowb", "reachb")
     rest = rest.join(b, ["token", "rootb"]).where("n_a <= reach_b and n_b <= reach_a")
-    rest = rest.select(F.least("fp_a", "fp_b").alias("u"), F.greatest("fp_a", "fp_b").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
-    more = materialize(verify(materialize(rest, "join-rest"), texts, orders), "join-links")
-    if more.isEmpty():
-        final = roots
-    else:
-        final = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
-
-    rows = marks.where("n is not null").select("doc_id", "n", "fp").join(final.withColumnRenamed("node", "fp"), "fp", "left")
-    return rows.select("doc_id", "n", "fp", F.when(F.col("n") > 0, F.coalesce("root", "fp")).alias("root"))
+    rest = scratch.write(rest.select(F.least("fp_a", "fp_b").alias("u"), F.greatest("fp_a", "fp_b").alias("v")).distinct(), "join-rest")
+    scratch.drop("join-open")
+    return components(_both(roots, scratch.write(plausible(rest, nodes), "join-edges")), scratch, "join-parts")
+
+
+def join_sets(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """Tables (doc_id, n, fp) of all rows and (fp, copies, least, root, component_id, n_links) of
+    all different sets that aren't empty; ``least`` is the least id of a set's rows. And the seed
+    of ``fp``."""
+    seed = 0
+    while True:
+        marks = scratch.write(marked(docs, seed), "join-marks")
+        nodes = marks.where("n > 0").groupBy("fp").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.max("sig").alias("sig"), F.min("check").alias("a"), F.max("check").alias("b"))
+        nodes = scratch.write(nodes, "join-nodes")
+        if nodes.where("a <> b").isEmpty():
+            break
+        seed += 2  # two different sets have the same 64 bits: other hashes tell them apart
+    orders = frequency_orders(marks, seed)
+    size = nodes.agg(F.sum(F.expr(f"n - ceil({PERCENT} * n / 100) + 1"))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // BUCKET))
+    tokens = scratch.write(shared_tokens(packed_prefixes(docs, orders, buckets)), "join-tokens")
+    parts = candidate_parts(tokens, nodes, scratch)
+    scratch.drop("join-tokens")
+
+    places = parts.withColumnRenamed("node", "fp").join(nodes.select("fp", "n", "copies"), "fp")
+    ways = places.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("ways"))
+    places = scratch.write(places.join(ways, "root").select("fp", "root", "ways", "copies"), "join-places")
+    found = scratch.write(part_links(docs, places, orders), "join-links")
+    roots = components(found.where("fp <> leader").select(F.col("fp").alias("u"), F.col("leader").alias("v")), scratch, "join-roots")
+    links = found.groupBy("fp").agg(F.sum("links").alias("links"))
+    sets = nodes.select("fp", "copies", "least").join(roots.withColumnRenamed("node", "fp"), "fp", "left").join(links, "fp", "left")
+    sets = sets.select("fp", "copies", "least", F.coalesce("root", "fp").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    least = sets.groupBy("root").agg(F.min("least").alias("component_id"))
+    sets = scratch.write(sets.join(least, "root").select("fp", "copies", "least", "root", "component_id", "n_links"), "join-sets")
+    scratch.drop("join-links", "join-places", "join-nodes", "join-edges", "join-rest", "join-parts", "join-roots")
+    return marks.where("n is not null").select("doc_id", "n", "fp"), sets, seed
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``."""
-    rows = grouped_rows(docs)
-    linked_rows = rows.where("n > 0")
-    least = linked_rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = linked_rows.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.union(rows.where("n = 0").select("doc_id", F.col("n"), F.col("doc_id")))
+    """(doc_id, n_shingles, component_id, n_links) of every row of ``docs``.
 
+    ``n_links`` counts the other rows that the row's set links to, copies of it included."""
+    with Scratch(docs.sparkSession) as scratch:
+        rows, sets, _ = join_sets(docs, scratch)
+        some = rows.where("n > 0").join(sets, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+        return materialize(some.union(rows.where("n = 0").select("doc_id", "n", "doc_id", F.lit(0).cast("long"))), "join-rows")
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of linked rows (that of the least id); texts without words all stay."""
-    rows = materialize(grouped_rows(docs), "join-rows")
-    kept = rows.where("n > 0").groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("k")).select("k.*")
-    copies = rows.where("n > 0").groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    kept = kept.union(rows.where("n = 0").select("doc_id", "fp").distinct())
-    id_, print_ = "__kept_id", "__kept_fp"
-    kept = materialize(kept.select(F.col("doc_id").alias(id_), F.col("fp").alias(print_)), "join-kept")
-    picked = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(id_))).drop(id_)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each group of linked rows (that of the least id); texts without words all stay.
+
+    Rows that are alone in their group pass without a shuffle; a bitmap of fixed size tells them.
+    Of the others one row for each set is gathered (pre-aggregated in each task, so copies don't
+    travel) and stays if its set is the group's choice."""
+    with Scratch(docs.sparkSession) as scratch:
+        _, sets, seed = join_sets(docs, scratch)
+        crowd = sets.groupBy("root").agg(F.sum("copies").alias("rows"), F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", "fp")).alias("choice")).where("rows > 1")
+        crowd = materialize(sets.join(crowd, "root").select("fp", (F.col("fp") == F.col("choice.fp")).alias("__chosen")), "join-crowd")
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(crowd))
+    at, print_ = docs.columns.index("text"), "__fp"
+
+    def run(batches: Iterator[pa.RecordBatch], inside: bool) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            same = np.concatenate([s.fingerprints().view(np.int64) for s in of_column(b.column(b.schema.get_field_index("text")))] or [np.empty(0, np.int64)])
-            yield b.filter(pa.array(same == b.column(b.schema.get_field_index(print_)).to_numpy()))
+            for s in of_column(b.column(at)):
+                prints = s.fingerprints(seed).view(np.int64)
+                some = pa.array(((s.sizes() > 0) & _in_bitmap(shared.value, prints)) == inside)
+                part = b.slice(s.first, len(s))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints)], names=[*b.schema.names, print_]).filter(some)
 
-    picked = picked.mapInArrow(run, picked.schema)
-    if not copies.isEmpty():  # the same id and set several times: one of these rows stays
-        again = copies.select(F.col("doc_id").alias(id_), F.col("fp").alias("__fp"))
-        met = (F.col("doc_id").eqNullSafe(F.col(id_))) & (F.col(print_) == F.col("__fp"))
-        picked = materialize(picked, "join-picked")
-        picked = picked.join(again, met, "left_anti").unionByName(picked.join(again, met, "left_semi").dropDuplicates(["doc_id", print_]))
-    return picked.drop(print_)
+    schema = StructType([*docs.schema.fields, StructField(print_, LongType())])
+    alone = docs.mapInArrow(lambda batches: run(batches, False), schema)
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    first = docs.mapInArrow(lambda batches: run(batches, True), schema).groupBy(print_).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), rank).alias("row"))
+    picked = first.join(crowd.withColumnRenamed("fp", print_), print_, "left").where("__chosen is null or __chosen").select("row.*")
+    return alone.drop(print_).unionByName(picked)
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,6 +622,7 @@ c AS (SELECT x.r AS a, y.r AS b, x.n AS na, y.n AS nb, count(*) AS k FROM e x JO
 l AS MATERIALIZED (SELECT a, b FROM c WHERE 100 * k >= {PERCENT} * (na + nb - k)),
 ways AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 reach(r, x) AS (SELECT r, r FROM s UNION SELECT reach.r, ways.b FROM reach JOIN ways ON reach.x = ways.a)
-SELECT ANY_VALUE(s.doc_id) AS doc_id, CAST(ANY_VALUE(len(s.sh)) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+SELECT ANY_VALUE(s.doc_id) AS doc_id, CAST(ANY_VALUE(len(s.sh)) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id,
+  CAST((SELECT count(*) FROM ways WHERE ways.a = reach.r) AS BIGINT) AS n_links
 FROM reach JOIN s ON s.r = reach.r JOIN s o ON o.r = reach.x GROUP BY reach.r
 """

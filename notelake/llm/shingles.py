@@ -33,11 +33,11 @@ class Sets:
     def row(self, i: int) -> np.ndarray:
         return self.values[self.at[i] : self.at[i + 1]]
 
-    def fingerprints(self) -> np.ndarray:
-        """A hash of each whole set (with ``sizes`` it names the set)."""
+    def fingerprints(self, seed: int = 0) -> np.ndarray:
+        """A hash of each whole set, another one for each seed."""
         with np.errstate(over="ignore"):
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.values, 21), dtype=np.uint64)])
-            return mix((total[self.at[1:]] - total[self.at[:-1]]) + self.sizes().astype(np.uint64), 22)
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.values, 1000 + 2 * seed), dtype=np.uint64)])
+            return mix((total[self.at[1:]] - total[self.at[:-1]]) + self.sizes().astype(np.uint64), 1001 + 2 * seed)
 
     def sizes(self) -> np.ndarray:
         return np.diff(self.at)

@@ -34,8 +34,8 @@ def rule_statistics(text):
 
 
 def components(rows):
-    """{row: least id} of links by at least 75 % Jaccard; rows are (id, text)."""
-    sets = [shingles(t) for _, t in rows]
+    """Least id and number of links of each row, by at least 75 % Jaccard; rows are (id, text)."""
+    sets, links = [shingles(t) for _, t in rows], Counter()
     parent = list(range(len(rows)))
 
     def root(x):
@@ -48,8 +48,9 @@ def components(rows):
             inter = len(sets[i] & sets[j])
             if inter and 100 * inter >= 75 * len(sets[i] | sets[j]):
                 parent[max(root(i), root(j))] = min(root(i), root(j))
+                links.update((i, j))
     groups = {}
     for i in range(len(rows)):
         groups.setdefault(root(i), []).append(rows[i][0])
     least = lambda ids: min((x for x in ids if x is not None), default=None)
-    return [least(groups[root(i)]) for i in range(len(rows))]
+    return [(least(groups[root(i)]), links[i]) for i in range(len(rows))]

@@ -19,8 +19,8 @@ def test_query_equals_sql(spark, name):
 
 def test_join_query_equals_brute_force(spark):
     data = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
-    want = {i: (len(brute.shingles(t)), c if brute.shingles(t) else i) for (i, t), c in zip(data, brute.components(data), strict=True)}
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op5_ngram_jaccard_join"](spark, SF).collect()}
+    want = {i: (len(brute.shingles(t)), c if brute.shingles(t) else i, k) for (i, t), (c, k) in zip(data, brute.components(data), strict=True)}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in QUERIES["op5_ngram_jaccard_join"](spark, SF).collect()}
     assert got == want
 
 
@@ -55,7 +55,7 @@ def test_pipeline_equals_brute_force(spark):
 
     once = materialize(stages["n-gram Jaccard join"](spark, kept, SF), "t")
     data = [(r.doc_id, r.text) for r in kept.collect()]
-    want = {c if brute.shingles(t) else i for (i, t), c in zip(data, brute.components(data), strict=True)}
+    want = {c if brute.shingles(t) else i for (i, t), (c, _) in zip(data, brute.components(data), strict=True)}
     assert {r.doc_id for r in once.collect()} == want and once.columns == docs.columns
 
     clean = materialize(stages["benchmark decontamination"](spark, once, SF), "t")

@@ -166,7 +166,7 @@ def test_forest_rejects_junk_and_keeps_good(spark, vocabulary):
 
 def check_join(df):
     data = [(r.doc_id, r.text) for r in df.collect()]
-    want = sorted(((i, len(brute.shingles(t)), c if brute.shingles(t) else i) for (i, t), c in zip(data, brute.components(data), strict=True)), key=repr)
+    want = sorted(((i, len(brute.shingles(t)), c if brute.shingles(t) else i, k) for (i, t), (c, k) in zip(data, brute.components(data), strict=True)), key=repr)
     assert rows(ngram_join.near_duplicates(df)) == want
 
 
@@ -196,7 +196,7 @@ def test_keep_one(odd):
     kept = ngram_join.keep_one(odd)
     got = sorted((r.doc_id for r in kept.collect()), key=repr)
     data = [(r.doc_id, r.text) for r in odd.collect()]
-    groups = {c for (i, t), c in zip(data, brute.components(data), strict=True) if brute.shingles(t)}
+    groups = {c for (i, t), (c, _) in zip(data, brute.components(data), strict=True) if brute.shingles(t)}
     blank = [i for i, t in data if not brute.shingles(t)]
     assert len(got) == len(groups) + len(blank) and kept.columns == odd.columns
 
