@@ -110,6 +110,20 @@ def test_targets_equal_repeated_resharing(spark):
         assert got == pytest.approx(full | {s: level * weight[s] for s in open_})
 
 
+def test_thousands_of_sources(spark):
+    rng = random.Random(12)
+    made = [(i, f"s{i % 5000:04d}", rng.choice([1, 7, 40, 300, 2500])) for i in range(20_000)]
+    got = mixing.mix(spark.createDataFrame(made, "doc_id long, source string, size long")).collect()
+    source = {i: s for i, s, _ in made}
+    per = {}
+    for r in got:
+        assert 0 <= r.taken <= 2 * r.size
+        p = per.setdefault(source[r.doc_id], [0, r.target])
+        p[0] += r.taken
+    assert len(per) == 5000 and sum(t for t, _ in per.values()) == pytest.approx(1.5 * sum(n for _, _, n in made), rel=0.01)
+    assert all(abs(t - want) <= max(8, 0.02 * want) for t, want in per.values())
+
+
 # 3: decontamination
 
 
