@@ -257,6 +257,61 @@ def test_secrets_have_no_length_bounds():
     assert lexed("\n".join(["s = 'kL5mN8pQ2r'", *(f"s = s + '{p}'" for p in parts), "private_key = s"])) == ["kL5mN8pQ2r", *parts]
 
 
+LITERAL = "x7Gh2kLq9PzR"
+
+
+@pytest.mark.parametrize(("text", "found"), [
+    (f'creds = """{LITERAL}"""', 1), (f"db = {{'conn': {{'password': '{LITERAL}', 'user': 'alice_2020X'}}}}", 1), (f"credentials = {{'prod': '{LITERAL}', 'host': 'db1.example.com'}}", 1),
+    (f"map['secret'] = '{LITERAL}'", 1), (f'$password = "{LITERAL}";', 1), (f"run --password={LITERAL} now", 1), (f"password: str = '{LITERAL}'", 1), (f"token = ['{LITERAL}', 'q8Jk3mNp0RsT']", 2),
+    ("secret = ''.join(['x7Gh2k', 'Lq9PzR'])", 2), ("token = ('x7Gh2k'\n  'Lq9PzR')", 2), ("token = 'x7Gh2k'\n  + 'Lq9PzR'", 2), (f"# password = '{LITERAL}'", 1), (f"s = '{LITERAL}'\n# s = 'no'\nsecret = s", 1),
+    (f"a = b = '{LITERAL}'\nsecret = a", 1), ("s = 'x7Gh2k'\ns += 'Lq9PzR'\nsecret = s", 2), (f'key = """-----BEGIN PRIVATE KEY-----\n\n{LITERAL * 3}\n-----END PRIVATE KEY-----"""', 1), (f"auth = Secret(b'{LITERAL}')", 1),
+    (f"it isn't the session: {LITERAL}", 0), (f"if token == '{LITERAL}': pass", 0), ("token = config['auth_token_1']", 0), ("token = os.environ.get('MY_TOKEN_NAME_1')", 0), ("token = ${SECRET_TOKEN_1a}", 0), ("auth = make(session_id_2024)", 0), (f"don't: '{LITERAL}' it's", 0),
+])
+def test_lexer_states(text, found):
+    assert len(secrets.lexed_spans(text)) == found
+
+
+def test_lexer_equals_what_was_written():
+    """Random programs whose secrets are known from how they were made."""
+    rng = random.Random(17)
+    literal = lambda: "".join(rng.sample("ABCDEFGHJKLMNPQRSTUVWXYZ", 6) + rng.sample("abcdefghijkmnopqrstuvwxyz", 6) + rng.sample("0123456789", 4))
+    for _ in range(300):
+        text, want, names = [], set(), {}  # a name stands for the literals behind it
+        for _ in range(rng.randint(1, 12)):
+            sensitive = rng.random() < 0.4
+            name = rng.choice(["api_secret", "dbPassword", "x.credentials", "ACCESS_TOKEN"]) if sensitive else f"v{rng.randrange(6)}"
+            parts, shown = [], []
+            for _ in range(rng.randint(1, 4)):
+                if names and rng.random() < 0.3:
+                    other = rng.choice(list(names))
+                    parts += names[other]
+                    shown.append(other)
+                else:
+                    parts.append(literal())
+                    shown.append(rng.choice(["'{}'", '"{}"', '"""{}"""', "`{}`", "b'{}'", "Box('{}')"]).format(parts[-1]))
+            form = rng.choice(["{} = {}", "{}={};", "const {} = {}", "{} := {}  # isn't it", "put(1, [{} = {}])"])
+            plus = rng.choice([" + ", "+", " +\n    "])
+            value = plus.join(shown) if rng.random() < 0.7 else rng.choice(["[{}]", "(\n {},\n)", "f(1, {})"]).format(", ".join(shown))
+            text.append(form.format(name, value) + rng.choice(["\n", "\n\n", "\n# don't (stop\n", "\nsome prose, isn't it?\n"]))
+            names[name] = parts
+            want |= set(parts) if sensitive else set()
+        text = "".join(text)
+        assert {text[a:b] for _, a, b, _, _ in secrets.lexed_spans(text)} == want, text
+
+
+@pytest.mark.parametrize("piece", ["a=", "a:b ", "(", "f(x, [", "'", '"""', "<a>", "token='", "x = y + ", "{'k': {", "\n# ", "a = a + a\n"])
+def test_lexing_is_linear(piece):
+    import time
+
+    def seconds(n):
+        t = time.process_time()
+        secrets.lexed_spans(piece * (n // len(piece)))
+        return time.process_time() - t
+
+    seconds(10_000)
+    assert seconds(400_000) < 12 * seconds(100_000) + 0.5
+
+
 def test_secret_scan(spark, odd, empty):
     assert secrets.scan(odd).count() == odd.count() and secrets.scan(empty).count() == 0
     r = secrets.redact(odd)
