@@ -175,6 +175,31 @@ def test_forest_rejects_junk_and_keeps_good(spark, vocabulary):
     assert forest.anomaly(np.array([[0.0, 1.0]])).shape == (1,)
 
 
+def test_forest_equals_a_walk_down_its_trees():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 5))
+    forest = quality_forest.Forest.grow(x[:300], bad=np.arange(300) % 10 == 0, trees=20, sample=64)
+
+    def depth(tree, row, node=0):
+        if forest.feature[tree, node] < 0:
+            return forest.length[tree, node]
+        return depth(tree, row, forest.left[tree, node] + int(row[forest.feature[tree, node]] > forest.value[tree, node]))
+
+    n = forest.sample
+    mean = 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+    want = [2 ** (-sum(depth(t, r) for t in range(20)) / 20 / mean) for r in x]
+    assert forest.anomaly(x) == pytest.approx(want)
+    far = forest.anomaly(np.full((1, 5), 30.0))[0]
+    assert far > np.quantile(forest.anomaly(x), 0.95)
+
+
+def test_sample_of_rows(spark):
+    rows = spark.range(3000).withColumnRenamed("id", "doc_id")
+    whole = {r.doc_id for r in rows.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(100).collect()}
+    assert {r.doc_id for r in quality_forest.sampled(rows, 100, 7).collect()} == whole
+    assert quality_forest.sampled(rows, 5000, 7).count() == 3000
+
+
 # 5: joins
 
 
@@ -436,6 +461,39 @@ def test_toxicity(spark, odd, empty, vocabulary):
     assert toxicity.score(toxicity.split(empty, 3, 1), lex).count() == 0
 
 
+def test_toxicity_scores_equal_a_plain_version(spark):
+    from notelake.storage import table
+
+    sf = "/root/testdata/sf0.01"
+    docs = toxicity.split(table(spark, sf, "documents").select("doc_id", "text"), 3, 1)
+    lex = toxicity.learn(docs.where("not held_out"), table(spark, sf, "labels"))
+    assert lex.weights
+
+    def plain(text):
+        words = toxicity.folded(text).split()
+        total = 0.0
+        for i, w in enumerate(words):
+            found = [(t, lex.weights[t]) for t in [f" {w} ", *(f" {w[:n]}" for n in range(1, len(w) + 1))] if t in lex.weights]
+            if found:
+                term, weight = max(found, key=lambda x: (x[1], -len(x[0])))
+                total += weight if (term, words[i + 1] if i + 1 < len(words) else "") not in lex.exceptions else 0.0
+        z = lex.curve[0] + lex.curve[1] * math.log1p(total) + lex.curve[2] * math.log1p(1000 * total / max(8, len(words)))
+        return 1 / (1 + math.exp(-max(-40, min(40, z))))
+
+    for r, got in zip(docs.orderBy("doc_id").collect(), toxicity.score(docs, lex).orderBy("doc_id").collect(), strict=True):
+        assert got.score == pytest.approx(plain(r.text)), r.doc_id
+
+
+def test_all_exception_phrases_are_kept(spark, vocabulary):
+    rng = random.Random(13)
+    after = [f"friend{i}xy" for i in "abcdefgh"]
+    made = [(i, " ".join(rng.choice(vocabulary) for _ in range(40)) + (" slurword bad" if i % 4 == 0 else f" slurword {after[i % 8]}")) for i in range(400)]
+    docs = toxicity.split(spark.createDataFrame(made, "doc_id long, text string"), 3, 1)
+    lex = toxicity.learn(docs.where("not held_out"), spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], LABELS))
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, lex).collect()}
+    assert got == {i: int(i % 4 == 0) for i in range(400)}
+
+
 # 10: licenses
 
 
@@ -462,3 +520,31 @@ def test_worse_license_matches_before_the_best_are_reported():
     assert spans(f"{bad} {good} {bad}") == [(0, 21, True), (22, 44, False), (45, 66, True)]
     for n in (3, 40):
         assert len(spans(" ".join([bad] * n + [good] + [bad] * n))) == 2 * n + 1
+
+
+def edits(notice, text):
+    """Least edit distance of ``notice`` from any stretch of ``text``."""
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(notice, 1):
+        last, row = row, [i]
+        for j, b in enumerate(text, 1):
+            row.append(min(last[j - 1] + (a != b), last[j] + 1, row[j - 1] + 1))
+    return min(row)
+
+
+def test_fuzzy_notices_equal_edit_distances():
+    rng = random.Random(21)
+    searcher = licenses.searcher()
+    for _ in range(60):
+        notice = rng.choice(list(licenses.NOTICES))
+        x = list(notice)
+        for _ in range(rng.randint(0, len(notice) // 8)):
+            at = rng.randrange(len(x))
+            x[at : at + 1] = rng.choice([[], [rng.choice("abcxyz ")], [x[at], rng.choice("abcxyz")]])
+        text = licenses._joined(" ".join(["some words before", "".join(x), "and some after"]))
+        found = {}
+        for i, a, b, e in searcher.search(text):
+            assert edits(searcher.notices[i][0], text[a:b]) <= e <= searcher.edits[i]
+            found[searcher.notices[i][0]] = min(e, found.get(searcher.notices[i][0], 99))
+        want = {n: edits(n, text) for n, _ in searcher.notices}
+        assert found == {n: e for n, e in want.items() if e <= len(n) // licenses.CHARS_PER_EDIT}
