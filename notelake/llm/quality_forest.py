@@ -6,8 +6,13 @@ is drawn with a weight that says how well that feature tells the sample's labels
 document's anomaly is ``2 ** (-mean path length / c(sample))``. The cut is calibrated over *all* labelled
 rows (a histogram of anomalies, aggregated by Spark), never on a sample.
 
-Edge cases: a null or empty text has zero words and fails the base rule; a null ``doc_id`` is
-kept as it is (it can't be labelled); repeated rows are scored one by one; an empty table, or
+So labels guide the forest twice: which features a random split may draw, and how many bad rows a
+tree sees. Split values, samples and the order of splits stay random (seeded).
+
+Edge cases: a null or empty text has zero words and fails the base rule; very long texts are read
+whole; a null ``doc_id`` is kept as it is (it can't be labelled); an id with several labels counts as
+bad if one says so; equal statistics get equal verdicts; repeated rows are scored one by one; an
+empty table, or
 one without usable labels, gives a forest that accepts whatever the base rule accepts. Further
 columns of the input are ignored by ``rule_statistics`` and passed through by ``reject``.
 """
@@ -216,18 +221,34 @@ def rule_statistics(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {STATS_DDL}")
 
 
+def sampled(rows: DataFrame, limit: int, seed: int) -> DataFrame:
+    """At most ``limit`` rows, those of the least hash of ``doc_id``.
+
+    Rows far above the cut are dropped in each task, so what meets in one place is a few times
+    ``limit``, not as much for each task."""
+    hashed = rows.withColumn("__hash", F.xxhash64("doc_id", F.lit(seed)))
+    count = hashed.count()
+    if count > 4 * limit:
+        near = hashed.where(F.col("__hash") < F.lit(-(2**63) + int(2**64 * (2 * limit / count))))
+        if near.count() >= limit:
+            hashed = near
+    return hashed.orderBy("__hash", *rows.columns).limit(limit).drop("__hash")
+
+
 def fit(stats: DataFrame, labels: DataFrame) -> Forest:
     """Grows the forest on a sample of labelled rows and calibrates the cut over all labelled rows."""
     flags = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = stats.where("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words").join(flags, "doc_id")
-    sample = rows.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", *STATS).limit(FIT_ROWS).select("quality", *STATS).toPandas()
+    rows = materialize(rows.select("doc_id", "quality", *STATS), "quality-labelled")
+    sample = sampled(rows, FIT_ROWS, SEED).toPandas()
     x = features({c: sample[c].to_numpy() for c in STATS})
     good = sample["quality"].to_numpy() == 1
     forest = Forest.grow(x, split_weights(x, good), ~good)
+    shared = stats.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a = forest.anomaly(features(_columns(b)))
+            a = shared.value.anomaly(features(_columns(b)))
             yield pa.RecordBatch.from_arrays([b.column("quality").cast(pa.int32()), pa.array(np.minimum(a * BINS, BINS - 1).astype(np.int32))], names=["quality", "bin"])
 
     seen = rows.select("quality", *STATS).mapInArrow(run, "quality int, bin int").groupBy("quality", "bin").count().collect()
@@ -248,22 +269,23 @@ def fit(stats: DataFrame, labels: DataFrame) -> Forest:
 
 def verdicts(stats: DataFrame, forest: Forest) -> DataFrame:
     """Adds ``base_failed`` and ``kept`` to rule statistics."""
+    shared = stats.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = _columns(b)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(base_failed(s)), pa.array(forest.kept(s))], names=[*b.schema.names, "base_failed", "kept"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(base_failed(s)), pa.array(shared.value.kept(s))], names=[*b.schema.names, "base_failed", "kept"])
 
     return stats.select("doc_id", *STATS).mapInArrow(run, f"doc_id long, {STATS_DDL}, base_failed boolean, kept boolean")
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all their columns, that the rules and the forest keep."""
-    forest = fit(materialize(rule_statistics(docs), "quality-stats"), labels)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(materialize(rule_statistics(docs), "quality-stats"), labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = forest.kept(batch_statistics(b.column(b.schema.get_field_index("text"))))
+            keep = shared.value.kept(batch_statistics(b.column(b.schema.get_field_index("text"))))
             yield b.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
