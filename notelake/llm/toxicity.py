@@ -7,12 +7,13 @@ clean ones, weighted by the log ratio. Exception phrases (a term with the word a
 clean documents hold) silence a term. A document's two figures, the weights summed per word and
 that sum by length, go through a logistic curve, fitted on the same sample.
 
-The lexicon and the curve are fitted on at most ``FIT_ROWS`` labelled training rows, chosen by a
-hash of the id; every whole text is scored.
+The lexicon and the curve are fitted on at most ``FIT_ROWS`` labelled training documents, chosen by a
+hash of the id; that bound is the only one on terms and exceptions. Every whole text is scored.
 
-Edge cases: null and empty texts have no terms and get the score of a text without any; without
-labelled rows of both kinds the lexicon is empty and all scores are 0; several labels of an id
-count as toxic if one is; null ids and null labels are never learned from; a null id counts as
+Edge cases: null and empty texts have no terms and get the score of a text without any; very long
+texts are folded whole; of terms that begin at one place the weightiest counts, of equal ones the
+shortest; without labelled rows of both kinds the lexicon is empty and all scores are 0; several
+labels of an id count as toxic if one is, of several texts of an id the least is learned from; null ids and null labels are never learned from; a null id counts as
 not held out; repeated rows score alike; further columns are ignored.
 """
 
@@ -25,20 +26,21 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.llm.language_id import split
+from notelake.llm.quality_forest import sampled
 from notelake.storage import materialize, table
 
 FIT_ROWS = 20_000
-#: Terms at most; least toxic documents that hold a term; least log ratio of a term.
-TERMS, LEAST_ROWS, LEAST_WEIGHT = 20_000, 4, 4.0
+#: Least toxic documents that hold a term; least log ratio of a term.
+LEAST_ROWS, LEAST_WEIGHT = 4, 4.0
 #: Lengths of word beginnings that can be terms.
 BEGINNINGS = (4, 5, 6, 7)
 #: Log ratio from which a term is looked at with its exceptions; clean documents that must hold
-#: a phrase (and no toxic one) for it to be an exception; exceptions of a term at most.
-LOOK_WEIGHT, EXCEPTION_ROWS, EXCEPTIONS = 1.0, 3, 3
+#: a phrase (and no toxic one) for it to be an exception.
+LOOK_WEIGHT, EXCEPTION_ROWS = 1.0, 3
 THRESHOLD = 0.7
 
 #: Characters that are read as others. Common look-alikes and digit substitutions.
@@ -130,8 +132,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """Fits lexicon, exceptions and curve on a bounded sample of labelled rows of ``docs``."""
     flags = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    wanted = docs.select("doc_id").join(flags, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("text", "toxic"), "toxicity-sample")
+    wanted = sampled(docs.select("doc_id").join(flags, "doc_id").distinct(), FIT_ROWS, 0)
+    # at most FIT_ROWS rows are broadcast; an id that stands in many rows gives one text
+    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    sample = materialize(rows.select("text", "toxic"), "toxicity-sample")
     counts = {bool(r["toxic"]): r["n"] for r in sample.groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = counts.get(True, 0), counts.get(False, 0)
     if not toxic or not clean:
@@ -148,7 +152,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     total = sample.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     weight = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     found = total.withColumn("weight", weight).where((F.col("toxic") >= LEAST_ROWS) & (F.col("weight") >= LOOK_WEIGHT))
-    looked = Lexicon({r["term"]: r["weight"] for r in found.orderBy(F.desc("weight"), F.desc("toxic"), "term").limit(TERMS).collect()})
+    looked = Lexicon({r["term"]: r["weight"] for r in found.collect()})
     if not looked.weights:
         return Lexicon()
 
@@ -162,8 +166,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.int32())], names=["term", "following", "toxic"])
 
     seen = sample.mapInArrow(phrases, "term string, following string, toxic int").groupBy("term", "following").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic"))
-    place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("clean"), "following"))
-    innocent = seen.where(f"clean >= {EXCEPTION_ROWS} and toxic = 0").withColumn("place", place).where(F.col("place") <= EXCEPTIONS)
+    innocent = seen.where(f"clean >= {EXCEPTION_ROWS} and toxic = 0")
     looked.exceptions = frozenset((r["term"], r["following"]) for r in innocent.collect())
 
     def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
