@@ -143,3 +143,40 @@ def split(docs: DataFrame, folds: int, held: int) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = split(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), 4, 2)
     return predict(docs, learn(docs.where("not held_out")))
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB: crc32 of an ASCII text, bit by bit."""
+    step = "lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: CAST(ord({text}[i]) AS BIGINT))"
+    return f"xor(CAST(4294967295 AS BIGINT), list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda a, x: list_reduce(list_prepend(xor(a, x), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), {step})))"
+
+
+def held_out_sql(folds: int, held: int) -> str:
+    """DuckDB: the column that ``split`` adds."""
+    return f"coalesce({crc32_sql('CAST(doc_id AS VARCHAR)')} % {folds} = {held}, false)"
+
+
+_ORD = "CASE WHEN {0}[{1}] = ' ' THEN 0 ELSE CAST(ord({0}[{1}]) AS BIGINT) END"
+OP7_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, lang, text, row_number() OVER () AS r, {held_out_sql(4, 2)} AS held_out FROM documents),
+w AS (SELECT r, ' ' || unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) || ' ' AS w FROM d),
+g AS (SELECT r, unnest(list_concat(list_transform(range(2, length(w)), lambda i: w[i]), list_transform(range(1, length(w)), lambda i: w[i:i+1]),
+  list_transform(range(1, length(w) - 1), lambda i: w[i:i+2]))) AS gram FROM w),
+n AS (SELECT r, gram, count(*) AS n FROM g GROUP BY ALL),
+codes AS MATERIALIZED (SELECT gram, CASE length(gram) WHEN 1 THEN CAST(ord(gram) AS BIGINT)
+  WHEN 2 THEN -(({_ORD.format('gram', 1)}) * 2097152 + ({_ORD.format('gram', 2)}))
+  ELSE 4611686018427387904 + ({_ORD.format('gram', 1)}) * 4398046511104 + ({_ORD.format('gram', 2)}) * 2097152 + ({_ORD.format('gram', 3)}) END AS code
+  FROM (SELECT DISTINCT gram FROM n)),
+coded AS MATERIALIZED (SELECT r, code, n FROM n JOIN codes USING (gram)),
+own AS MATERIALIZED (SELECT * FROM (SELECT r, code, row_number() OVER (PARTITION BY r ORDER BY n DESC, code) - 1 AS place FROM coded) WHERE place < {PROFILE}),
+learned AS (SELECT lang, code, sum(c.n) AS n FROM coded c JOIN d USING (r) WHERE lang IS NOT NULL AND NOT held_out GROUP BY ALL),
+profile AS MATERIALIZED (SELECT * FROM (SELECT lang, code, row_number() OVER (PARTITION BY lang ORDER BY n DESC, code) - 1 AS place FROM learned) WHERE place < {PROFILE}),
+langs AS (SELECT DISTINCT lang FROM profile),
+apart AS (SELECT o.r, l.lang, sum(CASE WHEN p.place IS NULL THEN {PROFILE} ELSE abs(p.place - o.place) END) AS distance, count(*) AS size
+  FROM own o CROSS JOIN langs l LEFT JOIN profile p ON p.lang = l.lang AND p.code = o.code GROUP BY ALL),
+best AS (SELECT r, arg_min(lang, (distance, lang)) AS lang, min(distance) AS distance, min(size) AS size FROM apart GROUP BY r)
+SELECT doc_id, held_out, coalesce(best.lang, '{UNKNOWN}') AS lang_pred,
+  CASE WHEN best.r IS NULL THEN 0 ELSE 1 - CAST(distance AS DOUBLE) / ({PROFILE} * size) END AS score
+FROM d LEFT JOIN best USING (r)
+"""

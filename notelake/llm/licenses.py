@@ -181,3 +181,19 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of ``op10_license_scan``, which SQL can express."""
+    return op10_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+BASE_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents),
+p AS (SELECT unnest({list(PHRASES)}) AS phrase, unnest({list(PHRASES.values())}) AS label),
+x AS (SELECT r, unnest(w) AS x, unnest(range(0, len(w))) AS i FROM d),
+places AS (SELECT r, label, i FROM x JOIN p ON x = string_split(phrase, ' ')[1] JOIN d USING (r) WHERE array_to_string(w[i + 1:i + len(string_split(phrase, ' '))], ' ') = phrase),
+found AS (SELECT r, count(*) AS n, min(i) AS a, max(i) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN found USING (r)
+"""

@@ -33,7 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm.language_id import split
+from notelake.llm.decontaminate import words_sql
+from notelake.llm.language_id import held_out_sql, split
 from notelake.llm.words import Slice, slices
 from notelake.storage import materialize, table
 
@@ -355,3 +356,18 @@ def score(docs: DataFrame, language: Language) -> DataFrame:
 def op8_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = split(table(spark, sf_dir, "documents").select("doc_id", "text"), 7, 2)
     return score(docs, train(docs.where("not held_out")))
+
+
+def unigram_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of ``op8_ppm_score``, which SQL can express; the score to 4 places."""
+    return op8_ppm_score(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 4))
+
+
+BASE_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, {held_out_sql(7, 2)} AS held_out, coalesce({words_sql('text')}, []) AS w FROM documents),
+t AS MATERIALIZED (SELECT r, held_out, unnest(list_append(w, '')) AS token FROM d),
+c AS MATERIALIZED (SELECT token, count(*) AS c FROM t WHERE NOT held_out GROUP BY token),
+f AS (SELECT coalesce(CAST(sum(c) AS BIGINT), 0) AS n, count(*) AS v FROM c),
+s AS (SELECT r, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 1) / CAST(n + v + 1 AS DOUBLE))) AS base_score FROM t LEFT JOIN c USING (token), f GROUP BY r)
+SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(base_score, 4) AS base_score FROM d JOIN s USING (r), f
+"""

@@ -295,3 +295,22 @@ def op4_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = materialize(rule_statistics(table(spark, sf_dir, "documents")), "quality-stats")
     out = verdicts(stats, fit(stats, table(spark, sf_dir, "labels")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def quality_rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of ``op4_quality_forest``, which SQL can express."""
+    return op4_quality_forest(spark, sf_dir).drop("kept")
+
+
+BASE_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
+w AS MATERIALIZED (SELECT doc_id, r, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+windows AS MATERIALIZED (SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS x FROM w WHERE len(w) >= 3),
+twice AS (SELECT r, x FROM windows GROUP BY ALL HAVING count(*) > 1),
+covered AS (SELECT DISTINCT r, i + unnest([0, 1, 2]) AS i FROM windows JOIN twice USING (r, x)),
+repeated AS (SELECT r, count(*) AS n FROM covered GROUP BY r),
+base AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN repeated USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base
+"""

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from notelake.llm import licenses, ppm, quality_forest, secrets
 from notelake.llm.decontaminate import OP3_SQL, op3_benchmark_decontamination
-from notelake.llm.language_id import op7_language_id
+from notelake.llm.language_id import OP7_SQL, op7_language_id
 from notelake.llm.licenses import op10_license_scan
 from notelake.llm.mixing import OP2_SQL, op2_mix_sources
 from notelake.llm.ngram_join import OP5_SQL, op5_ngram_jaccard_join
@@ -28,6 +29,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ppm_score": op8_ppm_score,
     "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
+    # what SQL can express of operators with columns that it can't
+    "quality_rules_base": quality_forest.quality_rules_base,
+    "secret_scan_base": secrets.secret_scan_base,
+    "unigram_base": ppm.unigram_base,
+    "license_phrases": licenses.license_phrases,
 }
 
 ORACLE: dict[str, str] = {
@@ -35,4 +41,9 @@ ORACLE: dict[str, str] = {
     "op2_mix_sources": OP2_SQL,
     "op3_benchmark_decontamination": OP3_SQL,
     "op5_ngram_jaccard_join": OP5_SQL,
+    "op7_language_id": OP7_SQL,
+    "quality_rules_base": quality_forest.BASE_SQL,
+    "secret_scan_base": secrets.BASE_SQL,
+    "unigram_base": ppm.BASE_SQL,
+    "license_phrases": licenses.BASE_SQL,
 }

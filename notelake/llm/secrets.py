@@ -528,3 +528,28 @@ def redact(docs: DataFrame) -> DataFrame:
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def secret_scan_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of ``op6_secret_scan``, which SQL can express."""
+    return op6_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+_ANY_CASE = "".join(f"[{c.upper()}{c}]" for c in "password"), "".join(f"[{c.upper()}{c}]" for c in "passwd"), *("".join(f"[{c.upper()}{c}]" for c in x) for x in ("secret", "token")), "[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
+_SQL_KINDS = {"assign": rf"""({'|'.join(_ANY_CASE)})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
+
+
+def _sql_spans(kind: str, order: int, pattern: str) -> str:
+    size = f"length(regexp_extract(x, '{pattern}', 2)) >= 6" if kind == "assign" else f"length(x) >= {20 if kind == 'access' else 24}"
+    before = "list_sum(list_transform(gaps[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(found[1:i-1], lambda y: length(y))), 0)"
+    return f"""SELECT r, '{kind}' AS kind, {order} AS o, CAST({before} AS BIGINT) AS a, length(x) AS size FROM (
+  SELECT r, gaps, found, unnest(found) AS x, unnest(range(1, len(found) + 1)) AS i FROM (
+    SELECT r, regexp_split_to_array(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS found FROM d) WHERE len(found) > 0) WHERE {size}"""
+
+
+BASE_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
+spans AS ({' UNION ALL '.join(_sql_spans(k, i, p) for i, (k, p) in enumerate(_SQL_KINDS.items()))}),
+written AS (SELECT r, string_agg(kind || ':' || a || ':' || (a + size), ',' ORDER BY a, o) AS x, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _SQL_KINDS)} FROM spans GROUP BY r)
+SELECT doc_id, {', '.join(f'CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}' for k in _SQL_KINDS)}, sha256(coalesce(x, '')) AS base_sha256 FROM d LEFT JOIN written USING (r)
+"""
