@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from notelake.llm.bitmap import bitmap, in_bitmap
 from notelake.llm.components import components
 from notelake.llm.decontaminate import shingle_sql, words_sql
 from notelake.llm.shingles import Sets, of_column, overlap
@@ -55,8 +56,6 @@ ORDERS = 3
 SKETCH_BITS, CHUNK_BITS = 22, 16
 #: A task's count c is kept as round(CODE * log2(1 + c)) in one byte.
 CODE = 12
-#: Bits of a bitmap of nodes (8 MB), in chunks of 2 ** CHUNK.
-BITMAP_BITS, CHUNK = 26, 20
 #: A token whose cell counts more than this is dealt over several tasks.
 SALT_FROM = 4096
 #: Prefix tokens are met in buckets of about so many; so many are packed at once.
@@ -324,43 +323,18 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
-def _bitmap(nodes: DataFrame) -> np.ndarray:
-    """One bit for each remainder of a node's hash: 2 ** (BITMAP_BITS - 3) bytes for any corpus."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            at = b.column(0).to_numpy() & (2**BITMAP_BITS - 1)
-            for chunk in np.unique(at >> CHUNK).tolist():
-                bits = held.setdefault(chunk, np.zeros(1 << CHUNK, bool))
-                bits[at[at >> CHUNK == chunk] & (2**CHUNK - 1)] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in held.values()], pa.binary())], names=["chunk", "bits"])
-
-    chunk = F.shiftright(F.col("fp").bitwiseAND(F.lit(2**BITMAP_BITS - 1)), CHUNK)
-    rows = nodes.select("fp").repartition(1 << (BITMAP_BITS - CHUNK), chunk).mapInArrow(run, "chunk int, bits binary").collect()
-    out = np.zeros((1 << (BITMAP_BITS - CHUNK), 1 << (CHUNK - 3)), np.uint8)
-    for r in rows:
-        out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
-
-
-def _in_bitmap(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    at = prints & (2**BITMAP_BITS - 1)
-    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-
-
 def node_texts(docs: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
     """(fp, text): one text for each node of each task (and for a few other sets).
 
     A bitmap of fixed size tells which texts to send on, so that only those are shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(nodes.select("fp")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, known = shared.value, set()
         for b in batches:
             for s in of_column(b.column(0)):
                 prints = s.fingerprints(seed).view(np.int64)
-                wanted = _fresh(prints, np.where(_in_bitmap(bits, prints), s.sizes(), 0), known)
+                wanted = _fresh(prints, np.where(in_bitmap(bits, prints), s.sizes(), 0), known)
                 yield pa.RecordBatch.from_arrays([pa.array(prints[wanted]), b.column(0).take(pa.array([s.first + i for i in wanted], pa.int64())).cast(pa.string())], names=["fp", "text"])
 
     return docs.select("text").mapInArrow(run, "fp long, text string")
@@ -591,14 +565,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
         _, sets, seed = join_sets(docs, scratch)
         crowd = sets.groupBy("root").agg(F.sum("copies").alias("rows"), F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", "fp")).alias("choice")).where("rows > 1")
         crowd = materialize(sets.join(crowd, "root").select("fp", (F.col("fp") == F.col("choice.fp")).alias("__chosen")), "join-crowd")
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(crowd))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(crowd.select("fp")))
     at, print_ = docs.columns.index("text"), "__fp"
 
     def run(batches: Iterator[pa.RecordBatch], inside: bool) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in of_column(b.column(at)):
                 prints = s.fingerprints(seed).view(np.int64)
-                some = pa.array(((s.sizes() > 0) & _in_bitmap(shared.value, prints)) == inside)
+                some = pa.array(((s.sizes() > 0) & in_bitmap(shared.value, prints)) == inside)
                 part = b.slice(s.first, len(s))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints)], names=[*b.schema.names, print_]).filter(some)
 

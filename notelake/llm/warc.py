@@ -6,20 +6,23 @@ of a member of under 16 MB is zero anyway (the high byte of its length), so that
 to the writer and the files are plain concatenated members. Longer members are followed by one
 zero byte, which gzip readers skip.
 
-*Reader.* Archives come whole (they are bounded by ``RECORDS_PER_ARCHIVE``) from the
-``binaryFile`` source and are parsed in Python, a member at a time. A record must have a version
-line, a length, its closing blank lines and, where the header states one, the right block digest.
-After a failed check the reader searches for the next member or version line that passes all
-checks, goes on from there and logs the bytes between as a quarantined gap. The same is done
-inside a member's inflated bytes, and inside what inflates before the damage of a member that is
-cut off or has a wrong checksum; but where such a member inflates to exactly one record, its failed
-check counts as the record's, which is quarantined. Else nothing valid before or after damage is
-lost, but for what a member inflates to beyond ``LARGEST_MEMBER``.
+An archive ends at ``ARCHIVE_BYTES``. Only the payloads of repeated digests are shuffled, one a task.
+
+*Reader.* Archives come whole from the ``binaryFile`` source (so one of over 2 GiB must be split
+before) and are parsed in Python, a member at a time; members are inflated piece by piece, what has
+been read is dropped, so a member may inflate to any size. A record must have a version line, a
+length, its closing blank lines and, where the header states one, the right block digest. After a
+failed check the reader searches for the next member or version line that passes all checks, goes
+on from there and logs the bytes between as a quarantined gap. The same is done inside a member's
+inflated bytes, and inside what inflates before the damage of a member that is cut off or has a
+wrong checksum; but where such a member inflates to exactly one record, its failed check counts as
+the record's, which is quarantined. Else nothing valid before or after damage is lost.
 
 Edge cases: null payloads are empty; null URLs have no header line; null ids give an empty id;
-control characters in header values are percent-coded; repeated rows are records of their own;
-empty tables write an archive folder without records and read back as an empty table.
-Further columns of the input are ignored.
+control characters in header values are percent-coded; repeated rows are records of their own, and
+so are several rows of the largest id among equal payloads, all of them responses; a payload is
+held whole (up to the 2 GiB of a cell); empty tables write an archive folder without records and
+read back as an empty table. Further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -28,23 +31,22 @@ import base64
 import hashlib
 import re
 import zlib
-from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notelake.llm.bitmap import bitmap, in_bitmap
 from notelake.storage import fresh_path, materialize, table
 
 #: Equal payloads from this size on are stored once.
 REVISIT_BYTES = 1000
-RECORDS_PER_ARCHIVE = 20_000
-#: Inflated size from which the rest of a member counts as damaged (Arrow cells end at 2 GiB).
-LARGEST_MEMBER = (1 << 31) - (1 << 20)
+#: An archive takes no further record from this size on.
+ARCHIVE_BYTES = 1 << 28
 LEVEL, CHUNK, OUT_BYTES = 1, 1 << 16, 1 << 24
-#: Bytes that are fed at once to see how far a damaged member inflates.
+#: Bytes that are fed at once near the damage of a member.
 STEP = 64
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -57,9 +59,9 @@ def _header_value(x: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", x)
 
 
-def record_bytes(record_type: str, record_id: str, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+def record_bytes(record_type: str, record_id: str, url: str | None, payload: bytes, size: int, digest: str, refers_to: str | None) -> bytes:
     """One WARC/1.1 record; a revisit has the HTTP header of its payload, but not the payload."""
-    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     if record_type == "response":
         block += payload
     head = ["WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {DATE}"]
@@ -77,24 +79,29 @@ def member(record: bytes) -> bytes:
 
 
 def write_archives(records: DataFrame, path: str) -> None:
-    """Writes rows (record_type, record_id, url, payload: binary, digest, refers_to) to ``path``."""
+    """Writes rows (record_type, record_id, url, payload: binary, size, digest, refers_to) to ``path``.
+
+    The payload of a revisit may be null; ``size`` is its length. Each task numbers its archives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive = written = 0
         for b in batches:
-            out, held = [], 0
-            for cells in zip(*(b.column(k) for k in range(6)), strict=True):
-                kind, rid, url, payload, digest, refers = (c.as_py() for c in cells)
-                m = member(record_bytes(kind, rid, url, payload or b"", digest, refers))
+            out, at, held = [], [], 0
+            for cells in zip(*(b.column(k) for k in range(7)), strict=True):
+                kind, rid, url, payload, size, digest, refers = (c.as_py() for c in cells)
+                m = member(record_bytes(kind, rid, url, payload or b"", size, digest, refers))
+                if written >= ARCHIVE_BYTES:
+                    archive, written = archive + 1, 0
                 out.append(m[:-1] if m[-1] == 0 else m)
-                held += len(m)
+                at.append(archive)
+                held, written = held + len(m), written + len(m)
                 if held >= OUT_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
-                    out, held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
+                    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(out, pa.binary())], names=["part", "member"])
+                    out, at, held = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(out, pa.binary())], names=["part", "member"])
 
-    made = records.select("record_type", "record_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "member binary")
-    writer = made.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", RECORDS_PER_ARCHIVE)
-    writer.text(path)
+    made = records.select("record_type", "record_id", "url", "payload", "size", "digest", "refers_to").mapInArrow(run, "part int, member binary")
+    made.select("part", F.col("member").cast("string").alias("value")).write.option("lineSep", "\x00").partitionBy("part").text(path)
 
 
 class Damaged(ValueError):
@@ -119,15 +126,22 @@ def _bare(value: bytes | None) -> str | None:
     return None if value is None else value.decode("utf-8", "replace").strip().removeprefix("<").removesuffix(">")
 
 
-def parse_record(data: bytes | memoryview, at: int) -> tuple[Record, int]:
-    """The record at ``at`` and where it ends; ``Damaged`` if a check fails."""
+def parse_record(data: bytes | bytearray, at: int, more: Callable[[], bool] = lambda: False) -> tuple[Record, int]:
+    """The record at ``at`` and where it ends; ``Damaged`` if a check fails.
+
+    ``more`` lengthens ``data`` in place, or says that there is no more."""
+    while len(data) - at < 10 and more():
+        pass
     if not _VERSION.match(data, at):
         raise Damaged("no version line")
     close = data.find(b"\r\n\r\n", at)
-    if close < 0:
-        raise Damaged("header without end")
+    while close < 0:
+        seen = len(data)
+        if not more():
+            raise Damaged("header without end")
+        close = data.find(b"\r\n\r\n", max(at, seen - 3))
     fields = {}
-    for line in data[at:close].split(b"\r\n")[1:]:
+    for line in bytes(data[at:close]).split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header line without colon")
@@ -137,9 +151,11 @@ def parse_record(data: bytes | memoryview, at: int) -> tuple[Record, int]:
         raise Damaged("no content length")
     start = close + 4
     stop = start + int(length)
+    while len(data) < stop + 4 and more():
+        pass
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise Damaged("record without end")
-    block = data[start:stop]
+    block = bytes(data[start:stop])
     algorithm, _, want = fields.get(b"warc-block-digest", b"").partition(b":")
     if algorithm.lower() == b"sha1":
         made = hashlib.sha1(block)
@@ -153,116 +169,159 @@ def parse_record(data: bytes | memoryview, at: int) -> tuple[Record, int]:
     return Record(kind.decode("utf-8", "replace") if kind else None, _bare(fields.get(b"warc-record-id")), _bare(fields.get(b"warc-target-uri")), _bare(fields.get(b"warc-refers-to")), _bare(digest.rpartition(b":")[2]) if digest else None, payload), stop + 4
 
 
-def inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """The gzip member at ``at``, fed in chunks, and where it ends."""
-    z, out, pos, held = zlib.decompressobj(31), [], at, 0
-    try:
-        while not z.eof:
-            chunk = data[pos : pos + CHUNK]
+class Inflating:
+    """A gzip member that is inflated as far as it is asked for; ``held`` are the bytes from ``base`` on.
+
+    Before damage it gives all that inflates; ``lost`` says then what ails it."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.begin, self.pos, self.z = data, at, at, zlib.decompressobj(31)
+        self.held, self.base = bytearray(), 0
+        self.over, self.lost = False, None
+
+    def more(self) -> bool:
+        if self.over:
+            return False
+        before, step = self.z.copy(), CHUNK
+        while True:
+            chunk = self.data[self.pos : self.pos + step]
             if not chunk:
-                raise Damaged("member is cut off")
-            out.append(z.decompress(chunk))
-            pos += len(chunk)
-            held += len(out[-1])
-            if held > LARGEST_MEMBER:
-                raise Damaged("member is too large")
-    except zlib.error as e:
-        raise Damaged(f"member: {e}") from e
-    return b"".join(out), pos - len(z.unused_data)
-
-
-def recover(data: bytes, at: int) -> tuple[bytes, list[tuple[int, int]]]:
-    """What a damaged member inflates to before its damage; and (bytes made, place) of each step."""
-    z, out, pos, held, steps = zlib.decompressobj(31), [], at, 0, []
-    step, before = STEP, z.copy()
-    while pos < len(data) and held <= LARGEST_MEMBER and not z.eof:
-        try:
-            made = z.decompress(data[pos : pos + step])
-        except zlib.error:
-            if step == 1:
-                break
-            z, step = before, 1  # up to the byte that fails
-            continue
-        pos += step
-        if made:
-            out.append(made)
-            held += len(made)
-            steps.append((held, pos - step))
-        if step > 1:
+                self.over, self.lost = True, self.lost or "member is cut off"
+                return False
+            try:
+                made = self.z.decompress(chunk)
+            except zlib.error as e:
+                self.lost = f"member: {e}"
+                if step == 1:
+                    self.over = True
+                    return False
+                self.z, step = before, STEP if step > STEP else 1  # up to the byte that fails
+                before = self.z.copy()
+                continue
+            self.pos += len(chunk)
+            self.held += made
+            if self.z.eof:
+                self.over, self.pos = True, self.pos - len(self.z.unused_data)
+            if made or self.over:
+                return True
+            if step < CHUNK:
+                before = self.z.copy()
+
+    def drop(self, at: int) -> None:
+        del self.held[: at - self.base]
+        self.base = at
+
+    def place(self, made: int) -> int:
+        """Where in the data the step begins with which ``made`` bytes were there."""
+        z, pos, total, step = zlib.decompressobj(31), self.begin, 0, CHUNK
+        while pos < len(self.data):
             before = z.copy()
-    return b"".join(out), steps
+            try:
+                size = len(z.decompress(self.data[pos : pos + step]))
+            except zlib.error:
+                size = made  # the damage is in this step
+            if total + size < made:
+                total, pos = total + size, pos + step
+            elif step == CHUNK:
+                z, step = before, STEP
+            else:
+                break
+        return pos
 
 
-def inner_records(inner: bytes) -> Iterator[tuple[int, int, Record | str]]:
-    """As ``salvage_bytes``, of inflated bytes."""
+def inner_records(stream: Inflating) -> Iterator[tuple[int, int, Record | str]]:
+    """As ``salvage_bytes``, of inflated bytes, which are dropped as they have been read."""
     at, gap, why = 0, None, ""
-    while at < len(inner):
+    while at < stream.base + len(stream.held) or stream.more():
         try:
-            record, end = parse_record(inner, at)
+            record, end = parse_record(stream.held, at - stream.base, stream.more)
         except Damaged as e:
             if gap is None:
                 gap, why = at, str(e)
-            following = _VERSION.search(inner, at + 1)
-            at = following.start() if following else len(inner)
+            at, following = at + 1, None
+            while not (following := _VERSION.search(stream.held, at - stream.base)):
+                at = max(at, stream.base + len(stream.held) - 9)  # a version line may be cut here
+                stream.drop(at)
+                if not stream.more():
+                    at = stream.base + len(stream.held)
+                    break
+            if following:
+                at = stream.base + following.start()
+            stream.drop(at)
             continue
+        end += stream.base
         if gap is not None:
             yield gap, at, why
             gap = None
         yield at, end, record
         at = end
+        stream.drop(at)
     if gap is not None:
-        yield gap, len(inner), why
-
-
-def records_at(data: bytes, at: int) -> tuple[list[Record | str], int, str | None]:
-    """Records and inner gaps of the gzip member, or the plain record, at ``at``; where to go on;
-    and what ails the member if its rest is lost. ``Damaged`` if nothing in it passes."""
-    if data[at : at + 2] != b"\x1f\x8b":
-        record, end = parse_record(data, at)
-        return [record], end, None
-    lost, steps = None, []
-    try:
-        inner, end = inflate(data, at)
-    except Damaged as e:
-        lost = str(e)
-        inner, steps = recover(data, at)
-    found = list(inner_records(inner))
-    stops = [b for _, b, x in found if isinstance(x, Record)]
-    if not stops and (found or lost):
-        raise Damaged(lost or found[0][2])
-    if lost and len(found) == 1 and stops[0] == len(inner):  # the failed check is this record's own
-        raise Damaged(lost)
-    if lost:  # after the last record that passed; what can't be read after it is one gap
-        found = [x for x in found if x[1] <= stops[-1]]
-        end = max(at + 1, steps[bisect_left(steps, (stops[-1],))][1])
-    return [x if isinstance(x, Record) else f"bytes {a} to {b} of the member: {x}" for a, b, x in found], end, lost
+        yield gap, stream.base + len(stream.held), why
+
+
+def member_records(data: bytes, at: int) -> Iterator[tuple[int, Record | str] | tuple[int, None, str | None]]:
+    """(stop, record or inner gap) of the gzip member at ``at``; at last where to go on, null, and
+    what ails the member if its rest is lost. ``Damaged``, before anything is given, if nothing in it
+    passes."""
+    stream, waiting, given, stop = Inflating(data, at), [], False, 0
+    for a, b, x in inner_records(stream):
+        waiting.append((a, b, x))
+        if isinstance(x, Record):
+            stop = b
+            if given or len(waiting) > 1:  # a lone record waits for the member's checksum
+                yield from ((stream.pos, _inner(*w)) for w in waiting)
+                given, waiting = True, []
+        elif stop and not given:  # more than one record inflated
+            yield stream.pos, waiting.pop(0)[2]
+            given = True
+    if not given and (stream.lost or (waiting and not stop)):
+        raise Damaged(stream.lost or waiting[0][2])
+    if not stream.lost:
+        yield from ((stream.pos, _inner(*w)) for w in waiting)
+        yield stream.pos, None, None
+    else:  # after the last record that passed; what can't be read after it is one gap
+        yield max(at + 1, stream.place(stop)), None, stream.lost
+
+
+def _inner(a: int, b: int, x: Record | str) -> Record | str:
+    return x if isinstance(x, Record) else f"bytes {a} to {b} of the member: {x}"
 
 
 def salvage_bytes(data: bytes) -> Iterator[tuple[int, int, Record | str]]:
     """(start, stop, record) for each valid record, (start, stop, reason) for each gap.
 
-    Both are places in ``data``; a gap inside a member has the member's and says where it is."""
+    Both are places in ``data``; what is inside a member has the member's start, and as stop how far
+    the member was read by then; a gap in it says where it is."""
     at, gap, why = 0, None, ""
     while at < len(data):
         if gap is None and data[at] == 0:  # padding between members
             at += 1
             continue
+        lost = None
         try:
-            found, end, lost = records_at(data, at)
+            if data[at : at + 2] == b"\x1f\x8b":
+                for x in member_records(data, at):
+                    if gap is not None:
+                        yield gap, at, why
+                        gap = None
+                    if x[1] is None:
+                        end, _, lost = x
+                    else:
+                        yield at, *x
+            else:
+                x, end = parse_record(data, at)
+                if gap is not None:
+                    yield gap, at, why
+                    gap = None
+                yield at, end, x
         except Damaged as e:
             if gap is None:
                 gap, why = at, str(e)
-            following = _START.search(data, at + 1)
-            at = following.start() if following else len(data)
-            continue
-        if gap is not None:
-            yield gap, at, why
-            gap = None
-        for r in found:
-            yield at, end, r
+            end, lost = at + 1, why
         at = end
         if lost:
-            gap, why = end, lost
+            gap, why = (gap, why) if gap is not None else (end, lost)
             following = _START.search(data, end)
             at = following.start() if following else len(data)
     if gap is not None:
@@ -294,15 +353,33 @@ def salvage(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """Records of ``pages``: of equal payloads the one with the largest id is the response."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    keyed = rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size")).where(F.col("size") >= REVISIT_BYTES)
-    equal = keyed.groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    rows = rows.join(equal, ["digest", "size"], "left")
+    """Records of ``pages``: of equal payloads the one with the largest id is the response.
+
+    A bitmap tells the pages whose digest may be repeated; the others are written where they are
+    read. Of repeated digests one payload a task is shuffled, of their pages only ids and URLs."""
+    rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
+    key = F.when(F.col("size") >= REVISIT_BYTES, F.xxhash64("digest", "size"))
+    keyed = rows.select("digest", "size", key.alias("key")).where("key is not null")
+    repeated = keyed.groupBy("digest", "size", "key").count().where("count > 1").select("key")
+    shared = pages.sparkSession.sparkContext.broadcast(bitmap(repeated))
+
+    def some(inside: bool, *columns: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keys = b.column(b.num_columns - 1)
+                hit = in_bitmap(shared.value, keys.fill_null(0).to_numpy()) & ~keys.is_null().to_numpy(zero_copy_only=False)
+                yield b.filter(pa.array(hit == inside))
+
+        part = rows.select(*columns, key.alias("key"))
+        return part.mapInArrow(run, part.schema).drop("key")
+
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    alone = some(False, "page_id", "url", "payload", "digest", "size").select(F.lit("response").alias("record_type"), name("page_id").alias("record_id"), "url", "payload", "size", "digest", F.lit(None).cast("string").alias("refers_to"))
+    first = some(True, "page_id", "payload", "digest", "size").groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.first("payload").alias("payload"))
+    joined = some(True, "page_id", "url", "digest", "size").join(first, ["digest", "size"])
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.select(F.when(again, "revisit").otherwise("response").alias("record_type"), name("page_id").alias("record_id"), "url", "payload", "digest", F.when(again, name("first")).alias("refers_to"))
+    return alone.unionByName(joined.select(F.when(again, "revisit").otherwise("response").alias("record_type"), name("page_id").alias("record_id"), "url", F.when(~again, F.col("payload")).alias("payload"), "size", "digest", F.when(again, name("first")).alias("refers_to")))
 
 
 def resolve(records: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def test_archives_round_trip_and_salvage(spark, tmp_path):
 
 
 def test_salvage_finds_the_next_valid_record():
-    made = [warc.record_bytes("response", f"urn:{i}", "u", b"p%d" % i * 50, "d", None) for i in range(4)]
+    made = [warc.record_bytes("response", f"urn:{i}", "u", b"p%d" % i * 50, 100, "d", None) for i in range(4)]
     zipped = [warc.member(m) for m in made]
     broken = bytearray(zipped[1])
     broken[len(broken) // 2] ^= 0xFF
@@ -60,7 +60,7 @@ def test_salvage_finds_the_next_valid_record():
 
 def test_salvage_inside_members():
     rng = random.Random(3)
-    made = [warc.record_bytes("response", f"urn:{i}", "u", rng.randbytes(3000), "d", None) for i in range(5)]
+    made = [warc.record_bytes("response", f"urn:{i}", "u", rng.randbytes(3000), 3000, "d", None) for i in range(5)]
     ids = lambda data: [r.record_id if isinstance(r, warc.Record) else "gap" for _, _, r in warc.salvage_bytes(data)]
     bad = made[1][:-100] + b"x" * 10 + made[1][-90:]
     assert ids(warc.member(made[0] + bad + made[2] + b"x")) == ["urn:0", "gap", "urn:2", "gap"]
@@ -70,6 +70,36 @@ def test_salvage_inside_members():
     assert ids(bytes(wrong) + after) == ["urn:0", "urn:1", "urn:2", "urn:3", "gap", "urn:4"]
     assert ids(whole[: len(whole) // 2 + 500]) == ["urn:0", "urn:1", "gap"]
     assert ids(whole[: len(whole) // 2 + 500] + after) == ["urn:0", "urn:1", "gap", "urn:4"]
+    assert ids(whole[: len(whole) // 4 + 500] + after) == ["urn:0", "gap", "urn:4"]
+    assert ids(warc.member(made[0])[:-3] + after) == ["gap", "urn:4"]
+    data = b"junk" + warc.member(made[0]) + after
+    assert [(a, b) for a, b, _ in warc.salvage_bytes(data)] == [(0, 4), (4, len(data) - len(after)), (len(data) - len(after), len(data))]
+
+
+def test_members_are_not_held_whole(monkeypatch):
+    most = [0]
+
+    class Watched(warc.Inflating):
+        def drop(self, at):
+            most[0] = max(most[0], len(self.held))
+            super().drop(at)
+
+    monkeypatch.setattr(warc, "Inflating", Watched)
+    rng = random.Random(5)
+    made = [warc.record_bytes("response", f"urn:{i}", "u", rng.randbytes(20_000), 20_000, "d", None) for i in range(400)]
+    made[200] = made[200][:-50] + b"x" * 50
+    found = [x for _, _, x in warc.salvage_bytes(warc.member(b"".join(made)))]
+    assert len(found) == 400 and isinstance(found[200], str) and most[0] < 400_000
+
+
+def test_archives_end_by_size(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3000)
+    pages = spark.createDataFrame([(i, "u", random.Random(i).randbytes(600).hex(), "x") for i in range(40)], "page_id long, url string, html string, part string").coalesce(1)
+    path = fresh_path(spark, "t")
+    warc.write_archives(warc.page_records(pages), path)
+    found = warc.salvage(spark, path)
+    assert found.where("kind = 'record'").count() == 40 and found.where("kind = 'gap'").count() == 0
+    assert found.select("archive").distinct().count() > 8
 
 
 # 2: mixing
