@@ -121,6 +121,11 @@ class Orders:
         return first[np.argsort(key[first])]
 
 
+def names_of(s: Sets, seed: int) -> np.ndarray:
+    """What names the sets; two sets with one name are found and named anew with another seed."""
+    return s.fingerprints(seed)
+
+
 def _fresh(prints: np.ndarray, sizes: np.ndarray, known: set[int]) -> list[int]:
     """Rows with a set that isn't empty and that this task meets for the first time."""
     return [i for i, x in enumerate(prints.tolist()) if sizes[i] and not (x in known or known.add(x))]
@@ -135,13 +140,13 @@ def marked(docs: DataFrame, seed: int = 0) -> DataFrame:
         cells, known = np.zeros(1 << SKETCH_BITS, np.uint32), set()
         for b in batches:
             for s in of_column(b.column(1)):
-                prints, sizes = s.fingerprints(seed), s.sizes()
+                prints, sizes = names_of(s, seed), s.sizes()
                 sigs: list[bytes | None] = [None] * len(s)
                 for i in _fresh(prints, sizes, known):
                     row = s.row(i)
                     sigs[i] = signature(row)
                     np.add.at(cells, (row & np.uint64(len(cells) - 1)).astype(np.int64), np.uint32(1))
-                columns = [pa.array(sizes.astype(np.int64)), pa.array(prints.view(np.int64)), pa.array(s.fingerprints(seed + 1).view(np.int64)), pa.array(sigs, pa.binary())]
+                columns = [pa.array(sizes.astype(np.int64)), pa.array(prints.view(np.int64)), pa.array(names_of(s, seed + 1).view(np.int64)), pa.array(sigs, pa.binary())]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, len(s)), *columns, pa.nulls(len(s), pa.int32()), pa.nulls(len(s), pa.binary())], names=names)
         codes = np.minimum(np.rint(CODE * np.log2(1.0 + cells)), 255).astype(np.uint8).reshape(-1, 1 << CHUNK_BITS)
         some = np.flatnonzero(codes.any(axis=1))
@@ -189,8 +194,7 @@ class Prefixes:
     n: np.ndarray
 
     @classmethod
-    def of(cls, s: Sets, orders: Orders, known: set[int]) -> Prefixes | None:
-        prints = s.fingerprints(orders.seed)
+    def of(cls, s: Sets, prints: np.ndarray, orders: Orders, known: set[int], salt_from: int) -> Prefixes | None:
         fresh = _fresh(prints, s.sizes(), known)
         if not fresh:
             return None
@@ -200,7 +204,7 @@ class Prefixes:
         token, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes)
         place = np.concatenate([np.arange(p) * 256 // p for p in sizes.tolist()]).astype(np.uint8)
         fp = prints[fresh]
-        ways = np.clip((2 << orders.classes(token).astype(np.int64)) // SALT_FROM, 1, 65535)
+        ways = np.clip((2 << orders.classes(token).astype(np.int64)) // salt_from, 1, 65535)
         salt = np.where(ways > 1, mix(fp[owner], 41) % ways.astype(np.uint64) + np.uint64(1), np.uint64(0))
         return cls((token & np.uint64(2**48 - 1)) | (salt << np.uint64(48)), place, owner, fp, np.array([len(x) for x in rows], np.uint32))
 
@@ -268,7 +272,7 @@ def packed_prefixes(docs: DataFrame, orders: Orders, buckets: int) -> DataFrame:
         orders, known, held, size = shared.value, set(), [], 0
         for b in batches:
             for s in of_column(b.column(0)):
-                part = Prefixes.of(s, orders, known)
+                part = Prefixes.of(s, names_of(s, orders.seed), orders, known, SALT_FROM)
                 if part:
                     held.append(part)
                     size += len(part.key)
@@ -333,7 +337,7 @@ def node_texts(docs: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
         bits, known = shared.value, set()
         for b in batches:
             for s in of_column(b.column(0)):
-                prints = s.fingerprints(seed).view(np.int64)
+                prints = names_of(s, seed).view(np.int64)
                 wanted = _fresh(prints, np.where(in_bitmap(bits, prints), s.sizes(), 0), known)
                 yield pa.RecordBatch.from_arrays([pa.array(prints[wanted]), b.column(0).take(pa.array([s.first + i for i in wanted], pa.int64())).cast(pa.string())], names=["fp", "text"])
 
@@ -571,7 +575,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch], inside: bool) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in of_column(b.column(at)):
-                prints = s.fingerprints(seed).view(np.int64)
+                prints = names_of(s, seed).view(np.int64)
                 some = pa.array(((s.sizes() > 0) & in_bitmap(shared.value, prints)) == inside)
                 part = b.slice(s.first, len(s))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints)], names=[*b.schema.names, print_]).filter(some)
