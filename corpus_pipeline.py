@@ -1,7 +1,14 @@
 """Corpus pipeline: reject, deduplicate, decontaminate, mask secrets, mix.
 
 Each stage works on all that its predecessor kept, written as Parquet in the shared folder and
-read again. All stages but the last return the columns of ``documents``.
+read again. All stages but the last return the columns of ``documents`` (further columns are kept).
+
+Edge cases: null, empty and very short texts fail the base rule of the first stage and go, so later
+stages see words in every text; very long texts are read whole by each stage; rows without an id
+are kept or go like others, and of a group of near copies a row with an id stays before one without;
+repeated rows are near copies of each other, so one stays; ties go to the lesser id, then to a hash
+of the text; without labels the forest rejects nothing, without benchmark items nothing is
+contaminated; empty documents give an empty mix. Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from notelake.llm import decontaminate, mixing, ngram_join, quality_forest, secrets
-from notelake.storage import materialize, table
+from notelake.storage import Scratch, materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +60,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
-    return docs
+    with Scratch(spark) as scratch:
+        for _, stage in STAGES[:-1]:  # each table replaces the one before
+            docs = scratch.write(stage(spark, docs, sf_dir), "pipeline")
+        return materialize(STAGES[-1][1](spark, docs, sf_dir), "pipeline-result")
