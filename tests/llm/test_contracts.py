@@ -78,3 +78,26 @@ def test_pipeline_equals_brute_force(spark):
     mixed = stages["mixing sources"](spark, masked, SF)
     assert mixed.count() == masked.count() and mixed.where("taken > 2 * size").count() == 0
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == want - bad
+
+
+def test_pipeline_on_odd_tables(spark, odd, empty, vocabulary, tmp_path):
+    import random
+
+    rng = random.Random(31)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    item, copied = text(20), text(90)
+    more = [(100, copied, "en", "a", 1, 0.0, 1, "r"), (None, copied, "en", "a", 1, 0.0, 1, "r"), (None, text(60), None, None, None, None, None, None), (101, text(40) + " " + item + " " + text(40), "en", "b", 1, 0.0, 1, "r"), (102, text(60) + " db_pass = 'x7Gh2kLq9PzR'", "en", None, 1, 0.0, 1, "r")]
+    docs = odd.unionByName(spark.createDataFrame(more, odd.schema))
+    labels = spark.createDataFrame([(100, 1, 0), (None, 0, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, item), (None, None)], "item_id long, text string")
+    for name, tables in {"some": (docs, labels, bench), "none": (empty, labels.limit(0), bench.limit(0)), "plain": (docs, labels.limit(0), bench.limit(0))}.items():
+        for table_name, df in zip(("documents", "labels", "benchmark"), tables, strict=True):
+            df.write.parquet(f"file://{tmp_path}/{name}/{table_name}.parquet")
+        got = corpus_pipeline.run(spark, f"file://{tmp_path}/{name}").collect()
+        ids = [r.doc_id for r in got]
+        if name == "none":
+            assert ids == []
+            continue
+        assert ids.count(100) == 1 and ids.count(None) == 1 and (101 in ids) == (name == "plain") and ids.count(102) == 1
+        assert not {5, 6, 7, 8, 9, 10} & set(ids) and ids.count(11) == 1 and ids.count(0) == 1 and 1 not in ids
+        assert all(0 <= r.taken <= 2 * r.size for r in got)
