@@ -59,7 +59,7 @@ CODE = 12
 #: A token whose cell counts more than this is dealt over several tasks.
 SALT_FROM = 4096
 #: Prefix tokens are met in buckets of about so many; so many are packed at once.
-BUCKET, FLUSH = 1 << 19, 1 << 20
+BUCKET, FLUSH = 1 << 19, 1 << 19
 #: Neighbours by size that a set is tried against for each of its early tokens in the first round.
 NEAR = 3
 #: Least bits of a signature.
@@ -148,10 +148,13 @@ def marked(docs: DataFrame, seed: int = 0) -> DataFrame:
                     np.add.at(cells, (row & np.uint64(len(cells) - 1)).astype(np.int64), np.uint32(1))
                 columns = [pa.array(sizes.astype(np.int64)), pa.array(prints.view(np.int64)), pa.array(names_of(s, seed + 1).view(np.int64)), pa.array(sigs, pa.binary())]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, len(s)), *columns, pa.nulls(len(s), pa.int32()), pa.nulls(len(s), pa.binary())], names=names)
-        codes = np.minimum(np.rint(CODE * np.log2(1.0 + cells)), 255).astype(np.uint8).reshape(-1, 1 << CHUNK_BITS)
-        some = np.flatnonzero(codes.any(axis=1))
+        some, codes = [], []
+        for i, x in enumerate(cells.reshape(-1, 1 << CHUNK_BITS)):
+            if x.any():
+                some.append(i)
+                codes.append(pa.compress(np.minimum(np.rint(CODE * np.log2(1.0 + x)), 255).astype(np.uint8).tobytes(), "zstd", asbytes=True))
         none = [pa.nulls(len(some), kind) for kind in (pa.int64(),) * 4 + (pa.binary(),)]
-        yield pa.RecordBatch.from_arrays([*none, pa.array(some.astype(np.int32)), pa.array([pa.compress(codes[i].tobytes(), "zstd", asbytes=True) for i in some], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([*none, pa.array(some, pa.int32()), pa.array(codes, pa.binary())], names=names)
 
     names = ["doc_id", "n", "fp", "check", "sig", "chunk", "cells"]
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, fp long, check long, sig binary, chunk int, cells binary")

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are tokenised at once.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 #: Separators of the word pattern ``[^\x20\x09-\x0D]+``.
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 
