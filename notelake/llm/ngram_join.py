@@ -59,7 +59,7 @@ CODE = 12
 #: A token whose cell counts more than this is dealt over several tasks.
 SALT_FROM = 4096
 #: Prefix tokens are met in buckets of about so many; so many are packed at once.
-BUCKET, FLUSH = 1 << 19, 1 << 19
+BUCKET, FLUSH, MOST_TASKS = 1 << 19, 1 << 19, 1 << 15
 #: Neighbours by size that a set is tried against for each of its early tokens in the first round.
 NEAR = 3
 #: Least bits of a signature.
@@ -292,8 +292,10 @@ def packed_prefixes(docs: DataFrame, orders: Orders, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "bucket int, data binary")
 
 
-def shared_tokens(packs: DataFrame) -> DataFrame:
-    """Prefix tokens of at least two sets, see ``Prefixes.shared``; one bucket is held at a time."""
+def shared_tokens(packs: DataFrame, buckets: int) -> DataFrame:
+    """Prefix tokens of at least two sets, see ``Prefixes.shared``; one bucket is held at a time.
+
+    Each bucket has a task of its own, as long as there are no more than ``MOST_TASKS``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -307,7 +309,7 @@ def shared_tokens(packs: DataFrame) -> DataFrame:
         if held:
             yield Prefixes.together(held).shared()
 
-    return packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, TOKEN_DDL)
+    return packs.repartitionById(min(buckets, MOST_TASKS), F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, TOKEN_DDL)
 
 
 def _pairs(rows: DataFrame, partners: list[str]) -> DataFrame:
@@ -534,7 +536,7 @@ def join_sets(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame,
     orders = frequency_orders(marks, seed)
     size = nodes.agg(F.sum(F.expr(f"n - ceil({PERCENT} * n / 100) + 1"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // BUCKET))
-    tokens = scratch.write(shared_tokens(packed_prefixes(docs, orders, buckets)), "join-tokens")
+    tokens = scratch.write(shared_tokens(packed_prefixes(docs, orders, buckets), buckets), "join-tokens")
     parts = candidate_parts(tokens, nodes, scratch)
     scratch.drop("join-tokens")
 
