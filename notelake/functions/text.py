@@ -166,11 +166,23 @@ def escape_html(t: Column | str) -> Column:
 def clean_inline(t: Column | str) -> Column:
     """Named and numeric ASCII entities decoded, tags dropped, white space collapsed."""
     t = F.regexp_replace(_col(t), r"<[^>]+>", "")
+    codes = F.array_distinct(F.regexp_extract_all(t, F.lit(r"&#(\d{1,3}|[xX][0-9a-fA-F]{1,2});"), F.lit(1)))
+    code = lambda x: F.when(F.lower(F.left(x, F.lit(1))) == "x", F.conv(F.substr(x, F.lit(2)), 16, 10)).otherwise(x).cast("int")
+    ascii_ = F.filter(codes, lambda x: (code(x) >= 32) & (code(x) < 127) & (code(x) != 38))  # an ampersand comes last, as below
+    t = F.aggregate(ascii_, t, lambda s, x: F.replace(s, F.concat(F.lit("&#"), x, F.lit(";")), F.char(code(x))))
+    t = F.regexp_replace(t, r"&#(?:38|[xX]26);", "&amp;")
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         t = F.replace(t, F.lit(name), F.lit(char))
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
+def replace_last(t: Column | str, old: str, new: str) -> Column:
+    """The text with the last occurrence of a string replaced."""
+    t = _col(t)
+    tail = F.substring_index(t, old, -1)
+    return F.when(t.contains(old), F.concat(F.left(t, F.length(t) - F.length(tail) - len(old)), F.lit(new), tail)).otherwise(t)
+
+
 def format_bytes(n: Column | str) -> Column:
     """About how many KB or MB; one decimal under 10."""
     n = _col(n).cast("double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notelake.functions.text import token_estimate
 from notelake.operators.rag import budgeted
 
 
@@ -53,7 +54,13 @@ def prioritize(papers: DataFrame, weights: tuple[float, float, float] = (50, 30,
 
 def within_budget(papers: DataFrame, most: int, cost: Column) -> DataFrame:
     """Papers with a summary, in order, up to the first that passes the token budget."""
-    return budgeted(papers.where(F.trim(F.coalesce("summary", F.lit(""))) != ""), most, cost=cost, order=["place"])
+    return budgeted(papers.where(F.trim(F.coalesce("summary", F.lit(""))) != ""), most, cost=cost, order=["place"], least=1)
+
+
+def within_excerpts(pages: DataFrame, most_tokens: int, used: int, *, share: float = 0.9) -> DataFrame:
+    """Pages with an excerpt, by place, that fit what ``used`` tokens leave of a share of the window."""
+    filled = pages.where(F.coalesce("excerpt", F.lit("")) != "")
+    return budgeted(filled, int(share * most_tokens) - used, cost=token_estimate("excerpt"), order=["place"], least=1)
 
 
 def first_text(*columns: str) -> Column:
@@ -62,8 +69,10 @@ def first_text(*columns: str) -> Column:
 
 
 def citation_line() -> Column:
+    """A reference in one line; an author or journal that isn't known leaves no gap."""
     c = lambda n: F.coalesce(F.col(n).cast("string"), F.lit(""))
-    return F.concat(F.lit("- "), c("author"), F.lit(" et al., "), F.lit("["), c("title"), F.lit("](https://doi.org/"), c("doi"), F.lit("), "), c("journal"), F.lit(", "), c("year"), F.lit(", cited: "), c("citation_count"), F.lit("."))
+    known = lambda n, after: F.when(c(n) != "", F.concat(c(n), F.lit(after))).otherwise("")
+    return F.concat(F.lit("- "), known("author", " "), F.lit("et al., ["), c("title"), F.lit("](https://doi.org/"), c("doi"), F.lit("), "), known("journal", ", "), c("year"), F.lit(", cited: "), c("citation_count"), F.lit("."))
 
 
 def parse_plan(answer: Column) -> Column:

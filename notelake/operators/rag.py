@@ -21,8 +21,12 @@ def neighbours(blocks: DataFrame, hits: DataFrame, *, before: int = 0, after: in
     return placed.join(wanted, ["note_id", "place"], "left_semi").drop("place")
 
 
-def budgeted(ranked: DataFrame, budget: int, *, cost: Column, order: list[Column | str], per: list[str] | None = None) -> DataFrame:
-    """The longest prefix whose running cost stays within the budget (costs are positive)."""
+def budgeted(ranked: DataFrame, budget: int, *, cost: Column, order: list[Column | str], per: list[str] | None = None, least: int = 0) -> DataFrame:
+    """The longest prefix whose running cost stays within the budget (costs are positive).
+
+    If every row costs ``least`` or more, only as many rows as could fit meet in one task."""
+    if least and not per:
+        ranked = ranked.orderBy(*order).limit(max(0, budget) // least + 1)
     w = (Window.partitionBy(*per) if per else Window.partitionBy()).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return ranked.withColumn("cost", cost).withColumn("running", F.sum("cost").over(w)).where(F.col("running") <= budget)
 
@@ -37,7 +41,7 @@ def context(ranked: DataFrame, budget: int, *, keywords: str | None = None, over
     kept = ranked.where("text is not null").withColumn("shown", named)
     if keywords:
         kept = kept.where(matches_keywords(F.concat_ws("\n", "title", "text"), keywords))
-    kept = budgeted(kept, budget, cost=token_estimate("text") + overhead, order=["rank"])
+    kept = budgeted(kept, budget, cost=token_estimate("text") + overhead, order=["rank"], least=overhead)
     kept = kept.withColumn("seen", F.min("rank").over(Window.partitionBy("note_id")))
     order = Window.orderBy("seen", "note_id", "line", "rank")
     fresh = (F.coalesce(F.lag("note_id").over(order) != F.col("note_id"), F.lit(True)) | F.coalesce(F.lag("shown").over(order) != F.col("shown"), F.lit(True))).cast("int")
@@ -110,6 +114,20 @@ def without_commands(t: Column | str, names: tuple[str, ...] = ("search", "notes
     return F.regexp_replace(rest, r"^\s+|\s+$", "")
 
 
+def global_commands(body: Column | str, names: tuple[str, ...] = ("search", "notes", "context", "not context")) -> Column:
+    """The last ``name: value`` line of each command inside fenced blocks of a note."""
+    body = body if isinstance(body, Column) else F.col(body)
+    fenced = F.array_join(F.regexp_extract_all(body, F.lit(r"(?s)```[^\n]*\n(.*?)```"), F.lit(1)), "\n")
+    return parse_commands(fenced, names)
+
+
+def effective_commands(body: Column | str, last_turn: Column | str, names: tuple[str, ...] = ("search", "notes", "context", "not context")) -> Column:
+    """Commands of the last user turn; what it lacks comes from the note's fenced defaults."""
+    own, given = parse_commands(last_turn, names), global_commands(body, names)
+    keys = [n.replace(" ", "_") for n in names]
+    return F.struct(*[F.coalesce(own[k], given[k]).alias(k) for k in keys])
+
+
 def parse_chat(text: str, *, user: str = "User:", model: str = "Assistant:", system: list[str] = ()) -> list[tuple[str, str]]:
     """(role, content) of a chat kept as text; lines ``===`` fence stretches without markers."""
     out: list[list[str]] = [["system", s] for s in system]

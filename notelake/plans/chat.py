@@ -46,13 +46,13 @@ def history_sanitize(spark: SparkSession, d: str) -> DataFrame:
     return R.sanitize_history(turns(spark, d)).select("conv_id", "turn", "role")
 
 
-_CMD = "'Search: one' || chr(10) || left(replace(text, chr(10), ' '), 15) || chr(10) || 'search:  two ' || turn || chr(10) || 'Notes: ' || md5(text) || ', x' || CASE WHEN turn % 2 = 0 THEN chr(10) || 'Not context: zzz' ELSE '' END"
+_CMD = "'Search: one' || chr(10) || replace(text, chr(10), ' ') || chr(10) || 'search:  two ' || turn || chr(10) || 'Notes: ' || md5(text) || ', x' || CASE WHEN turn % 2 = 0 THEN chr(10) || 'Not context: zzz' ELSE '' END"
 
 
-@query("SELECT conv_id, turn, 'two ' || turn AS search, md5(text) AS note, CAST(NULL AS VARCHAR) AS context, CASE WHEN turn % 2 = 0 THEN 'zzz' END AS not_context, trim(left(replace(text, chr(10), ' '), 15)) AS rest FROM conversations")
+@query("SELECT conv_id, turn, 'two ' || turn AS search, md5(text) AS note, CAST(NULL AS VARCHAR) AS context, CASE WHEN turn % 2 = 0 THEN 'zzz' END AS not_context, trim(replace(text, chr(10), ' ')) AS rest FROM conversations")
 def parse_commands(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
-    head = F.left(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(15))
+    head = F.replace("text", F.lit("\n"), F.lit(" "))
     t = F.concat(F.lit("Search: one\n"), head, F.lit("\nsearch:  two "), F.col("turn").cast("string"), F.lit("\nNotes: "), F.md5("text"), F.lit(", x"), F.when(F.col("turn") % 2 == 0, "\nNot context: zzz").otherwise(""))
     found = c.select("conv_id", "turn", R.parse_commands(t).alias("p"), R.without_commands(t).alias("rest"))
     return found.select("conv_id", "turn", "p.search", R.command_notes(F.col("p.notes"))[0].alias("note"), "p.context", "p.not_context", F.trim("rest").alias("rest"))

@@ -211,10 +211,10 @@ def legacy_model_check(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4])
 
 
-@query("SELECT l.doc_id % 40 AS note_id, CAST(v.vec_id AS BIGINT) AS line, md5(CAST(l.doc_id % 40 AS VARCHAR)) AS hash FROM embeddings v JOIN (SELECT DISTINCT doc_id FROM documents WHERE doc_id < 40) l ON v.vec_id % 50 = l.doc_id")
+@query("SELECT l.doc_id AS note_id, CAST(v.vec_id AS BIGINT) AS line, md5(CAST(l.doc_id AS VARCHAR)) AS hash FROM embeddings v JOIN documents l ON v.vec_id % 50 = l.doc_id")
 def legacy_scan(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select((F.col("vec_id") % 50).alias("note_idx"), F.col("vec_id").alias("line"), F.lit(0).alias("body_idx"), F.lit(1).alias("length"), F.lit(0).alias("level"), F.lit("t").alias("title"), "embedding")
-    n = table(spark, d, "documents").where("doc_id < 40").select(F.col("doc_id").alias("idx"), F.col("doc_id").alias("note_id"), F.md5(F.col("doc_id").cast("string")).alias("hash"))
+    n = table(spark, d, "documents").select(F.col("doc_id").alias("idx"), F.col("doc_id").alias("note_id"), F.md5(F.col("doc_id").cast("string")).alias("hash"))
     return N.legacy_blocks(e, n).select("note_id", "line", "hash")
 
 

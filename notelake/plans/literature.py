@@ -48,10 +48,10 @@ def paper_budget(spark: SparkSession, d: str) -> DataFrame:
     return kept.agg(F.count(F.lit(1)).alias("papers"), F.max("running").alias("used"))
 
 
-@query(f"WITH {_P} SELECT paper_id, '- et al., [' || title || '](https://doi.org/' || coalesce(doi, '') || '), ' || year || ', cited: ' || citation_count || '.' AS line FROM (SELECT *, title AS t FROM p)")
+@query(f"WITH {_P} SELECT paper_id, '- ' || CASE WHEN paper_id % 2 = 0 THEN 'Doe ' ELSE '' END || 'et al., [' || title || '](https://doi.org/' || coalesce(doi, '') || '), ' || CASE WHEN paper_id % 3 = 0 THEN 'J, ' ELSE '' END || year || ', cited: ' || citation_count || '.' AS line FROM (SELECT *, title AS t FROM p)")
 def citation_lines(spark: SparkSession, d: str) -> DataFrame:
-    p = papers(spark, d).withColumn("author", F.lit(None).cast("string")).withColumn("journal", F.lit(None).cast("string"))
-    return p.select("paper_id", F.replace(F.replace(P.citation_line(), F.lit("-  et"), F.lit("- et")), F.lit("), , "), F.lit("), ")).alias("line"))
+    p = papers(spark, d).withColumn("author", F.when(F.col("paper_id") % 2 == 0, "Doe")).withColumn("journal", F.when(F.col("paper_id") % 3 == 0, "J"))
+    return p.select("paper_id", P.citation_line().alias("line"))
 
 
 @query(f"WITH {_P} SELECT paper_id, CASE WHEN paper_id % 4 = 0 THEN citation_count ELSE CASE WHEN pmid IS NULL THEN citation_count ELSE CAST(pmid AS INTEGER) + 1 END END AS citation_count FROM p")
@@ -83,9 +83,9 @@ def text_fallback(spark: SparkSession, d: str) -> DataFrame:
     return p.select("paper_id", P.first_text("publisher", "graph", "index").alias("text"))
 
 
-@query("SELECT p_partkey AS note_id, CASE WHEN p_partkey % 2 = 0 THEN 'old/economy' ELSE 'economy' END AS tags FROM part WHERE p_type = 'ECONOMY'")
+@query("SELECT p_partkey AS note_id, array_to_string(list_concat(CASE WHEN p_partkey % 2 = 0 THEN ['old'] ELSE [] END, CASE WHEN p_type = 'ECONOMY' THEN ['economy'] ELSE [] END), '/') AS tags FROM part")
 def tag_postprocess(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").where("p_type = 'ECONOMY'")
+    p = table(spark, d, "part")
     answer = F.concat(F.col("p_type"), F.lit(" , nonsense,"), F.col("p_type"))
     bank, old = F.array(F.lit("economy"), F.lit("old")), F.array(F.lit("old"))
     keep = F.when(F.col("p_partkey") % 2 == 0, P.select_tags(answer, bank, old, keep_existing=True)).otherwise(P.select_tags(answer, bank, old))

@@ -72,12 +72,12 @@ def keyword_rerank(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT item_id, 'SEARCH: ' || left(replace(replace(text, chr(10), ' '), '|', ' '), 30) || ' | KEYWORDS: ' || CASE WHEN item_id % 3 = 0 THEN 'NONE' ELSE 'red, blue sky' END AS line FROM benchmark)
+    """WITH a AS (SELECT item_id, 'SEARCH: ' || replace(replace(text, chr(10), ' '), '|', ' ') || ' | KEYWORDS: ' || CASE WHEN item_id % 3 = 0 THEN 'NONE' ELSE 'red, blue sky' END AS line FROM benchmark)
 SELECT item_id, trim(regexp_extract(line, '(?i)SEARCH:\\s*([^|]*)', 1)) AS search, CASE WHEN item_id % 3 = 0 THEN '' ELSE 'red/any:1 blue sky' END AS keywords FROM a"""
 )
 def decompose_parse(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "benchmark")
-    head = F.left(F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit(" ")), F.lit(30))
+    head = F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit(" "))
     answer = F.concat(F.lit("Here:\nSEARCH: "), head, F.lit(" | KEYWORDS: "), F.when(F.col("item_id") % 3 == 0, "NONE").otherwise("red, blue sky"))
     found = b.select("item_id", L.parse_decomposition(answer)[0].alias("p"))
     return found.select("item_id", "p.search", F.array_join("p.keywords", "/").alias("keywords"))
@@ -92,14 +92,18 @@ def neighbor_blocks(spark: SparkSession, d: str) -> DataFrame:
     return R.neighbours(b, b.where("line % 50 = 7"), before=1, after=2).select("note_id", "line")
 
 
+#: Tokens of a context: that of a model with a long window.
+CONTEXT = 200_000
+
+
 def _context(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "documents").where("doc_id < 200")
-    ranked = b.select((F.col("doc_id") % 9).alias("note_id"), F.col("doc_id").alias("line"), ((F.col("doc_id") * 37) % 199 * 1000 + F.col("doc_id")).alias("rank"), F.lit("T").alias("title"), F.concat(F.lit("h"), (F.col("doc_id") % 4).cast("string")).alias("heading"), F.left("text", F.lit(400)).alias("text"))
-    return R.context(ranked, 2048)
+    b = table(spark, d, "documents")
+    ranked = b.select((F.col("doc_id") % 9).alias("note_id"), F.col("doc_id").alias("line"), ((F.col("doc_id") * 37) % 199 * 1_000_000_000 + F.col("doc_id")).alias("rank"), F.lit("T").alias("title"), F.concat(F.lit("h"), (F.col("doc_id") % 4).cast("string")).alias("heading"), "text")
+    return R.context(ranked, CONTEXT)
 
 
-_CTX = f"""c AS (SELECT doc_id % 9 AS note_id, doc_id AS line, (doc_id * 37) % 199 * 1000 + doc_id AS rank, 'T ::: h' || (doc_id % 4) AS shown, left(text, 400) AS text FROM documents WHERE doc_id < 200),
-k AS (SELECT *, sum({_TOKENS.format(t='text')} + 20) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS running FROM c QUALIFY running <= 2048),
+_CTX = f"""c AS (SELECT doc_id % 9 AS note_id, doc_id AS line, (doc_id * 37) % 199 * 1000000000 + doc_id AS rank, 'T ::: h' || (doc_id % 4) AS shown, text FROM documents WHERE text IS NOT NULL),
+k AS (SELECT *, sum({_TOKENS.format(t='text')} + 20) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS running FROM c QUALIFY running <= {CONTEXT}),
 o AS (SELECT *, min(rank) OVER (PARTITION BY note_id) AS seen FROM k),
 f AS (SELECT *, CASE WHEN lag(note_id) OVER w IS NOT DISTINCT FROM note_id AND lag(shown) OVER w IS NOT DISTINCT FROM shown THEN 0 ELSE 1 END AS fresh, row_number() OVER w AS place FROM o WINDOW w AS (ORDER BY seen, note_id, line, rank))"""
 

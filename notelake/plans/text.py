@@ -92,14 +92,14 @@ def line_offsets(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("note_id", F.instr("body", "ing").cast("long").alias("at"), T.line_number(F.col("body"), F.lit("ing")).cast("long").alias("line"))
 
 
-@query("SELECT doc_id AS note_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(left(text, 60)), '[ \\t\\n\\r\\f]+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '^-', ''), '-$', '') AS slug FROM documents")
+@query("SELECT doc_id AS note_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[ \\t\\n\\r\\f]+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '^-', ''), '-$', '') AS slug FROM documents")
 def slugify(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("note_id", T.slug(F.left("body", F.lit(60))).alias("slug"))
+    return docs(spark, d).select("note_id", T.slug("body").alias("slug"))
 
 
-@query("SELECT doc_id AS note_id, trim(regexp_replace('tag:' || source || ' ' || left(text, 20) || ' notebook:a1 title:x', '\\b(any|title|body|tag|notebook|created|updated|due|type|iscompleted|latitude|longitude|altitude|resource|sourceurl|id):\\S+', '', 'g')) AS query FROM documents")
+@query("SELECT doc_id AS note_id, trim(regexp_replace('tag:' || source || ' ' || text || ' notebook:a1 title:x', '\\b(any|title|body|tag|notebook|created|updated|due|type|iscompleted|latitude|longitude|altitude|resource|sourceurl|id):\\S+', '', 'g')) AS query FROM documents")
 def strip_query_operators(spark: SparkSession, d: str) -> DataFrame:
-    q = F.concat(F.lit("tag:"), "source", F.lit(" "), F.left("body", F.lit(20)), F.lit(" notebook:a1 title:x"))
+    q = F.concat(F.lit("tag:"), "source", F.lit(" "), "body", F.lit(" notebook:a1 title:x"))
     return docs(spark, d).select("note_id", T.strip_query_operators(q).alias("query"))
 
 
@@ -134,9 +134,9 @@ def short_forms(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("note_id", T.middle_truncate("body", 50).alias("short"), T.title_prefix(F.concat(i, F.lit("-"), F.left("body", F.lit(5)))).alias("prefix"), T.plain_citations(F.concat(F.lit("see [note "), i, F.lit("]"))).alias("cited"))
 
 
-@query("SELECT doc_id AS note_id, replace(replace(replace(replace(replace(left(text, 80) || '<a & \"b\">', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM documents")
+@query("SELECT doc_id AS note_id, replace(replace(replace(replace(replace(text || '<a & \"b\">', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM documents")
 def escape_html(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("note_id", T.escape_html(F.concat(F.left("body", F.lit(80)), F.lit('<a & "b">'))).alias("escaped"))
+    return docs(spark, d).select("note_id", T.escape_html(F.concat("body", F.lit('<a & "b">'))).alias("escaped"))
 
 
 @query("SELECT doc_id AS note_id, '[' || (doc_id + 1) || ']: :/' || doc_id || CASE WHEN doc_id % 2 > 0 THEN '#my-title-' || doc_id ELSE '' END AS link, len(regexp_extract_all('[a](:/' || md5(text) || ') [b](:/short)', '\\[[^\\]]*\\]\\(:/([A-Za-z0-9]{32})(?:#[^)]*)?\\)', 1)) AS links FROM documents")

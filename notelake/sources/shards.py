@@ -65,7 +65,7 @@ def decode(shards: DataFrame) -> DataFrame:
 
 def put(shards: DataFrame, meta: DataFrame, shard_path: str, meta_path: str) -> None:
     """Two phases: shards first, metadata last; readers join on the epoch, so a write that broke
-    off between the two stays invisible."""
+    off between the two stays invisible, and one that is retried shows once."""
     shards.write.mode("append").partitionBy("model_id").parquet(shard_path)
     meta.write.mode("append").partitionBy("model_id").parquet(meta_path)
 
@@ -73,6 +73,7 @@ def put(shards: DataFrame, meta: DataFrame, shard_path: str, meta_path: str) ->
 def read(spark: SparkSession, shard_path: str, meta_path: str, *, model_id: str, max_rows: int | None = None) -> DataFrame:
     meta = spark.read.parquet(meta_path).where(F.col("model_id") == model_id)
     newest = meta.groupBy("note_id", "model_id").agg(F.max("epoch").alias("epoch"))
-    rows = decode(current_epoch(newest, spark.read.parquet(shard_path).where(F.col("model_id") == model_id)))
+    shards = spark.read.parquet(shard_path).where(F.col("model_id") == model_id)
+    rows = decode(current_epoch(newest, shards).dropDuplicates(["note_id", "model_id", "shard_no", "epoch"]))
     rows = rows.withColumn("title", F.coalesce("meta.title", F.try_element_at("meta.headingPath", F.lit(-1)), F.lit("")))
     return rows if max_rows is None else rows.limit(max_rows)
