@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notelake.functions.embed import DEFAULT, Conditioning, Embedder
+from notelake.operators import lexical as L
 from notelake.operators import search as S
 
 VERSION = 1
@@ -34,7 +35,8 @@ def serialise(grouped: DataFrame) -> DataFrame:
 
 @dataclass
 class NoteIndex:
-    """Blocks (note_id, line, length, embedding, ...) and notes of one model."""
+    """Blocks (note_id, line, length, embedding, ...) and notes (note_id; title and body for keywords) of
+    one model."""
 
     blocks: DataFrame
     notes: DataFrame
@@ -42,29 +44,53 @@ class NoteIndex:
     embedder: Embedder
     conditioning: Conditioning = DEFAULT
     ready: bool = True
+    #: folders (folder_id) whose notes are never shown; then ``notes`` has folder_id, is_conflict, deleted_time
+    excluded_folders: DataFrame | None = None
+    keyword_weight: float = 0.3
 
     def status(self) -> dict:
         n = self.blocks.agg(F.countDistinct("note_id").alias("n"), F.count(F.lit(1)).alias("b")).first()
         return {"ok": True, "version": VERSION, "ready": self.ready, "modelId": self.model_id, "indexStats": {"noteCount": n["n"], "blockCount": n["b"]}}
 
-    def search(self, query: str | None = None, note_id: str | int | None = None, *, limit: int = 10, min_similarity: float = 0.5, min_length: int = 100, method: str = "max") -> DataFrame:
-        """Grouped notes; a note id goes first, the query is the fallback for a note without blocks."""
+    def search(self, query: str | None = None, note_id: str | int | None = None, *, limit: int = 10, min_similarity: float = 0.5, min_length: int = 100, method: str = "max", mean: bool = False) -> DataFrame:
+        """Grouped notes; a note id goes first, the query is the fallback for a note without blocks.
+
+        A note may have any number of blocks; ``mean`` asks with their mean vector instead of all."""
         if not (query or "").strip() and note_id is None:
             raise SearchError("invalid_input", "a query or a note id is needed")
         if not 1 <= limit <= 100 or not 0 <= min_similarity <= 1:
             raise SearchError("invalid_input", "limit or least similarity out of bounds")
         if not self.ready:
             raise SearchError("not_ready", "the index isn't ready")
-        spark = self.blocks.sparkSession
+        found = self._found(query, note_id, mean, min_similarity, min_length)
+        if found is None:
+            return S.group_by_note(self.blocks.limit(0).withColumn("similarity", F.lit(0.0)))
+        found = self._reranked(found, query, note_id, limit)
+        if self.excluded_folders is None:
+            return S.group_by_note(found, method=method, limit=limit)
+        return S.visible(S.group_by_note(found, method=method), self.notes, self.excluded_folders, limit)
+
+    def _found(self, query: str | None, note_id: str | int | None, mean: bool, min_similarity: float, min_length: int) -> DataFrame | None:
+        """Blocks of other notes that are near: to any block of the note, to the mean of its blocks, or
+        to the query."""
         queries = None
         if note_id is not None:
             own = self.blocks.where(F.col("note_id") == note_id)
             if not own.isEmpty():
-                queries = own.select(F.col("line").cast("long").alias("query_id"), F.col("embedding").alias("q"))
+                queries = S.mean_vector(own, ["note_id"]).select(F.col("embedding").alias("q")) if mean else own.select(F.col("embedding").alias("q"))
         if queries is None and (query or "").strip():
             q = self.embedder.embed([self.conditioning.apply(query, "query")], "query")[0]
-            queries = spark.createDataFrame([(0, q)], "query_id long, q array<double>")
+            queries = self.blocks.sparkSession.createDataFrame([([float(x) for x in q],)], "q array<double>")
         if queries is None:
-            return S.group_by_note(self.blocks.limit(0).withColumn("similarity", F.lit(0.0)))
-        scored = S.hits(S.score(self.blocks, queries), min_similarity=min_similarity, min_length=min_length, exclude=F.col("note_id") == note_id if note_id is not None else None)
-        return S.group_by_note(S.maxsim(scored), method=method, limit=limit)
+            return None
+        return S.hits(S.best_scores(self.blocks, queries), min_similarity=min_similarity, min_length=min_length, exclude=F.col("note_id") == note_id if note_id is not None else None)
+
+    def _reranked(self, found: DataFrame, query: str | None, note_id: str | int | None, limit: int) -> DataFrame:
+        """The best blocks with their ``place`` after keyword hits of the query, or of the note's title."""
+        best = S.top_k(found, S.candidate_limit(limit, grouped=False))
+        ranked = S.ranked(best).withColumn("position", F.col("rank") - 1).drop("rank")
+        words = (query or "").strip()
+        if not words and note_id is not None and "title" in self.notes.columns:
+            words = next((r["title"] or "" for r in self.notes.where(F.col("note_id") == note_id).select("title").limit(1).collect()), "").strip()
+        terms = [L.bm25(self.notes, words)] if words and "body" in self.notes.columns else []
+        return L.rerank(ranked, terms, max_hits=limit, weight=self.keyword_weight)

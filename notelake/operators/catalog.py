@@ -55,6 +55,18 @@ def drop_model(models: Column, model_id: str) -> Column:
     return F.map_filter(models, lambda k, _: k != model_id)
 
 
+def delete_model(meta: DataFrame, model_id: str) -> DataFrame:
+    """Metadata (note_id, models) without a model; notes without any other lose their row."""
+    return meta.withColumn("models", drop_model(F.col("models"), model_id)).where(F.size("models") > 0)
+
+
+def deletion_summary(meta: DataFrame, model_id: str) -> DataFrame:
+    """One row: notes that keep other models, that lose their metadata, and that lack the model."""
+    has, n = F.coalesce(F.map_contains_key("models", model_id), F.lit(False)), F.size("models")
+    count = lambda c: F.count(F.when(c, 1))
+    return meta.agg(count(has & (n > 1)).alias("updated"), count(has & (n == 1)).alias("removed"), count(~has).alias("skipped"))
+
+
 def inventory(models: DataFrame, active: str | None) -> DataFrame:
     """Estimated bytes of each model (model_id, dim, rows, notes), by id."""
     size = shard_bytes(F.col("dim"), F.col("rows"))

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from notelake.functions.text import CJK, MARKS, SENTENCE
 
@@ -136,6 +137,17 @@ def pack_sentences(segments: Column, most: int, cost: Column | None = None) -> C
     return F.aggregate(segments, start, step, lambda s: F.when(s["held"] == "", s["out"]).otherwise(F.array_append(s["out"], s["held"])))
 
 
+def split_rows(df: DataFrame, parts: str, most: int, *, prefer: str = "first", separator: str = " ") -> DataFrame:
+    """``split_by_tokens`` of an array column: adds ``rows``, an array of arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [split_by_tokens([x or "" for x in p or []], most, prefer=prefer, separator=separator) for p in b.column(b.schema.get_field_index(parts)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.list_(pa.list_(pa.string())))], names=[*b.schema.names, "rows"])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("rows", ArrayType(ArrayType(StringType())))]))
+
+
 def split_by_tokens(parts: list[str], most: int, *, prefer: str = "first", separator: str = " ") -> list[list[str]]:
     """Parts over the budget are halved until they fit; all are packed into rows in order.
 

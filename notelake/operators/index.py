@@ -89,6 +89,12 @@ def delete_notes(blocks: DataFrame, ids: DataFrame) -> DataFrame:
     return blocks.join(ids.select("note_id").distinct(), "note_id", "left_anti")
 
 
+def drop_excluded(blocks: DataFrame, status: DataFrame) -> DataFrame:
+    """The clean-up after a sweep: blocks of excluded and orphaned notes go; those of excluded
+    folders are kept (``excluded_kept``), so that a folder can come back."""
+    return delete_notes(blocks, status.where(F.col("status").isin("excluded", "orphan")))
+
+
 def drop_other_versions(shards: DataFrame, keep: DataFrame) -> DataFrame:
     """Shards of the kept (note_id, model_id, hash); other models or hashes of these notes go."""
     touched = keep.select("note_id").distinct()
@@ -122,6 +128,11 @@ def mismatch_summary(found: DataFrame) -> DataFrame:
     return found.groupBy("type").agg(F.count(F.lit(1)).alias("notes"), F.array_join(F.sort_array(F.collect_set("detail")), "; ").alias("details"))
 
 
+def update_totals(blocks: DataFrame) -> DataFrame:
+    """One row: notes, rows and the dimension (0 without rows; the greatest if they differ)."""
+    return blocks.agg(F.countDistinct("note_id").alias("notes"), F.count(F.lit(1)).alias("rows"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).cast("long").alias("dim"))
+
+
 def update_summary(status: DataFrame) -> DataFrame:
     n = lambda *s: F.count(F.when(F.col("status").isin(*s), 1))
     return status.agg(n("rebuild", "backfill").alias("success"), n("unchanged").alias("unchanged"), n("excluded", "excluded_kept", "settings_mismatch").alias("skipped"), n("failed").alias("failed"))

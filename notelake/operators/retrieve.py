@@ -28,16 +28,27 @@ class Retrieval:
     scope: tuple = field(default=())
 
 
-def retrieve(blocks: DataFrame, queries: DataFrame, *, hits: list[DataFrame] = (), options: Retrieval = Retrieval()) -> DataFrame:
+def scoped_pool(blocks: DataFrame, named: list | None = None, found: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """Blocks of the notes that a chat names and of those its search found (note_id), and whether
+    that restricts the pool; where neither gives a block, all blocks."""
+    if not named and found is None:
+        return blocks, False
+    pool = blocks.where(F.col("note_id").isin(list(named))) if named else blocks.limit(0)
+    if found is not None:
+        more = blocks.join(found.select("note_id").distinct(), "note_id", "left_semi")
+        pool = pool.unionByName(more.where(~F.col("note_id").isin(list(named))) if named else more)
+    return (blocks, False) if pool.isEmpty() else (pool, True)
+
+
+def retrieve(blocks: DataFrame, queries: DataFrame, *, hits: list[DataFrame] = (), searched: DataFrame | None = None, options: Retrieval = Retrieval()) -> DataFrame:
     """Blocks for a prompt: (…block columns, similarity, rank).
 
     ``queries`` (query_id, q) are the vectors of all sub-queries, ``hits`` one ranked list of
-    notes for each keyword. A scope of note ids restricts the pool and lifts the least
-    similarity. Neighbours take the place of their best hit.
+    notes for each keyword. A scope of note ids, or of notes that a search found (``searched``),
+    restricts the pool and lifts the least similarity. Neighbours take the place of their best hit.
     """
-    pool, least = blocks, options.min_similarity
-    if options.scope:
-        pool, least = pool.where(F.col("note_id").isin(list(options.scope))), 0.0
+    pool, scoped = scoped_pool(blocks, list(options.scope), searched)
+    least = 0.0 if scoped else options.min_similarity
     scored = S.hits(S.score(pool, queries), min_similarity=least, min_length=options.min_length)
     best = S.top_k(S.maxsim(scored, per_query_limit=options.per_query_limit), S.candidate_limit(options.max_hits))
     ranked = S.ranked(best).withColumn("position", F.col("rank") - 1).drop("rank")

@@ -12,10 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from notelake.functions import vector as V
+from notelake.operators.index import exclusion_reason
 
 #: Query vectors that are held on the executors at once.
 QUERY_BLOCK = 4096
@@ -24,7 +28,7 @@ QUERY_BLOCK = 4096
 def score(blocks: DataFrame, queries: DataFrame, *, quantized: bool = False) -> DataFrame:
     """Adds ``query_id`` and ``similarity`` for each block and query vector (query_id, q).
 
-    ``queries`` is a stated, small set; beyond ``QUERY_BLOCK`` rows use ``matmul_top_k``.
+    ``queries`` is a stated, small set; for many use ``matmul_top_k`` or ``best_scores``.
     """
     n = queries.limit(QUERY_BLOCK + 1).count()
     if n > QUERY_BLOCK:
@@ -33,6 +37,44 @@ def score(blocks: DataFrame, queries: DataFrame, *, quantized: bool = False) ->
     return blocks.crossJoin(F.broadcast(queries.select("query_id", "q"))).withColumn("similarity", measure("embedding", "q")).drop("q")
 
 
+def _by_size(rows: list) -> dict[int, np.ndarray]:
+    """Unit query vectors by their size; zero vectors stay zero."""
+    by: dict[int, list] = {}
+    for r in rows:
+        by.setdefault(len(r["q"]), []).append(r["q"])
+    made = {n: np.array(q, np.float64) for n, q in by.items() if n}
+    return {n: q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) for n, q in made.items()}
+
+
+def best_scores(blocks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Adds ``similarity``: the best cosine of each block over any number of query vectors (q).
+
+    Arrow batches are multiplied by ``QUERY_BLOCK`` queries at a time, one after the other in one
+    pass over the blocks; no pair leaves a task. A vector of another size than a query's scores 0."""
+    schema = StructType([*blocks.schema.fields, StructField("similarity", DoubleType())])
+    at, out, rows = blocks.columns.index("embedding"), None, queries.select("q").where("q is not null").toLocalIterator()
+    while part := [r for r, _ in zip(rows, range(QUERY_BLOCK), strict=False)]:
+        shared = blocks.sparkSession.sparkContext.broadcast(_by_size(part))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=out is None) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                size = np.asarray(b.column(at).value_lengths().fill_null(0))
+                best = np.full(len(b), -np.inf) if first else b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).copy()
+                for n, q in shared.value.items():
+                    ok = np.flatnonzero(size == n)
+                    s = np.zeros(len(b))
+                    if len(ok):
+                        x = b.column(at).take(pa.array(ok)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(ok), -1)
+                        norm = np.linalg.norm(x, axis=1)
+                        s[ok] = np.divide((x @ q.T).max(axis=1), norm, out=np.zeros(len(ok)), where=norm > 0)
+                    best = np.maximum(best, s)
+                columns = b.columns if first else b.columns[:-1]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(best)], names=schema.names)
+
+        out = (blocks if out is None else out).mapInArrow(run, schema)
+    return blocks.withColumn("similarity", F.lit(None).cast("double")) if out is None else out
+
+
 def hits(scored: DataFrame, *, min_similarity: float, min_length: int = 0, exclude: Column | None = None) -> DataFrame:
     """Finite scores that are high enough, of blocks that are long enough, of other notes."""
     kept = scored.where(V.finite(F.col("similarity")) & (F.col("similarity") >= min_similarity))
@@ -66,19 +108,41 @@ def maxsim(scored: DataFrame, *, floor: bool = False, per_query_limit: int | Non
 
 
 def group_by_note(found: DataFrame, *, method: str = "max", limit: int | None = None) -> DataFrame:
-    """(note_id, similarity, blocks): blocks by similarity; any method but ``avg`` means max."""
+    """(note_id, similarity, blocks): blocks by similarity; any method but ``avg`` means max.
+
+    Of equal notes the one with the first ``place`` (of a reranking) comes first, if there is one."""
     measure = F.avg("similarity") if method == "avg" else F.max("similarity")
     blocks = F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("o"), "line", "similarity")))
-    out = found.groupBy("note_id").agg(measure.alias("similarity"), F.transform(blocks, lambda b: F.struct(b["line"].alias("line"), b["similarity"].alias("similarity"))).alias("blocks"))
-    return out if limit is None else out.orderBy(F.desc("similarity"), "note_id").limit(limit)
+    place = F.min("place") if "place" in found.columns else F.lit(0)
+    out = found.groupBy("note_id").agg(measure.alias("similarity"), place.alias("_place"), F.transform(blocks, lambda b: F.struct(b["line"].alias("line"), b["similarity"].alias("similarity"))).alias("blocks"))
+    return (out if limit is None else out.orderBy(F.desc("similarity"), "_place", "note_id").limit(limit)).drop("_place")
+
+
+def visible(grouped: DataFrame, notes: DataFrame, excluded_folders: DataFrame, limit: int, *, extra: int = 5) -> DataFrame:
+    """The first ``limit`` grouped notes that aren't conflicts, deleted or in an excluded folder.
 
+    Notes are looked up after the ranking, a few more than asked for; unknown notes stay."""
+    top = grouped.orderBy(F.desc("similarity"), "note_id").limit(limit + extra)
+    known = notes.join(F.broadcast(top.select("note_id")), "note_id", "left_semi")  # limit + extra ids
+    none = known.select("note_id").limit(0)
+    reasons = exclusion_reason(known, none, excluded_folders, check_deleted=True, check_tags=False).where("reason is not null").select("note_id")
+    return top.join(reasons, "note_id", "left_anti").orderBy(F.desc("similarity"), "note_id").limit(limit)
+
+
+def tag_examples(found: DataFrame, notes: DataFrame, tags: DataFrame) -> DataFrame:
+    """(note_id, similarity, tags, example) of found notes that have tags: examples for a prompt."""
+    held = tags.groupBy("note_id").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
+    rows = held.join(F.broadcast(found.select("note_id", "similarity")), "note_id").join(notes.select("note_id", "title"), "note_id", "left")  # a few found notes
+    text = F.concat(F.lit('The note "'), F.coalesce("title", F.lit("Unknown")), F.lit('" has the keywords: '), F.array_join("tags", ", "), F.lit("."))
+    return rows.select("note_id", "similarity", "tags", text.alias("example"))
 
 def mean_vector(blocks: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:
-    """(keys, embedding): weighted mean of the vectors of each key, element by element."""
+    """(keys, embedding): weighted mean of the vectors (of one size) of each key.
+
+    Vectors are summed in each task before the shuffle; missing ones don't count."""
     w = F.lit(1.0) if weight is None else weight.cast("double")
-    parts = blocks.select(*keys, w.alias("w"), F.posexplode(V.as_doubles("embedding")).alias("i", "x"))
-    sums = parts.groupBy(*keys, "i").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("x"))
-    return sums.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
+    parts = blocks.where("embedding is not null").select(*keys, w.alias("w"), array_to_vector(V.as_doubles("embedding")).alias("v"))
+    return parts.groupBy(*keys).agg(vector_to_array(Summarizer.mean(F.col("v"), F.col("w"))).alias("embedding"))
 
 
 def linked_mean(blocks: DataFrame, links: DataFrame) -> DataFrame:
@@ -111,7 +175,11 @@ def matmul_top_k(blocks: DataFrame, queries: DataFrame, k: int, min_similarity:
                     n = np.linalg.norm(x, axis=1)
                     s[ok] = np.divide(x @ q.T, n[:, None], out=np.zeros((len(ok), len(q))), where=n[:, None] > 0)
                 note, line = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-                row, col = np.nonzero(np.isfinite(s) & (s >= min_similarity))
+                s[~np.isfinite(s)] = -np.inf
+                floor = np.full(s.shape[1], min_similarity)
+                if len(s) > k:  # no more than the best k (and what equals the last of them) can count
+                    floor = np.maximum(floor, np.partition(s, len(s) - k, axis=0)[len(s) - k])
+                row, col = np.nonzero(np.isfinite(s) & (s >= floor))
                 held.append(np.rec.fromarrays([col, -s[row, col], note[row], line[row]], names="q,s,note,line"))
                 if sum(map(len, held)) > 1 << 20:
                     held = [best(held)]

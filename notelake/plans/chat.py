@@ -56,3 +56,13 @@ def parse_commands(spark: SparkSession, d: str) -> DataFrame:
     t = F.concat(F.lit("Search: one\n"), head, F.lit("\nsearch:  two "), F.col("turn").cast("string"), F.lit("\nNotes: "), F.md5("text"), F.lit(", x"), F.when(F.col("turn") % 2 == 0, "\nNot context: zzz").otherwise(""))
     found = c.select("conv_id", "turn", R.parse_commands(t).alias("p"), R.without_commands(t).alias("rest"))
     return found.select("conv_id", "turn", "p.search", R.command_notes(F.col("p.notes"))[0].alias("note"), "p.context", "p.not_context", F.trim("rest").alias("rest"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'mine ' || turn ELSE 'given' END AS search, md5(text) AS notes, CAST(NULL AS VARCHAR) AS context FROM conversations")
+def effective_commands(spark: SparkSession, d: str) -> DataFrame:
+    """Fenced defaults of a note, overridden by the last user turn."""
+    c = table(spark, d, "conversations")
+    body = F.concat(F.lit("# Note\nContext: outside\n```settings\nSearch: old\nSearch: given\nNotes: "), F.md5("text"), F.lit("\n```\nend"))
+    turn = F.concat(F.lit("Please.\n"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("search: mine "), F.col("turn").cast("string"))).otherwise(""))
+    found = c.select("conv_id", "turn", R.effective_commands(body, turn).alias("p"))
+    return found.select("conv_id", "turn", "p.search", "p.notes", "p.context")

@@ -236,3 +236,26 @@ def folder_closure(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_FOLDERS} SELECT folder_id FROM f WHERE folder_id IN ('r1', 'x') OR parent_id = 'r1' OR parent_id IN (SELECT folder_id FROM f WHERE parent_id = 'r1') UNION SELECT 'x'")
 def folder_exclude(spark: SparkSession, d: str) -> DataFrame:
     return I.set_folders(spark.createDataFrame([("x",), ("r1",)], "folder_id string"), folders(spark, d), "r1", exclude=True)
+
+
+def _models(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    keys = F.filter(F.array(F.when(i % 2 == 0, "m"), F.when(i % 3 == 0, "n")), lambda x: x.isNotNull())
+    return table(spark, d, "documents").select(i.alias("note_id"), F.map_from_arrays(keys, F.transform(keys, lambda k: F.length(k))).alias("models"))
+
+
+@query("SELECT count(*) FILTER (doc_id % 6 = 0) AS updated, count(*) FILTER (doc_id % 2 = 0 AND doc_id % 3 <> 0) AS removed, count(*) FILTER (doc_id % 2 <> 0) AS skipped FROM documents")
+def deletion_summary(spark: SparkSession, d: str) -> DataFrame:
+    return G.deletion_summary(_models(spark, d), "m")
+
+
+@query("SELECT doc_id AS note_id, 'n' AS models FROM documents WHERE doc_id % 3 = 0")
+def delete_model(spark: SparkSession, d: str) -> DataFrame:
+    return G.delete_model(_models(spark, d), "m").select("note_id", F.array_join(F.map_keys("models"), ",").alias("models"))
+
+
+@query("SELECT vec_id % 300 AS note_id, vec_id AS line FROM embeddings WHERE vec_id % 300 NOT IN (SELECT doc_id FROM documents WHERE doc_id % 5 IN (1, 2))")
+def excluded_cleanup(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    status = table(spark, d, "documents").select(i.alias("note_id"), F.when(i % 5 == 1, "excluded").when(i % 5 == 2, "orphan").when(i % 5 == 3, "excluded_kept").otherwise("unchanged").alias("status"))
+    return I.drop_excluded(_blocks(spark, d), status)

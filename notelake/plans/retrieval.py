@@ -127,3 +127,11 @@ def api_search_json(spark: SparkSession, d: str) -> DataFrame:
     made = api.serialise(S.group_by_note(found, limit=10))
     j = lambda p: F.get_json_object("json", p)
     return made.select("note_id", j("$.id").alias("id"), j("$.similarity").alias("similarity"), F.size(F.from_json(j("$.blocks"), "array<string>")).cast("long").alias("blocks"), j("$.blocks[0].line").alias("first_line"))
+
+
+@query(f"WITH {_POOL}, {_HITS}, {_CHUNKS}, {_RRF.format(n=10)}, top AS (SELECT *, row_number() OVER (ORDER BY score DESC, note_id, line) AS lead FROM fused QUALIFY lead <= 10), o AS (SELECT p.*, row_number() OVER (ORDER BY lead NULLS LAST, position) - 1 AS place FROM pool p LEFT JOIN top USING (note_id, line)) SELECT note_id, round(max(sim), 6) AS similarity, min(place) AS place FROM o GROUP BY note_id ORDER BY max(sim) DESC, min(place), note_id LIMIT 5")
+def search_by_query(spark: SparkSession, d: str) -> DataFrame:
+    """Flat search, keyword rerank, notes: (note_id, similarity, place of its first block)."""
+    found = L.rerank(_pool(spark, d), [_hits(spark)], max_hits=10)
+    first = found.groupBy("note_id").agg(F.min("place").cast("long").alias("place"))
+    return S.group_by_note(found, limit=5).join(first, "note_id").select("note_id", F.round("similarity", 6).alias("similarity"), "place")

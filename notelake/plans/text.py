@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from notelake.functions import text as T
 from notelake.operators import chunk as C
+from notelake.operators import papers as P
 from notelake.plans.base import query
 from notelake.sources import html, notes
 from notelake.storage import table
@@ -179,3 +180,33 @@ def paged_scan(spark: SparkSession, d: str) -> DataFrame:
 def point_lookup(spark: SparkSession, d: str) -> DataFrame:
     ids = table(spark, d, "benchmark").select(F.col("item_id").alias("note_id"))
     return notes.by_ids(docs(spark, d), ids.union(ids)).select("note_id", "source")
+
+
+@query("SELECT doc_id AS note_id, CASE WHEN strpos(text, 'the') = 0 THEN text ELSE left(text, length(text) - strpos(reverse(text), 'eht') - 2) || 'THE' || right(text, strpos(reverse(text), 'eht') - 1) END AS body FROM documents")
+def replace_last(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).select("note_id", T.replace_last("body", "the", "THE").alias("body"))
+
+
+@query("SELECT doc_id AS note_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) || ' <b>&#39;A&amp;lt; end' AS body FROM documents WHERE NOT regexp_matches(text, '[<>&]')")
+def clean_inline(spark: SparkSession, d: str) -> DataFrame:
+    marked = F.concat("body", F.lit(" <i>&lt;b&gt;&#38;#39;&#x41;&amp;amp;lt;</i> end"))
+    return docs(spark, d).where(~F.col("body").rlike("[<>&]")).select("note_id", T.clean_inline(marked).alias("body"))
+
+
+@query(
+    "SELECT doc_id AS note_id, length(text) AS chars, CAST(sum(t) OVER (ORDER BY doc_id) AS BIGINT) AS running FROM (SELECT *, "
+    + _TOKENS.format(t="text")
+    + " AS t FROM documents WHERE text <> '') QUALIFY running <= 88000"
+)
+def excerpt_budget(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("place"), F.col("text").alias("excerpt"))
+    kept = P.within_excerpts(pages, 100_000, 2_000)
+    return kept.select(F.col("doc_id").alias("note_id"), F.length("excerpt").cast("long").alias("chars"), F.col("running").cast("long").alias("running"))
+
+
+@query("SELECT doc_id AS note_id, len(string_split(text, ' ')) AS words FROM documents WHERE text IS NOT NULL")
+def split_by_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Texts cut to rows of at most 64 tokens and joined again: no word is lost."""
+    cut = C.split_rows(docs(spark, d).where("body is not null").select("note_id", F.array("body").alias("parts")), "parts", 64)
+    joined = F.array_join(F.flatten("rows"), " ")
+    return cut.select("note_id", F.size(F.split(joined, " ")).cast("long").alias("words"))

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notelake import api
 from notelake.functions import vector as V
+from notelake.functions.embed import HashingEmbedder
 from notelake.operators import catalog
 from notelake.operators import search as S
+from notelake.operators.index import update_totals as update_totals_of
+from notelake.operators.retrieve import scoped_pool
 from notelake.plans.base import query
 from notelake.storage import table
 
@@ -114,8 +118,8 @@ _MAXSIM = f"WITH {_B}, {_SCORED.format(n=5)}"
 
 @query(f"{_MAXSIM} SELECT note_id, line, round(greatest(0, max(sim)), 6) AS similarity FROM s WHERE length >= 100 GROUP BY note_id, line")
 def maxsim_pool(spark: SparkSession, d: str) -> DataFrame:
-    scored = S.score(blocks(spark, d).where("length >= 100"), query_vectors(spark, d, 5))
-    return S.maxsim(scored, floor=True).select("note_id", "line", F.round("similarity", 6).alias("similarity"))
+    scored = S.best_scores(blocks(spark, d).where("length >= 100"), query_vectors(spark, d, 5))
+    return scored.select("note_id", "line", F.round(F.greatest(F.lit(0.0), "similarity"), 6).alias("similarity"))
 
 
 @query(f"{_MAXSIM}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, note_id, line) AS k FROM s WHERE sim >= 0.05) SELECT note_id, line, round(max(sim), 6) AS similarity FROM r WHERE k <= 40 GROUP BY note_id, line")
@@ -204,3 +208,49 @@ def shard_round_trip(spark: SparkSession, d: str) -> DataFrame:
     rows = shards.read(spark, f"{at}/emb", f"{at}/meta", model_id="hash-64")
     total = F.aggregate("q8", F.lit(0).cast("long"), lambda s, x: s + x)
     return rows.select("note_id", F.col("row").cast("long").alias("row_no"), total.alias("q_sum"), F.col("meta.lineNumber").cast("long").alias("line_number"), F.round(F.col("scale").cast("double"), 9).alias("scale"))
+
+
+@query(
+    f"""WITH {_B}, s AS (SELECT b.note_id, b.line, b.length, max({_COS.format(a='b.v', b='q.v')}) AS sim FROM b, b q WHERE q.note_id = 3 AND b.note_id <> 3 GROUP BY ALL)
+SELECT note_id, round(max(sim), 6) AS similarity, count(*) AS blocks FROM s WHERE sim >= 0.1 AND length >= 100 GROUP BY note_id ORDER BY max(sim) DESC, note_id LIMIT 5"""
+)
+def search_by_note(spark: SparkSession, d: str) -> DataFrame:
+    """All blocks of a note as queries, by way of the API."""
+    b = blocks(spark, d)
+    index = api.NoteIndex(b, b.select("note_id").distinct(), "m", HashingEmbedder(64))
+    return index.search(note_id=3, limit=5, min_similarity=0.1).select("note_id", F.round("similarity", 6).alias("similarity"), F.size("blocks").cast("long").alias("blocks"))
+
+
+_FOUND = f"WITH {_B}, {_SCORED.format(n=1)}, g AS (SELECT note_id, max(sim) AS sim FROM s WHERE sim >= 0 GROUP BY note_id)"
+
+
+def _notes(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("note_id")
+    n = blocks(spark, d).select("note_id").distinct()
+    return n.select(i, F.concat(F.lit("note "), i.cast("string")).alias("title"), (i % 5).cast("string").alias("folder_id"), (i == 7).alias("is_conflict"), F.when(i == 2, 5).otherwise(0).alias("deleted_time"))
+
+
+@query(f"{_FOUND}, t AS (SELECT * FROM g ORDER BY sim DESC, note_id LIMIT 9) SELECT note_id, round(sim, 6) AS similarity FROM t WHERE note_id NOT IN (2, 7) AND note_id % 5 <> 1 ORDER BY sim DESC, note_id LIMIT 4")
+def post_hit_exclusion(spark: SparkSession, d: str) -> DataFrame:
+    found = S.group_by_note(S.hits(S.score(blocks(spark, d), query_vectors(spark, d, 1)), min_similarity=0.0))
+    shown = S.visible(found, _notes(spark, d), spark.createDataFrame([("1",), (" ",)], "folder_id string"), 4)
+    return shown.select("note_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"""{_FOUND}, t AS (SELECT * FROM g ORDER BY sim DESC, note_id LIMIT 4), k AS (SELECT doc_id % 10 AS note_id, string_agg(DISTINCT source, ', ' ORDER BY source) AS tags FROM documents WHERE source IS NOT NULL AND doc_id % 10 <> 1 GROUP BY 1)
+SELECT note_id, 'The note "note ' || note_id || '" has the keywords: ' || tags || '.' AS example FROM t JOIN k USING (note_id)""")
+def tag_examples(spark: SparkSession, d: str) -> DataFrame:
+    found = S.group_by_note(S.hits(S.score(blocks(spark, d), query_vectors(spark, d, 1)), min_similarity=0.0), limit=4)
+    tags = table(spark, d, "documents").where("source is not null and doc_id % 10 <> 1").select((F.col("doc_id") % 10).alias("note_id"), F.col("source").alias("tag"))
+    return S.tag_examples(found, _notes(spark, d), tags).select("note_id", "example")
+
+
+@query(f"WITH {_B} SELECT note_id, line FROM b WHERE note_id IN (1, 4) OR note_id IN (SELECT item_id FROM benchmark WHERE item_id % 2 = 1)")
+def chat_scope(spark: SparkSession, d: str) -> DataFrame:
+    found = table(spark, d, "benchmark").where("item_id % 2 = 1").select(F.col("item_id").alias("note_id"))
+    return scoped_pool(blocks(spark, d), [1, 4], found)[0].select("note_id", "line")
+
+
+@query(f"WITH {_B} SELECT count(DISTINCT note_id) AS notes, count(*) AS rows, CAST(max(len(v)) AS BIGINT) AS dim FROM b")
+def update_totals(spark: SparkSession, d: str) -> DataFrame:
+    return update_totals_of(blocks(spark, d))
