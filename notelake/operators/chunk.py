@@ -122,19 +122,28 @@ def chunk_notes(notes: DataFrame, options: Options = Options()) -> DataFrame:
 
 
 def pack_sentences(segments: Column, most: int, cost: Column | None = None) -> Column:
-    """The greedy packing as a JVM fold over an array of sentences; segments led by ``#`` are skipped."""
+    """The greedy packing in the JVM; segments led by ``#`` are skipped.
+
+    Each segment is measured and cut once; a fold over the sizes alone says where chunks begin, and
+    the chunks are slices of the array: no text is copied in the fold."""
     from notelake.functions.text import token_estimate, truncate_tokens
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("held"), F.lit(0).alias("size"))
+    kept = F.filter(segments, lambda x: ~x.startswith("#"))
+    sized = F.transform(kept, lambda x: F.struct(x.alias("t"), token_estimate(x).alias("n")))
+
+    def step(s: Column, n: Column) -> Column:
+        fits = (s["size"] + n <= most) & (s["at"] > 0)
+        starts = F.when(fits, s["starts"]).otherwise(F.array_append(s["starts"], s["at"]))
+        return F.struct((s["at"] + 1).alias("at"), F.when(fits, s["size"] + n).otherwise(F.least(n, F.lit(most))).alias("size"), starts.alias("starts"))
 
-    def step(s: Column, x: Column) -> Column:
-        n = token_estimate(x)
-        fits = (s["held"] != "") & (s["size"] + n <= most)
-        new = F.when(n <= most, x).otherwise(truncate_tokens(x, most))
-        out = F.when(fits | (s["held"] == ""), s["out"]).otherwise(F.array_append(s["out"], s["held"]))
-        return F.when(x.startswith("#"), s).otherwise(F.struct(out.alias("out"), F.when(fits, F.concat(s["held"], x)).otherwise(new).alias("held"), F.when(fits, s["size"] + n).otherwise(F.least(n, F.lit(most))).alias("size")))
+    def pack(p: Column) -> Column:
+        cut = F.transform(p, lambda x: F.when(x["n"] <= most, x["t"]).otherwise(truncate_tokens(x["t"], most)))
+        begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(F.transform(p, lambda x: x["n"]), begin, step, lambda s: s["starts"])
+        made = F.transform(F.array(F.struct(cut.alias("cut"), starts.alias("starts"))), lambda s: F.transform(s["starts"], lambda a, i: F.array_join(F.slice(s["cut"], a + 1, F.coalesce(F.get(s["starts"], i + 1), F.size(s["cut"])) - a), "")))
+        return made[0]
 
-    return F.aggregate(segments, start, step, lambda s: F.when(s["held"] == "", s["out"]).otherwise(F.array_append(s["out"], s["held"])))
+    return F.transform(F.array(sized), pack)[0]
 
 
 def split_rows(df: DataFrame, parts: str, most: int, *, prefer: str = "first", separator: str = " ") -> DataFrame:

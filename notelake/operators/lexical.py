@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notelake.storage import Scratch, materialize
+
 TOKEN = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
 
@@ -19,8 +21,9 @@ def bm25(notes: DataFrame, query: str, limit: int = 1000) -> DataFrame:
     """(note_id, score, rank) of notes (note_id, body) for a query.
 
     All words must occur, or one of them after the prefix ``any:1``. The formula is this
-    library's own: idf = ln(1 + (N - df + 0.5) / (df + 0.5)), k1 = 1.2, b = 0.75. Only the
-    query's words leave the scan, and only the best ``limit`` notes are ranked.
+    library's own: idf = ln(1 + (N - df + 0.5) / (df + 0.5)), k1 = 1.2, b = 0.75. Texts are read
+    once: the counts of the query's words go to a table (a few numbers a note), which the facts and
+    the scores are read from; only the best ``limit`` notes are ranked. It runs when it is called.
     """
     either = query.startswith("any:1 ")
     words = sorted(set(re.findall(r"\w+", query.removeprefix("any:1 ").lower())))
@@ -30,6 +33,16 @@ def bm25(notes: DataFrame, query: str, limit: int = 1000) -> DataFrame:
         return F.size(F.filter("w", lambda x: x == F.lit(t)))
 
     counted = counted.select("note_id", F.size("w").alias("len"), *[occurrences(t).alias(f"tf{i}") for i, t in enumerate(words)])
+    if not words:
+        return notes.select("note_id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
+    with Scratch(notes.sparkSession) as scratch:
+        found = _best(scratch.write(counted, "bm25-counts"), words, either, limit)
+        found = materialize(found, "bm25")
+    return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "note_id")))
+
+
+def _best(counted: DataFrame, words: list[str], either: bool, limit: int) -> DataFrame:
+    """(note_id, score) of the best notes from counts (note_id, len, tf0, tf1, ...)."""
     facts = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean_len"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(words))])
     joined = counted.crossJoin(F.broadcast(facts))  # one row of facts
     parts = []
@@ -38,13 +51,10 @@ def bm25(notes: DataFrame, query: str, limit: int = 1000) -> DataFrame:
         idf = F.log(F.lit(1.0) + (F.col("n") - df + 0.5) / (df + 0.5))
         parts.append(idf * tf * (K1 + 1) / (tf + K1 * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.col("mean_len"))))
     present = [F.col(f"tf{i}") > 0 for i in range(len(words))]
-    if not words:
-        return notes.select("note_id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
     test, score = present[0], parts[0]
     for p, s in zip(present[1:], parts[1:], strict=True):
         test, score = (test | p) if either else (test & p), score + s
-    found = joined.where(test).select("note_id", score.alias("score")).orderBy(F.desc("score"), "note_id").limit(limit)
-    return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "note_id")))
+    return joined.where(test).select("note_id", score.alias("score")).orderBy(F.desc("score"), "note_id").limit(limit)
 
 
 def keyword_chunks(pool: DataFrame, hit_notes: DataFrame) -> DataFrame:
