@@ -9,14 +9,16 @@ All orders are total: score descending, then note id, then line.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
 from notelake.functions import vector as V
 from notelake.operators.index import exclusion_reason
@@ -37,6 +39,18 @@ def score(blocks: DataFrame, queries: DataFrame, *, quantized: bool = False) ->
     return blocks.crossJoin(F.broadcast(queries.select("query_id", "q"))).withColumn("similarity", measure("embedding", "q")).drop("q")
 
 
+def _parts(queries: DataFrame) -> Iterator[list]:
+    """Query rows, at most ``QUERY_BLOCK`` at a time; a single job where that is all."""
+    first = queries.limit(QUERY_BLOCK + 1).collect()
+    if len(first) <= QUERY_BLOCK:
+        if first:
+            yield first
+        return
+    rows = queries.toLocalIterator()
+    while part := list(islice(rows, QUERY_BLOCK)):
+        yield part
+
+
 def _by_size(rows: list) -> dict[int, np.ndarray]:
     """Unit query vectors by their size; zero vectors stay zero."""
     by: dict[int, list] = {}
@@ -52,8 +66,8 @@ def best_scores(blocks: DataFrame, queries: DataFrame) -> DataFrame:
     Arrow batches are multiplied by ``QUERY_BLOCK`` queries at a time, one after the other in one
     pass over the blocks; no pair leaves a task. A vector of another size than a query's scores 0."""
     schema = StructType([*blocks.schema.fields, StructField("similarity", DoubleType())])
-    at, out, rows = blocks.columns.index("embedding"), None, queries.select("q").where("q is not null").toLocalIterator()
-    while part := [r for r, _ in zip(rows, range(QUERY_BLOCK), strict=False)]:
+    at, out = blocks.columns.index("embedding"), None
+    for part in _parts(queries.select("q").where("q is not null")):
         shared = blocks.sparkSession.sparkContext.broadcast(_by_size(part))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, first=out is None) -> Iterator[pa.RecordBatch]:
@@ -150,16 +164,65 @@ def linked_mean(blocks: DataFrame, links: DataFrame) -> DataFrame:
     return mean_vector(links.select("query_id", "note_id").distinct().join(blocks, "note_id"), ["query_id"]).withColumnRenamed("embedding", "other")
 
 
+def _quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows as int8 and their scales, by the rules of ``q8_values`` and ``q8_scale``."""
+    finite = np.isfinite(x)
+    most = np.abs(x).max(axis=1, initial=0.0)
+    scale = np.where(finite.all(axis=1) & (most > 0), most / 127.0, 1.0)
+    with np.errstate(invalid="ignore", over="ignore"):
+        q = np.clip(np.floor(x * (1.0 / scale)[:, None] + 0.5), -127, 127)
+    return np.where(finite, q, 0).astype(np.int8), scale
+
+
+def quantised(blocks: DataFrame) -> DataFrame:
+    """Blocks with ``q8`` (a byte an element) and ``scale`` in the place of ``embedding``: the form to
+    keep for many searches. Missing vectors are empty."""
+    at = blocks.columns.index("embedding")
+    kept = [f for f in blocks.schema.fields if f.name != "embedding"]
+    schema = StructType([*kept, StructField("q8", BinaryType()), StructField("scale", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = np.asarray(b.column(at).value_lengths().fill_null(0))
+            out, scale = [b""] * len(b), np.ones(len(b))
+            for n in np.unique(size[size > 0]).tolist():
+                rows = np.flatnonzero(size == n)
+                x = b.column(at).take(pa.array(rows)).flatten().cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False).reshape(-1, n)
+                q, scale[rows] = _quantise(x)
+                for i, r in enumerate(rows.tolist()):
+                    out[r] = q[i].tobytes()
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns) if i != at), pa.array(out, pa.binary()), pa.array(scale)], names=schema.names)
+
+    return blocks.mapInArrow(run, schema)
+
+
+def _vectors(column: pa.Array, rows: np.ndarray, n: int) -> np.ndarray:
+    """The chosen rows of a column of vectors, or of their bytes, as a matrix."""
+    taken = column.take(pa.array(rows))
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return np.frombuffer(b"".join(taken.to_pylist()), np.int8).astype(np.float64).reshape(-1, n)
+    return taken.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, n)
+
+
+def _sizes(column: pa.Array) -> np.ndarray:
+    lengths = column.value_lengths() if pa.types.is_list(column.type) or pa.types.is_large_list(column.type) else pc.binary_length(column)
+    return np.asarray(lengths.fill_null(0))
+
+
 def matmul_top_k(blocks: DataFrame, queries: DataFrame, k: int, min_similarity: float = -1.0) -> DataFrame:
     """(query_id, note_id, line, similarity): the best k blocks of each query by cosine.
 
     Queries are taken in blocks of ``QUERY_BLOCK``; every pass scans the corpus once. Vectors of
-    another size than the queries' score 0.
+    another size than the queries' score 0. Of ``quantised`` blocks the bytes are compared, and the
+    queries are quantised, too.
     """
-    out, rows = None, queries.select("query_id", "q").toLocalIterator()
-    while part := [r for r, _ in zip(rows, range(QUERY_BLOCK), strict=False)]:
+    stored = "q8" if "q8" in blocks.columns else "embedding"
+    out = None
+    for part in _parts(queries.select("query_id", "q")):
         ids = np.array([r["query_id"] for r in part], np.int64)
         q = np.array([r["q"] for r in part], np.float64)
+        if stored == "q8":
+            q = _quantise(q)[0].astype(np.float64)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
         shared = blocks.sparkSession.sparkContext.broadcast((ids, q))
 
@@ -167,11 +230,10 @@ def matmul_top_k(blocks: DataFrame, queries: DataFrame, k: int, min_similarity:
             ids, q = shared.value
             held: list[np.ndarray] = []
             for b in batches:
-                size = np.asarray(b.column(2).value_lengths().fill_null(0))
-                ok = np.flatnonzero(size == q.shape[1])
+                ok = np.flatnonzero(_sizes(b.column(2)) == q.shape[1])
                 s = np.zeros((len(b), len(q)))
                 if len(ok):
-                    x = b.column(2).take(pa.array(ok)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(ok), -1)
+                    x = _vectors(b.column(2), ok, q.shape[1])
                     n = np.linalg.norm(x, axis=1)
                     s[ok] = np.divide(x @ q.T, n[:, None], out=np.zeros((len(ok), len(q))), where=n[:, None] > 0)
                 note, line = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
@@ -193,7 +255,7 @@ def matmul_top_k(blocks: DataFrame, queries: DataFrame, k: int, min_similarity:
             first = np.searchsorted(x["q"], x["q"], "left")
             return x[np.arange(len(x)) - first < k].view(np.recarray)
 
-        made = blocks.select(F.col("note_id").cast("long"), F.col("line").cast("long"), "embedding").mapInArrow(run, "query_id long, note_id long, line long, similarity double")
+        made = blocks.select(F.col("note_id").cast("long"), F.col("line").cast("long"), stored).mapInArrow(run, "query_id long, note_id long, line long, similarity double")
         out = made if out is None else out.unionByName(made)
     if out is None:
         return blocks.sparkSession.createDataFrame([], "query_id long, note_id long, line long, similarity double")

@@ -66,9 +66,7 @@ def q8_dequantize_error(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_B}, q AS ({_Q8}), s AS (SELECT x.note_id, x.line, {_ISUM.format(a='x.q', b='y.q')} / sqrt(CAST({_ISUM.format(a='x.q', b='x.q')} * {_ISUM.format(a='y.q', b='y.q')} AS DOUBLE)) AS sim FROM q x, q y WHERE y.line = 0) SELECT note_id, line, round(sim, 6) AS similarity FROM s WHERE sim >= 0.05 ORDER BY sim DESC, note_id, line LIMIT 50")
 def q8_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    quantised = blocks(spark, d).withColumn("embedding", V.q8_values("embedding"))
-    q = query_vectors(spark, d, 1).withColumn("q", V.q8_values("q"))
-    found = S.top_k(S.hits(S.score(quantised, q, quantized=True), min_similarity=0.05), 50)
+    found = S.matmul_top_k(S.quantised(blocks(spark, d)), query_vectors(spark, d, 1), 50, 0.05)
     return found.select("note_id", "line", F.round("similarity", 6).alias("similarity"))
 
 
@@ -165,8 +163,7 @@ round(coalesce(avg(abs(tk - fk)), 0), 6) AS rank_difference, round(coalesce(avg(
 def validator_metrics(spark: SparkSession, d: str) -> DataFrame:
     b, q = blocks(spark, d), query_vectors(spark, d, 1)
     truth = S.ranked(S.top_k(S.hits(S.score(b, q), min_similarity=0.05), 30))
-    quantised = S.score(b.withColumn("embedding", V.q8_values("embedding")), q.withColumn("q", V.q8_values("q")), quantized=True)
-    m = S.precision_recall(truth, S.ranked(S.top_k(S.hits(quantised, min_similarity=0.05), 30)))
+    m = S.precision_recall(truth, S.ranked(S.matmul_top_k(S.quantised(b), q, 30, 0.05)))
     return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
 
 

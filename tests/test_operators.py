@@ -183,3 +183,43 @@ def test_retrieval_plan(spark):
     assert {r.note_id for r in scoped.collect()} == {2}
     made = chat_context(scoped).first()
     assert made.context.startswith("# note 1: T ::: h1\ntext 2.1") and len(made.citations) == 3
+
+
+def test_any_number_of_query_vectors(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 8))
+    b = spark.createDataFrame([(i // 4, i, 200, x[i].tolist()) for i in range(60)] + [(99, 99, 200, [1.0]), (99, 100, 200, None), (99, 101, 200, [0.0] * 8)], "note_id long, line long, length int, embedding array<double>")
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(10)], "query_id long, q array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit[:10].T).max(axis=1)
+    for most in (4096, 3):  # in one pass, in four
+        monkeypatch.setattr(search, "QUERY_BLOCK", most)
+        got = {r.line: r.similarity for r in search.best_scores(b, q).collect()}
+        assert [got[i] for i in range(60)] == pytest.approx(want.tolist()) and got[99] == got[100] == got[101] == 0
+        top = search.matmul_top_k(b, q, 3)
+        assert top.count() == 30 and top.where("similarity > 0.999999").count() == 10
+        bytes_ = search.matmul_top_k(search.quantised(b), q, 3)
+        assert bytes_.count() == 30 and bytes_.where("similarity > 0.999").count() == 10
+    assert search.best_scores(b, q.limit(0)).where("similarity is not null").count() == 0
+
+
+def test_a_retried_shard_write_shows_once(spark, tmp_path):
+    b = spark.createDataFrame([("n", i, 0, 10, 0, "t", ["t"], [1.0, float(i)]) for i in range(3)], "note_id string, line int, body_idx int, length int, level int, title string, path array<string>, embedding array<double>")
+    made = shards.build(b, "m", 1)
+    for _ in range(2):
+        shards.put(made, made.select("note_id", "model_id", "epoch"), f"file://{tmp_path}/emb", f"file://{tmp_path}/meta")
+    assert shards.read(spark, f"file://{tmp_path}/emb", f"file://{tmp_path}/meta", model_id="m").count() == 3
+
+
+def test_split_rows_and_replace_last(spark):
+    from notelake.functions import text as T
+
+    df = spark.createDataFrame([(1, ["a b c d " * 40, "x"]), (2, None), (3, [])], "id int, parts array<string>")
+    got = {r.id: r.rows for r in chunk.split_rows(df, "parts", 16).collect()}
+    assert len(got[1]) > 2 and got[2] == got[3] == [[]]
+    t = spark.createDataFrame([("a.b.a",), ("none",), (None,), ("aa",)], "t string")
+    assert [r[0] for r in t.select(T.replace_last("t", "a", "Z")).collect()] == ["a.b.Z", "none", None, "aZ"]
+    e = spark.createDataFrame([("a &#39;b&#x3C; &#38;lt; &#9; &eacute;",)], "t string")
+    assert e.select(T.clean_inline("t")).first()[0] == "a 'b< &lt; &#9; &eacute;"
