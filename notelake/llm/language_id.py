@@ -8,7 +8,7 @@ over all training documents, summed by Spark; only ``PROFILE`` rows a language g
 
 ``score`` is 1 - distance / worst distance. Edge cases: null, empty and letterless texts are
 ``und`` with score 0, and so is everything where nothing could be learned; null languages are
-never learned; a null id counts as not held out; ties go to the code point order of the
+never learned; very long texts are read whole; a null id counts as not held out; ties go to the code point order of the
 languages; repeated rows are predicted alike; further columns are ignored.
 """
 

@@ -8,7 +8,8 @@ them are verified by bounded-error matching, which also gives the edits. The bes
 window is taken first, then the best ones before and after it, until none is left.
 
 Matching is on whole texts. Edge cases: null and empty texts have no words, no labels and score
-0; notices that run into each other are reported each; repeated rows and null ids are scanned
+0; very long texts are read whole; notices that run into each other are reported each; of equally
+good matches in a window the first is taken first; repeated rows and null ids are scanned
 one by one; empty tables give empty results; further columns are ignored.
 """
 
@@ -46,6 +47,20 @@ NOTICES = {
     "creative commons attribution": "cc-by",
     "licensed under cc by": "cc-by",
     "creative commons zero": "cc0",
+    "gnu free documentation license": "gfdl",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "you may not use this file except in compliance with the license": "apache",
+    "this software is provided by the copyright holders and contributors as is": "bsd",
+    "the software is provided as is without warranty of any kind express or implied": "mit",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu": "gpl",
+    "boost software license version 1 0": "bsl",
+    "common development and distribution license": "cddl",
+    "european union public licence": "eupl",
+    "academic free license": "afl",
+    "microsoft public license": "ms-pl",
+    "sil open font license": "ofl",
+    "this software is provided as is without any express or implied warranty in no event will the authors": "zlib",
 }
 #: One edit is allowed for so many characters of a notice.
 CHARS_PER_EDIT = 10

@@ -15,7 +15,8 @@ orders 0 and 1 have at most 257^2 entries. Word counts may be of any number: the
 frequent words at most are broadcast; the rest is joined by key, each document's rare words being
 shuffled once.
 
-Edge cases: null and empty texts have the end token only; with nothing to train on, words have
+Edge cases: null and empty texts have the end token only; very long texts are scored whole; words of
+one count are hot or rare together; with nothing to train on, words have
 count 0 (N = V = 0) and all symbols are equally likely; a null id counts as not held out; repeated
 rows are scored one by one (and trained on each); words are told apart by a 64-bit hash; an
 empty table gives an empty result; further columns are ignored.
