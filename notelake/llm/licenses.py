@@ -50,7 +50,6 @@ NOTICES = {
     "gnu free documentation license": "gfdl",
     "creative commons attribution sharealike": "cc-by-sa",
     "creative commons attribution noncommercial": "cc-by-nc",
-    "you may not use this file except in compliance with the license": "apache",
     "this software is provided by the copyright holders and contributors as is": "bsd",
     "the software is provided as is without warranty of any kind express or implied": "mit",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu": "gpl",
@@ -60,7 +59,6 @@ NOTICES = {
     "academic free license": "afl",
     "microsoft public license": "ms-pl",
     "sil open font license": "ofl",
-    "this software is provided as is without any express or implied warranty in no event will the authors": "zlib",
 }
 #: One edit is allowed for so many characters of a notice.
 CHARS_PER_EDIT = 10
