@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from notelake.functions.text import CJK, MARKS, SENTENCE
 
 MAX_LEVEL = 6
-_STRUCTURE = re.compile(r"(```[^\n]*\n.*?```|^#+\s[^\n]*)", re.M | re.S)
+_STRUCTURE = re.compile(r"(^```.*?```$|^#+\s[^\n]*)", re.M | re.S)
 _SENTENCE = re.compile(SENTENCE)
 _CJK, _MARK = re.compile(CJK), re.compile(MARKS)
 CHUNK_DDL = "note_id string, block_no int, line int, body_idx int, length int, level int, title string, path array<string>, chunk string, decorated string"
@@ -65,7 +65,8 @@ def pack(segments: list[tuple[int, str]], most: int) -> list[tuple[int, str]]:
             continue
         if held:
             out.append((start, held))
-        start, held, size = at, s if n <= most else truncated(s, most), min(n, most)
+        start, held = at, s if n <= most else truncated(s, most)
+        size = n if n <= most else estimate(held)
     return [*out, (start, held)] if held else out
 
 
@@ -73,7 +74,7 @@ def chunks(title: str, body: str, tags: list[str], options: Options) -> Iterator
     """(line, offset, length, level, heading, path, text, decorated) of a note's chunks."""
     body = re.sub(r"\r\n?", "\n", body)
     level, heading, path = 0, title, [title] + [""] * MAX_LEVEL
-    at = 0
+    at, line, counted = 0, 1, 0
     for piece in _STRUCTURE.split(body):
         here, at = at, at + len(piece)
         if not piece.strip():
@@ -82,12 +83,12 @@ def chunks(title: str, body: str, tags: list[str], options: Options) -> Iterator
         if code and not options.include_code:
             continue
         if code:
-            heading = f"{piece[3 : piece.index(chr(10))].strip()} code block"
+            heading = f"{piece[3:].partition(chr(10))[0].strip('` ')} code block".strip()
             path[level] = heading if level else path[0]
             segments, pos = [], here
-            for text in piece.splitlines(keepends=True):
-                segments.append((pos, text))
-                pos += len(text)
+            for text in piece.split("\n"):
+                segments.append((pos, text + "\n"))
+                pos += len(text) + 1
         elif m := re.match(r"(#+)\s(.*)", piece):
             level, heading = min(len(m[1]), MAX_LEVEL), m[2].strip()
             path[level] = heading
@@ -104,7 +105,8 @@ def chunks(title: str, body: str, tags: list[str], options: Options) -> Iterator
             head = "/".join(x for x in shown if x)
             head = f"{head}:\n" if head else ""
             head += f"tags: {', '.join(tags)}\n" if options.embed_tags and tags else ""
-            yield body.count("\n", 0, offset) + 1, offset, len(text), level, heading, [x for x in path[: level + 1] if x], text, head + text
+            line, counted = line + body.count("\n", counted, offset), offset
+            yield line, offset, len(text), level, heading, [x for x in path[: level + 1] if x], text, head + text
 
 
 def chunk_notes(notes: DataFrame, options: Options = Options()) -> DataFrame:
@@ -131,19 +133,26 @@ def pack_sentences(segments: Column, most: int, cost: Column | None = None) -> C
     kept = F.filter(segments, lambda x: ~x.startswith("#"))
     sized = F.transform(kept, lambda x: F.struct(x.alias("t"), token_estimate(x).alias("n")))
 
-    def step(s: Column, n: Column) -> Column:
-        fits = (s["size"] + n <= most) & (s["at"] > 0)
+    def step(s: Column, x: Column) -> Column:
+        fits = (s["size"] + x["n"] <= most) & (s["at"] > 0)
         starts = F.when(fits, s["starts"]).otherwise(F.array_append(s["starts"], s["at"]))
-        return F.struct((s["at"] + 1).alias("at"), F.when(fits, s["size"] + n).otherwise(F.least(n, F.lit(most))).alias("size"), starts.alias("starts"))
+        return F.struct((s["at"] + 1).alias("at"), F.when(fits, s["size"] + x["n"]).otherwise(x["alone"]).alias("size"), starts.alias("starts"))
 
-    def pack(p: Column) -> Column:
-        cut = F.transform(p, lambda x: F.when(x["n"] <= most, x["t"]).otherwise(truncate_tokens(x["t"], most)))
+    def cut(p: Column) -> Column:
+        """Segments that are too long cut; ``bind`` evaluates a value once for all its uses."""
+        short = lambda x: F.when(x["n"] <= most, x["t"]).otherwise(truncate_tokens(x["t"], most))
+        return bind(F.transform(p, lambda x: F.struct(x["n"].alias("n"), short(x).alias("t"))), slices)
+
+    def slices(p: Column) -> Column:
         begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("starts"))
-        starts = F.aggregate(F.transform(p, lambda x: x["n"]), begin, step, lambda s: s["starts"])
-        made = F.transform(F.array(F.struct(cut.alias("cut"), starts.alias("starts"))), lambda s: F.transform(s["starts"], lambda a, i: F.array_join(F.slice(s["cut"], a + 1, F.coalesce(F.get(s["starts"], i + 1), F.size(s["cut"])) - a), "")))
-        return made[0]
+        sizes = F.transform(p, lambda x: F.struct(x["n"].alias("n"), F.when(x["n"] <= most, x["n"]).otherwise(token_estimate(x["t"])).alias("alone")))
+        made = F.struct(F.transform(p, lambda x: x["t"]).alias("cut"), F.aggregate(sizes, begin, step, lambda s: s["starts"]).alias("starts"))
+        return bind(made, lambda s: F.transform(s["starts"], lambda a, i: F.array_join(F.slice(s["cut"], a + 1, F.coalesce(F.get(s["starts"], i + 1), F.size(s["cut"])) - a), "")))
+
+    def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+        return F.transform(F.array(value), use)[0]
 
-    return F.transform(F.array(sized), pack)[0]
+    return bind(sized, cut)
 
 
 def split_rows(df: DataFrame, parts: str, most: int, *, prefer: str = "first", separator: str = " ") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from notelake.plans import chat, index, literature, retrieval, text, vectors  # noqa: F401
+from notelake.plans import chat, index, literature, records, retrieval, text, vectors  # noqa: F401
 from notelake.plans.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -71,14 +71,16 @@ def sentence_segments(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""WITH RECURSIVE s AS MATERIALIZED (SELECT doc_id, regexp_extract_all(text || chr(10), '[^.!?\\n]+[.!?\\n]+') AS s FROM documents),
 x AS MATERIALIZED (SELECT doc_id, i, c, {_TOKENS.format(t='c')} AS n FROM (SELECT doc_id, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS c FROM s) WHERE NOT starts_with(c, '#')),
-o AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, n, length(c) AS l FROM x),
-f AS (SELECT doc_id, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS chunk, least(n, 64) AS size FROM o WHERE i = 1
-  UNION ALL SELECT o.doc_id, o.i, CASE WHEN f.size + o.n <= 64 THEN f.chunk ELSE f.chunk + 1 END, CASE WHEN f.size + o.n <= 64 THEN f.size + o.n ELSE least(o.n, 64) END FROM f JOIN o ON o.doc_id = f.doc_id AND o.i = f.i + 1)
-SELECT doc_id AS note_id, max(chunk) AS chunks FROM f GROUP BY doc_id"""
+c AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, n, CASE WHEN n <= 64 THEN c ELSE left(c, CAST(floor(60.0e0 * length(c) / n * 0.95e0) AS BIGINT)) || ' [truncated]' END AS c FROM x),
+o AS MATERIALIZED (SELECT doc_id, i, n, c, CASE WHEN n <= 64 THEN n ELSE {_TOKENS.format(t='c')} END AS alone FROM c),
+f AS (SELECT doc_id, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS chunk, alone AS size FROM o WHERE i = 1
+  UNION ALL SELECT o.doc_id, o.i, CASE WHEN f.size + o.n <= 64 THEN f.chunk ELSE f.chunk + 1 END, CASE WHEN f.size + o.n <= 64 THEN f.size + o.n ELSE o.alone END FROM f JOIN o ON o.doc_id = f.doc_id AND o.i = f.i + 1),
+t AS (SELECT doc_id, chunk, string_agg(c, '' ORDER BY i) AS c FROM f JOIN o USING (doc_id, i) GROUP BY ALL)
+SELECT doc_id AS note_id, max(chunk) AS chunks, md5(string_agg(c, '|' ORDER BY chunk)) AS hash FROM t GROUP BY doc_id"""
 )
 def chunk_pack(spark: SparkSession, d: str) -> DataFrame:
     packed = docs(spark, d).select("note_id", C.pack_sentences(T.sentences("body"), 64).alias("p"))
-    return packed.select("note_id", F.size("p").cast("long").alias("chunks")).where("chunks > 0")
+    return packed.select("note_id", F.size("p").cast("long").alias("chunks"), F.md5(F.array_join("p", "|")).alias("hash")).where("chunks > 0")
 
 
 @query()

@@ -23,6 +23,11 @@ def row_meta() -> Column:
     return F.struct(F.col("title"), F.col("level").cast("int").alias("headingLevel"), F.col("body_idx").cast("int").alias("bodyStart"), F.col("length").cast("int").alias("bodyLength"), F.col("line").cast("int").alias("lineNumber"), path.cast("array<string>").alias("headingPath"))
 
 
+def shown_title() -> Column:
+    """A block's title from its metadata, else the last part of its heading path."""
+    return F.coalesce("meta.title", F.try_element_at("meta.headingPath", F.lit(-1)), F.lit(""))
+
+
 def build(blocks: DataFrame, model_id: str, epoch: int, *, cap: int = 0) -> DataFrame:
     """One shard a note with the first blocks that fit: (note_id, model_id, shard_no, epoch,
     vectors_b64, scales_b64, meta)."""
@@ -75,5 +80,5 @@ def read(spark: SparkSession, shard_path: str, meta_path: str, *, model_id: str,
     newest = meta.groupBy("note_id", "model_id").agg(F.max("epoch").alias("epoch"))
     shards = spark.read.parquet(shard_path).where(F.col("model_id") == model_id)
     rows = decode(current_epoch(newest, shards).dropDuplicates(["note_id", "model_id", "shard_no", "epoch"]))
-    rows = rows.withColumn("title", F.coalesce("meta.title", F.try_element_at("meta.headingPath", F.lit(-1)), F.lit("")))
+    rows = rows.withColumn("title", shown_title())
     return rows if max_rows is None else rows.limit(max_rows)

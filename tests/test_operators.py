@@ -25,6 +25,20 @@ def test_chunks_carry_headings_and_skip_code():
     assert list(chunk.chunks("N", "  \r\n ", [], chunk.Options())) == []
 
 
+def test_fences_end_at_line_ends():
+    body = "# A\n```one line```\ntext.\n```py\ns = '```' + 1\n```\nlast."
+    got = list(chunk.chunks("N", body, [], chunk.Options(include_code=True)))
+    texts = ["```one line```\n", "text.\n\n", "```py\ns = '```' + 1\n```\n", "last.\n"]
+    assert [g[6] for g in got] == texts and [g[4] for g in got] == ["one line code block"] * 2 + ["py code block"] * 2
+    assert [g[0] for g in got] == [2, 3, 4, 7]
+    assert not any("```" in g[6] for g in chunk.chunks("N", body, [], chunk.Options()))
+
+
+def test_lines_after_a_cut_segment_may_still_fit():
+    parts = [(0, "x" * 100 + ". "), (102, "a. ")]
+    assert len(chunk.pack(parts, 20)) == 1 and chunk.pack(parts, 20)[0][1].endswith(" [truncated]a. ")
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab .", min_size=1, max_size=60), max_size=12), st.integers(8, 20))
 def test_packing_keeps_the_budget(parts, most):
