@@ -114,9 +114,13 @@ def decoration(title: Column, path: Column, heading: Column, tags: Column, *, em
     return F.concat(head, line)
 
 
-def internal_links(t: Column | str) -> Column:
-    """Ids of notes linked as ``[text](:/<32 letters and digits>)``."""
-    return F.regexp_extract_all(_col(t), F.lit(r"\[[^\]]*\]\(:/([A-Za-z0-9]{32})(?:#[^)]*)?\)"), F.lit(1))
+def internal_links(t: Column | str, skip: tuple[str, ...] = ()) -> Column:
+    """Different ids of notes linked as ``[text](:/<32 letters and digits>...)``, in order.
+
+    Lines that begin with one of ``skip`` or with a numbered reference (``[1]:``) don't count."""
+    led = "|".join([*map(re.escape, skip), r"\[\d+\]:"])
+    kept = F.regexp_replace(_col(t), rf"(?m)^(?:{led})[^\n]*$", "")
+    return F.array_distinct(F.regexp_extract_all(kept, F.lit(r"\[[^\]]+\]\(:/([A-Za-z0-9]{32})[^)]*\)"), F.lit(1)))
 
 
 def reference_link(number: Column, note_id: Column, level: Column, title: Column) -> Column:

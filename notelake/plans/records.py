@@ -63,11 +63,47 @@ def index_papers(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey AS page_id, p_name AS title, p_type AS text FROM part")
 def encyclopedia_pages(spark: SparkSession, d: str) -> DataFrame:
-    page = F.struct(F.col("p_partkey").alias("pageid"), F.col("p_name").alias("title"), F.col("p_type").alias("extract"))
+    extract = F.concat(F.lit("<p class='x'>\n"), "p_type", F.lit("</p>\n"))
+    page = F.struct(F.col("p_partkey").alias("pageid"), F.col("p_name").alias("title"), extract.alias("extract"))
     answers = part(spark, d).select(F.to_json(F.struct(F.struct(F.create_map(text("p_partkey"), page).alias("pages")).alias("query"))).alias("json"))
     return R.from_encyclopedia(answers)
 
 
+_ANSWERS = "g AS (SELECT p_brand AS search, p_partkey AS id, p_size, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i FROM part)"
+
+
+def per_brand(spark: SparkSession, d: str, *rows: Column, name: str) -> DataFrame:
+    """(search, <name>): an array of structs for each brand, by key."""
+    groups = part(spark, d).groupBy(F.col("p_brand").alias("search")).agg(F.sort_array(F.collect_list(F.struct(F.col("p_partkey").alias("k"), *rows))).alias("rows"))
+    return groups.withColumn(name, F.transform("rows", lambda r: r.dropFields("k"))).drop("rows")
+
+
+@query(f"WITH {_ANSWERS} SELECT id AS page_id, p_name AS title, 2000 + p_size AS year, CAST(i AS INTEGER) AS place FROM g WHERE i < 20 AND id % 7 > 0")
+def encyclopedia_search(spark: SparkSession, d: str) -> DataFrame:
+    """The first 20 hits of each search; one without a page id keeps its place."""
+    i = F.col("p_partkey")
+    hits = per_brand(spark, d, F.when(i % 7 > 0, i).alias("pageid"), F.col("p_name").alias("title"), F.concat((F.lit(2000) + F.col("p_size")).cast("string"), F.lit("-03-04T05:06:07Z")).alias("timestamp"), name="search_")
+    return R.encyclopedia_hits(hits.select(F.to_json(F.struct(F.struct(F.col("search_").alias("search")).alias("query"))).alias("json")))
+
+
+@query(f"WITH {_ANSWERS}, f AS (SELECT search, p_size, min(i) AS i FROM g GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY search ORDER BY i) - 1 AS place FROM f QUALIFY place < 30) SELECT search, CAST(place // 4 AS INTEGER) AS batch, string_agg(CAST(p_size AS VARCHAR), ',' ORDER BY place) AS pmids FROM r GROUP BY ALL")
+def pubmed_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of two pages of each search, the later repeating the earlier, in groups of four."""
+    ids = per_brand(spark, d, text("p_size").alias("id"), name="ids").select("search", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("page"), F.col("ids.id").alias("ids"))
+    pages = ids.select("search", "page", F.to_json(F.struct(F.struct(F.col("ids").alias("idlist")).alias("esearchresult"))).alias("json"))
+    return R.id_batches(R.found_ids(pages, 30), 4)
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS pmid, CASE WHEN p_partkey % 3 = 2 THEN p_size + 1 ELSE p_size END AS cited FROM part WHERE p_partkey % 5 > 0")
+def citation_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Citation counts under any of their names; negative ones and records without an id don't count."""
+    i, n = F.col("p_partkey"), F.col("p_size")
+    counts = F.when(i % 5 == 0, F.map_from_arrays(F.array(F.lit("citation_count")), F.array(F.lit("-1")))).when(i % 3 == 0, F.create_map(F.lit("citation_count"), n.cast("string")))
+    counts = counts.when(i % 3 == 1, F.create_map(F.lit("citedByPmidCount"), n.cast("string"), F.lit("citedbyPmidCount"), F.lit("0"))).otherwise(F.create_map(F.lit("citedbyPmidCount"), (n + 1).cast("string")))
+    record = F.map_concat(F.create_map(F.lit("pmid"), F.when(i % 10 == 0, "").otherwise(text("p_partkey"))), counts)
+    return R.from_citations(part(spark, d).select(F.to_json(F.struct(F.array(record).alias("data"))).alias("json")))
+
+
 @query("SELECT CAST(p_partkey AS VARCHAR) AS pmcid, upper(p_name) || chr(10) || chr(10) || 'Made of ' || p_type || ' here.' || chr(10) || chr(10) || '• ' || p_brand || chr(10) || '• size ' || p_size AS text FROM part")
 def full_text_walk(spark: SparkSession, d: str) -> DataFrame:
     """Titles, paragraphs and lists of articles; references, tables and figures are passed over."""
@@ -75,14 +111,19 @@ def full_text_walk(spark: SparkSession, d: str) -> DataFrame:
     return R.full_texts(part(spark, d).select(text("p_partkey").alias("pmcid"), xml.alias("xml")))
 
 
-@query("SELECT p_partkey AS paper_id, CASE WHEN p_partkey % 2 = 0 THEN '10.2/' || p_partkey ELSE '10.1/' || p_partkey END AS doi, CASE WHEN p_partkey % 2 = 0 THEN 'PMC' || p_size END AS pmcid, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE 'Group' END AS author, 1990 + p_size AS year, 'AIM: ' || p_name || chr(10) || p_type AS text FROM part")
+@query("SELECT p_partkey AS paper_id, CASE WHEN p_partkey % 2 = 0 THEN '10.1/' ELSE '10.2/' END || p_partkey AS doi, CASE WHEN p_partkey % 2 > 0 THEN 'PMC' || p_size END AS pmcid, CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN 'Group' WHEN 2 THEN 'AB' ELSE 'Unknown' END AS author, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 1990 + p_size END AS year, 'Untitled' AS title, 'AIM: ' || p_name || chr(10) || chr(10) || p_type AS text FROM part")
 def article_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Ids of article records: the record's own list counts before its location."""
-    i = F.col("p_partkey")
-    listed = F.when(i % 2 == 0, F.concat(F.lit('<ArticleIdList><ArticleId IdType="doi">10.2/'), text("p_partkey"), F.lit('</ArticleId><ArticleId IdType="pmc">PMC'), text("p_size"), F.lit("</ArticleId></ArticleIdList>"))).otherwise("")
-    author = F.when(i % 3 == 0, F.concat(F.lit("<LastName>"), F.col("p_brand"), F.lit("</LastName>"))).otherwise("<CollectiveName>Group</CollectiveName>")
-    xml = F.concat(F.lit("<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>"), text("p_partkey"), F.lit("</PMID><Article><Journal><JournalIssue><PubDate><MedlineDate>"), (F.lit(1990) + F.col("p_size")).cast("string"), F.lit(' Jan-Feb</MedlineDate></PubDate></JournalIssue></Journal><ELocationID EIdType="doi">10.1/'), text("p_partkey"), F.lit('</ELocationID><Abstract><AbstractText Label="AIM">'), "p_name", F.lit("</AbstractText><AbstractText>"), "p_type", F.lit("</AbstractText></Abstract><AuthorList><Author>"), author, F.lit("</Author></AuthorList></Article></MedlineCitation><PubmedData>"), listed, F.lit("</PubmedData></PubmedArticle></PubmedArticleSet>"))
-    return R.from_pubmed(part(spark, d).select(xml.alias("xml"))).select(F.col("pmid").cast("long").alias("paper_id"), "doi", "pmcid", "author", "year", "text")
+    """Ids, first authors and years of article records; a location counts before a list, and works
+    that are cited don't count."""
+    i, key = F.col("p_partkey"), text("p_partkey")
+    place = F.when(i % 2 == 0, F.concat(F.lit('<ELocationID EIdType="pii">x</ELocationID><ELocationID EIdType="doi">doi:10.1/'), key, F.lit("</ELocationID>"))).otherwise("")
+    listed = F.concat(F.lit('<ArticleIdList><ArticleId IdType="doi">10.2/'), key, F.lit("</ArticleId>"), F.when(i % 2 > 0, F.concat(F.lit('<ArticleId IdType="pmc">'), F.when(i % 3 == 0, "pmc").otherwise(""), text("p_size"), F.lit("</ArticleId>"))).otherwise(""), F.lit("</ArticleIdList>"))
+    author = F.when(i % 4 == 0, F.concat(F.lit("<LastName>"), "p_brand", F.lit("</LastName>"))).when(i % 4 == 1, "<CollectiveName>Group</CollectiveName>").when(i % 4 == 2, "<Initials>AB</Initials>").otherwise("")
+    date = F.when(i % 5 == 0, "<Season>Fall</Season>").when(i % 5 < 3, F.concat(F.lit("<Year>"), (F.lit(1990) + F.col("p_size")).cast("string"), F.lit("</Year>"))).otherwise(F.concat(F.lit("<MedlineDate>"), (F.lit(1990) + F.col("p_size")).cast("string"), F.lit(" Jan-Feb</MedlineDate>")))
+    head = F.concat(F.lit("<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>"), key, F.lit("</PMID><Article><Journal><JournalIssue><PubDate>"), date, F.lit("</PubDate></JournalIssue></Journal>"), place)
+    body = F.concat(F.lit('<Abstract><AbstractText Label="Aim">'), "p_name", F.lit("</AbstractText><AbstractText>"), "p_type", F.lit("</AbstractText></Abstract><AuthorList><Author>"), author, F.lit("</Author><Author><LastName>Second</LastName></Author></AuthorList></Article></MedlineCitation><PubmedData>"), listed)
+    cited = '<ReferenceList><Reference><ArticleIdList><ArticleId IdType="doi">10.9/9</ArticleId><ArticleId IdType="pmc">PMC9</ArticleId></ArticleIdList></Reference></ReferenceList></PubmedData></PubmedArticle></PubmedArticleSet>'
+    return R.from_pubmed(part(spark, d).select(F.concat(head, body, F.lit(cited)).alias("xml"))).select(F.col("pmid").cast("long").alias("paper_id"), "doi", "pmcid", "author", "year", "title", "text")
 
 
 @query("SELECT vec_id, len(embedding) AS dim, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: CASE WHEN (i + vec_id) % 3 = 0 THEN 0.0e0 ELSE CAST(embedding[i] AS DOUBLE) * i END)), 6) AS checksum, CAST(len(list_filter(range(1, len(embedding) + 1), lambda i: (i + vec_id) % 3 <> 0)) AS BIGINT) AS finite FROM embeddings")

@@ -142,12 +142,15 @@ def escape_html(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("note_id", T.escape_html(F.concat("body", F.lit('<a & "b">'))).alias("escaped"))
 
 
-@query("SELECT doc_id AS note_id, '[' || (doc_id + 1) || ']: :/' || doc_id || CASE WHEN doc_id % 2 > 0 THEN '#my-title-' || doc_id ELSE '' END AS link, len(regexp_extract_all('[a](:/' || md5(text) || ') [b](:/short)', '\\[[^\\]]*\\]\\(:/([A-Za-z0-9]{32})(?:#[^)]*)?\\)', 1)) AS links FROM documents")
+@query("SELECT doc_id AS note_id, '[' || (doc_id + 1) || ']: :/' || doc_id || CASE WHEN doc_id % 2 > 0 THEN '#my-title-' || doc_id ELSE '' END AS link, CASE WHEN doc_id % 3 = 0 THEN md5(text) || ',' || md5(source) ELSE md5(text) END AS links FROM documents")
 def note_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links made and read; repeats, reference lines, commands and ids that are too short don't count."""
     i = F.col("note_id")
     made = T.reference_link(i + 1, i, i % 2, F.concat(F.lit("My  title! "), i.cast("string")))
-    body = F.concat(F.lit("[a](:/"), F.md5("body"), F.lit(") [b](:/short)"))
-    return docs(spark, d).select("note_id", made.alias("link"), F.size(T.internal_links(body)).cast("long").alias("links"))
+    own, other = F.md5("body"), F.concat(F.lit("(:/"), F.md5("source"), F.lit("#part)"))
+    lead = F.when(i % 3 == 0, "see").when(i % 3 == 1, "[7]:").otherwise("Notes:")
+    body = F.concat(F.lit("[a](:/"), own, F.lit(") [b](:/short) [](:/"), F.md5(F.lit("x")), F.lit(")\n"), lead, F.lit(" [c]"), other, F.lit("\n[d](:/"), own, F.lit(")"))
+    return docs(spark, d).select("note_id", made.alias("link"), F.array_join(T.internal_links(body, ("Notes:",)), ",").alias("links"))
 
 
 @query("SELECT doc_id AS note_id, md5(text || chr(10) || '<!-- s -->' || chr(10) || 'new' || chr(10) || '<!-- /s -->') AS added, '<a>' || chr(10) || '<!-- s -->' || chr(10) || 'new' || chr(10) || '<!-- /s -->' || '<b>' AS replaced FROM documents")

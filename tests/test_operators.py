@@ -129,8 +129,12 @@ def test_kv_and_migration(spark):
 
 def test_html():
     page = "<html><head><style>p{}</style></head><body><nav>menu</nav><h1>Top</h1><p>a <a href='u'>l</a> &amp; b</p><table><tr><td>1</td><td>2</td></tr></table><script>x</script></body></html>"
-    assert html.to_text(page) == "# Top\n\na l (u) & b\n\n1\t2"
+    assert html.to_text(page) == "# Top\n\na l (u) & b\n\n```\n1\t2\n```"
     assert html.to_text(None) == ""
+    rich = "<ol><li>one</li><li>two <em>it</em></li></ol><pre><code>a  = 1\n\n  b</code></pre><p><strong>x</strong> <b>y</b> <em>open"
+    assert html.to_text(rich) == "1. one\n2. two _it_\n\n```\na  = 1\n\n  b\n```\n\n**x** y open"
+    assert html.to_text("<table><tr><td>1") == "```\n1\n```" and html.to_text("</table></pre></em>x") == "x"
+    assert html.to_text("<table><tr><td>1<table><tr><td>2</td></tr></table></td></tr></table>z").count("```") == 2
 
 
 def test_literature():
