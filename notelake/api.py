@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from notelake.functions.embed import DEFAULT, Conditioning, Embedder
 from notelake.operators import lexical as L
 from notelake.operators import search as S
+from notelake.storage import materialize
 
 VERSION = 1
 
@@ -86,11 +87,15 @@ class NoteIndex:
         return S.hits(S.best_scores(self.blocks, queries), min_similarity=min_similarity, min_length=min_length, exclude=F.col("note_id") == note_id if note_id is not None else None)
 
     def _reranked(self, found: DataFrame, query: str | None, note_id: str | int | None, limit: int) -> DataFrame:
-        """The best blocks with their ``place`` after keyword hits of the query, or of the note's title."""
-        best = S.top_k(found, S.candidate_limit(limit, grouped=False))
-        ranked = S.ranked(best).withColumn("position", F.col("rank") - 1).drop("rank")
+        """All found blocks; ``place`` orders them after keyword hits of the query, or of the note's title."""
+        found = found.select("note_id", "line", "similarity")
         words = (query or "").strip()
         if not words and note_id is not None and "title" in self.notes.columns:
             words = next((r["title"] or "" for r in self.notes.where(F.col("note_id") == note_id).select("title").limit(1).collect()), "").strip()
-        terms = [L.bm25(self.notes, words)] if words and "body" in self.notes.columns else []
-        return L.rerank(ranked, terms, max_hits=limit, weight=self.keyword_weight)
+        lead = F.lit(limit)
+        if words and "body" in self.notes.columns and self.keyword_weight > 0:
+            found = materialize(found, "found-blocks")  # it is read several times
+            first = L.leads(found, L.bm25(self.notes, words), max_hits=limit, weight=self.keyword_weight)
+            found = found.join(F.broadcast(first), ["note_id", "line"], "left")  # a row for each hit
+            lead = F.coalesce("lead", lead)
+        return found.withColumn("place", F.struct(lead.alias("lead"), (-F.col("similarity")).alias("o"))).drop("lead")

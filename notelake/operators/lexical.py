@@ -95,6 +95,23 @@ def rerank(pool: DataFrame, keyword_hits: list[DataFrame], *, max_hits: int, wei
     return out.withColumn("place", F.row_number().over(Window.orderBy(F.col("lead").asc_nulls_last(), "position")) - 1).drop("lead")
 
 
+def leads(found: DataFrame, hit_notes: DataFrame, *, max_hits: int, weight: float = 0.3, k: int = 1, notes_per_term: int = 100) -> DataFrame:
+    """(note_id, line, lead): the first ``max_hits`` places, from 0, that ``rerank`` gives with one list of
+    hits to the blocks (note_id, line, similarity) of an unranked pool of any size.
+
+    No sort holds the pool: its best ``max_hits`` are taken, and blocks of hits are numbered note by note."""
+    order = [F.desc("similarity"), "note_id", "line"]
+    best = found.orderBy(*order).limit(max_hits).withColumn("position", F.row_number().over(Window.orderBy(*order)) - 1)
+    near = hit_notes.where(F.col("rank") <= notes_per_term).select("note_id", F.col("rank").alias("hit"))
+    chunks = found.join(F.broadcast(near), "note_id")  # notes_per_term rows, as below
+    sizes = chunks.groupBy("hit").agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select("hit", (F.sum("n").over(Window.orderBy("hit")) - F.col("n")).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("hit").orderBy(*order)) - 1
+    chunks = chunks.withColumn("inside", inside).join(F.broadcast(starts), "hit").withColumn("position", F.col("start") + F.col("inside"))
+    fused = rrf(best, chunks, k=k, weight=weight, limit=max_hits)
+    return fused.select("note_id", "line", (F.row_number().over(Window.orderBy(F.desc("score"), "note_id", "line")) - 1).alias("lead"))
+
+
 def parse_decomposition(answer: Column | str) -> Column:
     """Lines ``SEARCH: ... | KEYWORDS: a, b`` (or NONE) to structs (search, keywords).
 

@@ -186,6 +186,24 @@ def test_api(spark):
     assert err.value.code == "not_ready"
 
 
+def test_api_search_cuts_no_blocks(spark):
+    blocks = spark.range(12_000).select((F.col("id") % 3).alias("note_id"), F.col("id").alias("line"), F.lit(200).alias("length"), F.array(F.lit(1.0), (F.col("id") % 3 * 100_000 + F.col("id")) / 1e7).alias("embedding"))
+    notes = spark.createDataFrame([(0, "a", "x"), (1, "b", "x"), (2, "c", "y y")], "note_id long, title string, body string")
+    for n in (notes.select("note_id"), notes):
+        got = api.NoteIndex(blocks, n, "m", HashingEmbedder(2)).search(note_id=0, limit=5).collect()
+        assert [(r.note_id, len(r.blocks)) for r in got] == [(1, 4000), (2, 4000)]
+
+
+def test_leads_are_those_of_rerank(spark):
+    pool = spark.range(400).select((F.col("id") % 7).alias("note_id"), F.col("id").alias("line"), (F.col("id") * 37 % 101 / 101).alias("similarity"))
+    hits = spark.createDataFrame([(5, 1), (9, 2), (2, 3), (0, 4)], "note_id long, rank int")
+    ranked = search.ranked(pool).withColumn("position", F.col("rank") - 1).drop("rank")
+    for k in (1, 10, 60):
+        old = lexical.rerank(ranked, [hits], max_hits=k).where(F.col("place") < k).select("note_id", "line", "place")
+        new = lexical.leads(pool, hits, max_hits=k)
+        assert sorted(map(tuple, new.collect())) == sorted(map(tuple, old.collect()))
+
+
 def test_retrieval_plan(spark):
     from notelake.operators.retrieve import Retrieval, chat_context, retrieve
 
