@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notelake.llm.lean import lean
+
 BITS, CHUNK = 26, 20
 
 
@@ -29,7 +31,7 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in held.values()], pa.binary())], names=["chunk", "bits"])
 
     chunk = F.shiftright(F.col(hashes.columns[0]).bitwiseAND(F.lit(2**BITS - 1)), CHUNK)
-    rows = hashes.repartition(1 << (BITS - CHUNK), chunk).mapInArrow(run, "chunk int, bits binary").collect()
+    rows = hashes.repartition(1 << (BITS - CHUNK), chunk).mapInArrow(lean(run), "chunk int, bits binary").collect()
     out = np.zeros((1 << (BITS - CHUNK), 1 << (CHUNK - 3)), np.uint8)
     for r in rows:
         out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)

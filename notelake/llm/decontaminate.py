@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notelake.llm.lean import lean
 from notelake.llm.shingles import of_column, overlap
 from notelake.llm.words import mix
 from notelake.storage import table
@@ -102,7 +103,7 @@ def item_blocks(items: DataFrame) -> Iterator[Index]:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["item_id", "tokens"])
 
     held, size = [], 0
-    rows = items.select(F.col("item_id").cast("long"), "text").mapInArrow(run, "item_id long, tokens array<long>")
+    rows = items.select(F.col("item_id").cast("long"), "text").mapInArrow(lean(run), "item_id long, tokens array<long>")
     for r in rows.toLocalIterator():
         tokens = np.array(r["tokens"], np.int64).view(np.uint64)
         if held and size + len(tokens) > BLOCK_SHINGLES:
@@ -130,7 +131,7 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
                     names=["doc_id", "item_id", "item_shingles", "shared_shingles"],
                 )
 
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)
+        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), ddl)
         found = part if found is None else found.unionByName(part)
     return docs.sparkSession.createDataFrame([], ddl) if found is None else found
 
@@ -146,7 +147,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
                 keep[[r for r, _, _ in shared.value.search(b.column(b.schema.get_field_index("text")))]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs
 
 

@@ -44,6 +44,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from notelake.llm.bitmap import bitmap, in_bitmap
 from notelake.llm.components import components
 from notelake.llm.decontaminate import shingle_sql, words_sql
+from notelake.llm.lean import lean
 from notelake.llm.shingles import Sets, of_column, overlap
 from notelake.llm.words import mix
 from notelake.storage import Scratch, materialize, table
@@ -157,7 +158,7 @@ def marked(docs: DataFrame, seed: int = 0) -> DataFrame:
         yield pa.RecordBatch.from_arrays([*none, pa.array(some, pa.int32()), pa.array(codes, pa.binary())], names=names)
 
     names = ["doc_id", "n", "fp", "check", "sig", "chunk", "cells"]
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, fp long, check long, sig binary, chunk int, cells binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n long, fp long, check long, sig binary, chunk int, cells binary")
 
 
 def frequency_orders(marks: DataFrame, seed: int = 0) -> Orders:
@@ -176,7 +177,7 @@ def frequency_orders(marks: DataFrame, seed: int = 0) -> Orders:
         levels = [np.log2(1 + np.maximum(0, x - x.mean())).astype(np.uint8).tobytes() for x in held.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(levels, pa.binary())], names=["chunk", "level"])
 
-    rows = marks.where("chunk is not null").select("chunk", "cells").repartition(1 << (SKETCH_BITS - CHUNK_BITS), "chunk").mapInArrow(run, "chunk int, level binary").collect()
+    rows = marks.where("chunk is not null").select("chunk", "cells").repartition(1 << (SKETCH_BITS - CHUNK_BITS), "chunk").mapInArrow(lean(run), "chunk int, level binary").collect()
     level = np.zeros((1 << (SKETCH_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.uint8)
     for r in rows:
         level[r["chunk"]] = np.frombuffer(r["level"], np.uint8)
@@ -289,7 +290,7 @@ def packed_prefixes(docs: DataFrame, orders: Orders, buckets: int) -> DataFrame:
         rows = list(Prefixes.together(held).pack(buckets))
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "data"])
 
-    return docs.select("text").mapInArrow(run, "bucket int, data binary")
+    return docs.select("text").mapInArrow(lean(run), "bucket int, data binary")
 
 
 def shared_tokens(packs: DataFrame, buckets: int) -> DataFrame:
@@ -309,7 +310,7 @@ def shared_tokens(packs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield Prefixes.together(held).shared()
 
-    return packs.repartitionById(min(buckets, MOST_TASKS), F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(run, TOKEN_DDL)
+    return packs.repartitionById(min(buckets, MOST_TASKS), F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(lean(run), TOKEN_DDL)
 
 
 def _pairs(rows: DataFrame, partners: list[str]) -> DataFrame:
@@ -329,7 +330,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     side = lambda c: nodes.select(F.col("fp").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"sig{c}"))
     rows = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", (F.col("nu") + F.col("nv")).alias("n"), "sigu", "sigv")
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(lean(run), "u long, v long")
 
 
 def node_texts(docs: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
@@ -346,7 +347,7 @@ def node_texts(docs: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
                 wanted = _fresh(prints, np.where(in_bitmap(bits, prints), s.sizes(), 0), known)
                 yield pa.RecordBatch.from_arrays([pa.array(prints[wanted]), b.column(0).take(pa.array([s.first + i for i in wanted], pa.int64())).cast(pa.string())], names=["fp", "text"])
 
-    return docs.select("text").mapInArrow(run, "fp long, text string")
+    return docs.select("text").mapInArrow(lean(run), "fp long, text string")
 
 
 def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -478,7 +479,7 @@ def part_links(docs: DataFrame, places: DataFrame, orders: Orders) -> DataFrame:
     def batch(done: list[tuple[int, int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], pa.int64()) for k in range(3)], names=["fp", "links", "leader"])
 
-    return rows.mapInArrow(run, "fp long, links long, leader long")
+    return rows.mapInArrow(lean(run), "fp long, links long, leader long")
 
 
 def _open(tokens: DataFrame, roots: DataFrame) -> DataFrame:
@@ -586,9 +587,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints)], names=[*b.schema.names, print_]).filter(some)
 
     schema = StructType([*docs.schema.fields, StructField(print_, LongType())])
-    alone = docs.mapInArrow(lambda batches: run(batches, False), schema)
+    alone = docs.mapInArrow(lean(lambda batches: run(batches, False)), schema)
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
-    first = docs.mapInArrow(lambda batches: run(batches, True), schema).groupBy(print_).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), rank).alias("row"))
+    first = docs.mapInArrow(lean(lambda batches: run(batches, True)), schema).groupBy(print_).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), rank).alias("row"))
     picked = first.join(crowd.withColumnRenamed("fp", print_), print_, "left").where("__chosen is null or __chosen").select("row.*")
     return alone.drop(print_).unionByName(picked)
 

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notelake.llm.lean import lean
 from notelake.llm.words import mix, row_sums, slices
 from notelake.storage import materialize, table
 
@@ -218,7 +219,7 @@ def rule_statistics(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v) for v in batch_statistics(b.column(1)).values())], names=["doc_id", *STATS])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {STATS_DDL}")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id long, {STATS_DDL}")
 
 
 def sampled(rows: DataFrame, limit: int, seed: int) -> DataFrame:
@@ -251,7 +252,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Forest:
             a = shared.value.anomaly(features(_columns(b)))
             yield pa.RecordBatch.from_arrays([b.column("quality").cast(pa.int32()), pa.array(np.minimum(a * BINS, BINS - 1).astype(np.int32))], names=["quality", "bin"])
 
-    seen = rows.select("quality", *STATS).mapInArrow(run, "quality int, bin int").groupBy("quality", "bin").count().collect()
+    seen = rows.select("quality", *STATS).mapInArrow(lean(run), "quality int, bin int").groupBy("quality", "bin").count().collect()
     by = {q: np.zeros(BINS, np.int64) for q in (0, 1)}
     for r in seen:
         if r["quality"] in by:
@@ -276,7 +277,7 @@ def verdicts(stats: DataFrame, forest: Forest) -> DataFrame:
             s = _columns(b)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(base_failed(s)), pa.array(shared.value.kept(s))], names=[*b.schema.names, "base_failed", "kept"])
 
-    return stats.select("doc_id", *STATS).mapInArrow(run, f"doc_id long, {STATS_DDL}, base_failed boolean, kept boolean")
+    return stats.select("doc_id", *STATS).mapInArrow(lean(run), f"doc_id long, {STATS_DDL}, base_failed boolean, kept boolean")
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -288,7 +289,7 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
             keep = shared.value.kept(batch_statistics(b.column(b.schema.get_field_index("text"))))
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op4_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

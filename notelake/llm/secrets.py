@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notelake.llm.lean import lean
 from notelake.storage import table
 
 KINDS = ("assign", "access", "hex", "lexed")
@@ -495,7 +496,7 @@ def scan(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array(digests, pa.string()), pa.array(written, pa.string())], names=names)
 
     names = ["doc_id", "n_assign", "n_access", "n_hex", "n_lexed", "base_sha256", "spans"]
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_lexed long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n_assign long, n_access long, n_hex long, n_lexed long, base_sha256 string, spans string")
 
 
 def redacted(text: str | None) -> str | None:
@@ -520,7 +521,7 @@ def redact(docs: DataFrame) -> DataFrame:
             b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
             yield b
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(lean(run), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull() & F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out
